@@ -20,6 +20,12 @@ def extract_number(c) -> Column:
     return F.when(m == "", F.lit(None).cast("double")).otherwise(m.try_cast("double"))
 
 
+def round_money(c, digits: int = 2) -> Column:
+    """Half-up rounding of a money amount through a fixed-scale decimal, so a
+    decimal tie (e.g. 1002220.055) rounds the same on every engine."""
+    return F.round(_c(c).cast("decimal(38,6)"), digits).cast("double")
+
+
 def nan_to_null(c) -> Column:
     c = _c(c)
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)

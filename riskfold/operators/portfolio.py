@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.functions.numbers import round_money
+
 # Fixed value: grammar of one "TICKER QUANTITY" item.
 ITEM_PATTERN = r"^([A-Za-z.\-]+)\s+([0-9]*\.?[0-9]+)$"
 PIE_SLOTS = 8
@@ -84,7 +86,7 @@ def allocation(w: DataFrame, pid: str = "portfolio_id") -> DataFrame:
     rank = Window.partitionBy(pid).orderBy(F.col("weight").desc(), F.col("ticker"))
     return w.select(pid, "ticker", "quantity",
                     F.round("price", 4).alias("price"),
-                    F.round("market_value", 2).alias("market_value"),
+                    round_money("market_value", 2).alias("market_value"),
                     F.round("weight", 4).alias("weight"),
                     F.row_number().over(rank).alias("rank"))
 

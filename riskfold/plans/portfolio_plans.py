@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskfold.functions.numbers import round_money
 from riskfold.operators import portfolio, risk, search
 from riskfold.plans import bindings as B
 from riskfold.plans import sql_fragments as S
@@ -150,16 +151,17 @@ def q_srisk_v2(spark, sf):
 
 @register("q_weights", sql=f"""
 WITH {S.PRICES}, {S.WEIGHTS}
-SELECT portfolio_id, ticker, quantity, round(price, 4) AS price, round(market_value, 2) AS market_value,
+SELECT portfolio_id, ticker, quantity, round(price, 4) AS price,
+       CAST(round(CAST(market_value AS DECIMAL(38, 6)), 2) AS DOUBLE) AS market_value,
        round(weight, 4) AS weight,
        row_number() OVER (PARTITION BY portfolio_id ORDER BY weight DESC, ticker) AS rank,
-       round(total_value, 2) AS total_value
+       CAST(round(CAST(total_value AS DECIMAL(38, 6)), 2) AS DOUBLE) AS total_value
 FROM w""")
 def q_weights(spark, sf):
     """M6 + W6 + A13 + T3 + P25: market value, weight and allocation order."""
     w = weights_of(spark, sf)
     a = portfolio.allocation(w)
-    tot = w.select("portfolio_id", "ticker", F.round("total_value", 2).alias("total_value"))
+    tot = w.select("portfolio_id", "ticker", round_money("total_value", 2).alias("total_value"))
     return a.join(tot, ["portfolio_id", "ticker"]).withColumn("rank", F.col("rank").cast("long"))
 
 
