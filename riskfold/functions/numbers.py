@@ -52,23 +52,34 @@ def clip(c, lo: float, hi: float) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), _c(c)))
 
 
+def _dec(c, digits: int) -> Column:
+    # Decimal (half-up) rounding before printf-style formatting, so ties such
+    # as 0.25 -> "0.3" do not depend on the engine's binary rounding (Q30).
+    return F.round(_c(c).cast("double").try_cast("decimal(38,6)"), digits).cast("double")
+
+
 def fmt_metric(c, percent: bool = False) -> Column:
     """human readable number: N/A, percent (1 decimal), $B, $M, 2 decimals."""
     x = _c(c).cast("double")
     if percent:
-        body = F.format_string("%.1f%%", x * 100.0)
+        body = F.format_string("%.1f%%", _dec(x * 100.0, 1))
     else:
-        body = (F.when(F.abs(x) >= 1e9, F.format_string("$%.1fB", x / 1e9))
-                .when(F.abs(x) >= 1e6, F.format_string("$%.1fM", x / 1e6))
-                .otherwise(F.format_string("%.2f", x)))
+        body = (F.when(F.abs(x) >= 1e9, F.format_string("$%.1fB", _dec(x / 1e9, 1)))
+                .when(F.abs(x) >= 1e6, F.format_string("$%.1fM", _dec(x / 1e6, 1)))
+                .otherwise(F.format_string("%.2f", _dec(x, 2))))
     return F.when(x.isNull(), F.lit("N/A")).otherwise(body)
 
 
+def fmt_fixed(c, decimals: int = 2) -> Column:
+    """fixed decimals (half-up)."""
+    return F.format_string(f"%.{decimals}f", _dec(c, decimals))
+
+
 def fmt_percent(c, decimals: int = 1) -> Column:
     """percent text of a ratio."""
-    return F.format_string(f"%.{decimals}f%%", _c(c).cast("double") * 100.0)
+    return F.format_string(f"%.{decimals}f%%", _dec(_c(c).cast("double") * 100.0, decimals))
 
 
 def fmt_thousands(c) -> Column:
     """integer with thousands separators (e.g. 1,234,567)."""
-    return F.format_string("%,d", _c(c).cast("long"))
+    return F.format_string("%,d", F.round(_c(c).cast("double"), 0).cast("long"))

@@ -99,3 +99,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("ticker"),
                     F.col("embedding").alias("vec"))
+
+
+def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landed news CSV as a crawler writes it (display-style column names,
+    free-form dates, blank links), derived from documents:
+
+    * ``Query Ticker`` = source, ``Title`` = first sentence, ``Summary`` = text
+    * ``Link`` blank for every seventh document, ``Final URL`` set for every fifth
+    * ``PubDate`` rendered per language: en 'January 5, 2024 at 3:00 PM',
+      de '5-Jan-24', fr ISO with zone, es 'date unknown'; none when
+      ``pubdate_of`` gives none.
+    """
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    k = F.col("doc_id")
+    day = pubdate_of("doc_id")
+    pub = (F.when(day.isNull(), F.lit(None).cast("string"))
+           .when(F.col("lang") == "en", F.concat(F.date_format(day, "MMMM d, yyyy"), F.lit(" at 3:00 PM")))
+           .when(F.col("lang") == "de", F.date_format(day, "d-MMM-yy"))
+           .when(F.col("lang") == "fr", F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"))
+           .otherwise(F.lit("date unknown")))
+    link = F.when(F.pmod(k, F.lit(7)) == 3, F.lit("  ")).otherwise(
+        F.concat(F.lit("https://news.example.com/"), F.col("source"), F.lit("/"), k.cast("string")))
+    final = F.when(F.pmod(k, F.lit(5)) == 0, F.concat(F.lit("https://m.example.com/a/"), k.cast("string")))
+    return d.select(k.alias("Doc Id"), F.col("source").alias("Query Ticker"),
+                    headline_of("text").alias("Title"), link.alias("Link"), final.alias("Final URL"),
+                    pub.alias("PubDate"), F.col("text").alias("Summary"))
