@@ -124,4 +124,4 @@ def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     final = F.when(F.pmod(k, F.lit(5)) == 0, F.concat(F.lit("https://m.example.com/a/"), k.cast("string")))
     return d.select(k.alias("Doc Id"), F.col("source").alias("Query Ticker"),
                     headline_of("text").alias("Title"), link.alias("Link"), final.alias("Final URL"),
-                    pub.alias("PubDate"), F.col("text").alias("Summary"))
+                    pub.alias("PubDate"), F.col("text").alias("Summary"), F.col("lang").alias("Lang"))

@@ -74,7 +74,7 @@ raw AS (
               WHEN lang = 'de' THEN strftime(DATE '2024-03-01' - CAST(doc_id % 45 AS INTEGER), '%-d-%b-%y')
               WHEN lang = 'fr' THEN strftime(DATE '2024-03-01' - CAST(doc_id % 45 AS INTEGER), '%Y-%m-%dT%H:%M:%S+00:00')
               ELSE 'date unknown' END AS pubdate,
-         text AS summary
+         text AS summary, lang
   FROM documents)"""
 
 # Free-form date normalisation in SQL (first 'Mon D, YYYY', else 'D-Mon-YY').
@@ -91,3 +91,13 @@ NORM_DATE = """CASE
   ELSE CAST(coalesce(try_strptime(regexp_extract({c}, '^\\s*(\\d{{4}}-\\d{{1,2}}-\\d{{1,2}})', 1), '%Y-%m-%d'),
                      try_strptime(regexp_extract({c}, '^\\s*(\\d{{4}}/\\d{{1,2}}/\\d{{1,2}})', 1), '%Y/%m/%d')) AS DATE)
 END"""
+
+PREP = RAW_NEWS + """,
+rawn AS (SELECT raw.*, CAST(""" + NORM_DATE.format(c="raw.pubdate") + """ AS TIMESTAMP) AS nd FROM raw),
+prep AS (
+  SELECT sha1(coalesce(ticker, '') || '|' ||
+              coalesce(NULLIF(coalesce(NULLIF(trim(final_url), ''), NULLIF(trim(link), '')), ''),
+                       NULLIF(link, ''), NULLIF(headline, ''), '') || '|' ||
+              coalesce(strftime(nd, '%Y-%m-%d %H:%M:%S+00:00'), 'NaT')) AS id,
+         headline, ticker, nd AS pubdate, summary, doc_id AS src_order, lang
+  FROM rawn WHERE ticker IS NOT NULL AND headline IS NOT NULL)"""
