@@ -79,14 +79,15 @@ def portfolio_aggregates(weights: DataFrame, universe: DataFrame,
 
 
 def score_portfolios(weights: DataFrame, universe: DataFrame, pid: str = "portfolio_id",
-                     mdd_sign: float = -1.0, digits: int = 4) -> DataFrame:
+                     mdd_sign: float = -1.0, digits: int = 4, quartiles: Column | None = None) -> DataFrame:
     """A14 + A16 + A17: score variant 1 for every portfolio.
 
     ``mdd_sign=-1`` keeps the reference's negated drawdown term.  The HHI
     z-score is taken against a constant series, whose IQR is 0, so it is
     always 0 (kept as the term ``0.10 * 0``).  Portfolios with no matched
-    ticker get null scores and an ``error`` text."""
-    q = universe_quartiles(universe)
+    ticker get null scores and an ``error`` text.  ``quartiles`` overrides
+    the universe statistics (struct of sigma / mdd / beta arrays)."""
+    q = quartiles if quartiles is not None else universe_quartiles(universe)
     a = portfolio_aggregates(weights, universe, pid)
     zs = robust_z(F.col("sigma_p"), q.getField("sigma"))
     zm = robust_z(F.abs(F.col("mdd_p")), q.getField("mdd"))
