@@ -111,7 +111,12 @@ def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
       de '5-Jan-24', fr ISO with zone, es 'date unknown'; none when
       ``pubdate_of`` gives none.
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return raw_news_from(read_table(spark, sf_dir, "documents"))
+
+
+def raw_news_from(documents: DataFrame) -> DataFrame:
+    """``raw_news`` for any documents DataFrame (batch or stream)."""
+    d = documents.select("doc_id", "text", "lang", "source")
     k = F.col("doc_id")
     day = pubdate_of("doc_id")
     pub = (F.when(day.isNull(), F.lit(None).cast("string"))
