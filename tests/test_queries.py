@@ -20,7 +20,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_a_callable(spark):
     qs, orc = entry.queries(), entry.oracle_sql()
-    assert len(qs) >= 60
+    assert len(qs) >= 80
     assert set(orc) <= set(qs)
 
 
