@@ -148,17 +148,23 @@ def replace_keys(stored: DataFrame, fresh: DataFrame, key: str = "ticker") -> Da
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def content_filter(pages: DataFrame, body: str = "body", byline: str = "byline", publisher: str = "publisher",
-                   title: str = "title") -> tuple[DataFrame, DataFrame]:
-    """P15 + P16: (kept, rejected).  Rejected: first body line is the premium
-    marker, byline names the video desk, or publisher is on the blocked list.
-    Kept rows need a non-empty title and body."""
+def content_status(body: str = "body", byline: str = "byline", publisher: str = "publisher",
+                   title: str = "title") -> Column:
+    """P15 + P16 as one column: 'rejected' (premium marker as first body
+    line, video-desk byline or blocked publisher), 'kept' (non-empty title
+    and body) or 'dropped'."""
     bad = ((X.first_line(F.col(body)) == PREMIUM_MARKER)
            | F.coalesce(F.col(byline).contains(VIDEO_BYLINE), F.lit(False))
            | F.coalesce(F.exists(F.array(*[F.lit(p) for p in BLOCKED_PUBLISHERS]),
                                  lambda p: F.contains(F.coalesce(F.col(publisher), F.lit("")), p)), F.lit(False)))
     ok = ~X.is_blank(title) & ~X.is_blank(body)
-    return pages.where(~bad & ok), pages.where(bad)
+    return F.when(bad, F.lit("rejected")).when(ok, F.lit("kept")).otherwise(F.lit("dropped"))
+
+
+def content_filter(pages: DataFrame, **cols) -> tuple[DataFrame, DataFrame]:
+    """P15 + P16: (kept, rejected) rows of one status projection."""
+    s = pages.withColumn("_status", content_status(**cols))
+    return s.where(F.col("_status") == "kept").drop("_status"), s.where(F.col("_status") == "rejected").drop("_status")
 
 
 def drop_all_null(df: DataFrame, cols) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.numbers import clip
+from riskfold.session import cut_lineage
 
 # Fixed values of the reference score.
 WEIGHTS_V1 = {"sigma": 0.35, "mdd": 0.25, "beta": 0.20, "hhi": 0.10}
@@ -23,6 +24,11 @@ NEUTRAL_BELOW = 0.66
 UNKNOWN_SECTOR = "Unknown"
 
 
+def r0(c, digits: int) -> Column:
+    """Round and turn a negative zero into 0.0 (stable text / hash form)."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def category(score: Column) -> Column:
     """SAFE < 0.33 <= NEUTRAL < 0.66 <= AGGRESSIVE (NaN/null -> AGGRESSIVE)."""
     return (F.when(score < SAFE_BELOW, F.lit("SAFE"))
@@ -87,6 +93,9 @@ def score_portfolios(weights: DataFrame, universe: DataFrame, pid: str = "portfo
     always 0 (kept as the term ``0.10 * 0``).  Portfolios with no matched
     ticker get null scores and an ``error`` text.  ``quartiles`` overrides
     the universe statistics (struct of sigma / mdd / beta arrays)."""
+    # The universe (one row per security) feeds the join and the quartile
+    # subquery: materialise it once (reliable checkpoint, shared folder).
+    universe = cut_lineage(universe)
     q = quartiles if quartiles is not None else universe_quartiles(universe)
     a = portfolio_aggregates(weights, universe, pid)
     zs = robust_z(F.col("sigma_p"), q.getField("sigma"))
@@ -97,12 +106,12 @@ def score_portfolios(weights: DataFrame, universe: DataFrame, pid: str = "portfo
     ok = F.col("n_matched") > 0
     return a.select(
         pid,
-        F.when(ok, F.round(srisk, digits)).alias("srisk"),
+        F.when(ok, r0(srisk, digits)).alias("srisk"),
         F.when(ok, category(srisk)).alias("category"),
-        F.when(ok, F.round("sigma_p", digits)).alias("sigma_p"),
-        F.when(ok, F.round("mdd_p", digits)).alias("mdd_p"),
-        F.when(ok, F.round("beta_p", digits)).alias("beta_p"),
-        F.when(ok, F.round("hhi", digits)).alias("hhi"),
+        F.when(ok, r0(F.col("sigma_p"), digits)).alias("sigma_p"),
+        F.when(ok, r0(F.col("mdd_p"), digits)).alias("mdd_p"),
+        F.when(ok, r0(F.col("beta_p"), digits)).alias("beta_p"),
+        F.when(ok, r0(F.col("hhi"), digits)).alias("hhi"),
         F.when(~ok, F.lit("no ticker of the portfolio is in the universe")).alias("error"))
 
 
@@ -112,6 +121,7 @@ def score_portfolios_v2(weights: DataFrame, universe: DataFrame, pid: str = "por
     position becomes a zero-metric asset in sector 'Cash', z-scores are
     mean/std (ddof 1, 0 when std is 0) and the HHI is scored against the
     per-sector (n_s / N)^2 distribution of the universe."""
+    universe = cut_lineage(universe)   # used by the join and four subqueries
     u = universe.select("ticker", "sector", "sigma", "mdd", "beta")
     w = weights.select(pid, "ticker", "weight")
     held = w.join(u, "ticker", "inner")
@@ -150,10 +160,10 @@ def score_portfolios_v2(weights: DataFrame, universe: DataFrame, pid: str = "por
              + WEIGHTS_V2["beta"] * z(F.col("beta_p"), stats.getField("mb"), stats.getField("sb"))
              + WEIGHTS_V2["hhi"] * z(F.col("hhi"), hstats.getField("m"), hstats.getField("s"))
              - WEIGHTS_V2["cash"] * F.col("cash_p"))
-    return a.select(pid, F.round(srisk, digits).alias("srisk"), category(srisk).alias("category"),
-                    F.round("sigma_p", digits).alias("sigma_p"), F.round("mdd_p", digits).alias("mdd_p"),
-                    F.round("beta_p", digits).alias("beta_p"), F.round("hhi", digits).alias("hhi"),
-                    F.round("cash_p", digits).alias("cash_p"))
+    return a.select(pid, r0(srisk, digits).alias("srisk"), category(srisk).alias("category"),
+                    r0(F.col("sigma_p"), digits).alias("sigma_p"), r0(F.col("mdd_p"), digits).alias("mdd_p"),
+                    r0(F.col("beta_p"), digits).alias("beta_p"), r0(F.col("hhi"), digits).alias("hhi"),
+                    r0(F.col("cash_p"), digits).alias("cash_p"))
 
 
 def top_by(universe: DataFrame, col: str = "sigma", n: int = 12, digits: int = 4) -> DataFrame:

@@ -64,12 +64,7 @@ def q_content_filter(spark, sf):
     """P15 + P16 + P18: premium / video / blocked-publisher rejects and the
     non-empty title+body rule."""
     e = html.extract_page(read_table(spark, sf, "pages"))
-    kept, rejected = news.content_filter(e)
-    rej = rejected.select("page_id", F.lit("rejected").alias("status"))
-    kp = kept.select("page_id", F.lit("kept").alias("status"))
-    rest = e.select("page_id").join(kp.unionByName(rej).select("page_id"), "page_id", "left_anti").select(
-        "page_id", F.lit("dropped").alias("status"))
-    return kp.unionByName(rej).unionByName(rest)
+    return e.select("page_id", news.content_status().alias("status"))
 
 
 @register("q_html_list", sql=r"""

@@ -49,13 +49,13 @@ s AS (SELECT z.*, 0.35 * zs - 0.25 * zm + 0.20 * zb + 0.10 * 0.0 AS score FROM z
 
 @register("q_srisk_v1", sql=_SCORE_CTES + """
 SELECT portfolio_id,
-       CASE WHEN nm > 0 THEN round(score, 4) END AS srisk,
+       CASE WHEN nm > 0 THEN round(score, 4) + 0.0 END AS srisk,
        CASE WHEN nm > 0 THEN CASE WHEN score < 0.33 THEN 'SAFE' WHEN score < 0.66 THEN 'NEUTRAL'
                                   ELSE 'AGGRESSIVE' END END AS category,
-       CASE WHEN nm > 0 THEN round(sigma_p, 4) END AS sigma_p,
-       CASE WHEN nm > 0 THEN round(mdd_p, 4) END AS mdd_p,
-       CASE WHEN nm > 0 THEN round(beta_p, 4) END AS beta_p,
-       CASE WHEN nm > 0 THEN round(hhi, 4) END AS hhi,
+       CASE WHEN nm > 0 THEN round(sigma_p, 4) + 0.0 END AS sigma_p,
+       CASE WHEN nm > 0 THEN round(mdd_p, 4) + 0.0 END AS mdd_p,
+       CASE WHEN nm > 0 THEN round(beta_p, 4) + 0.0 END AS beta_p,
+       CASE WHEN nm > 0 THEN round(hhi, 4) + 0.0 END AS hhi,
        CASE WHEN nm = 0 THEN 'no ticker of the portfolio is in the universe' END AS error
 FROM s""")
 def q_srisk_v1(spark, sf):
@@ -139,10 +139,10 @@ z AS (SELECT a.*,
       + 0.15 * CASE WHEN coalesce(sh.s, 0) > 0 THEN (hhi - sh.m) / sh.s ELSE 0 END
       - 0.05 * cash_p AS score
       FROM a, st, sh)
-SELECT portfolio_id, round(score, 4) AS srisk,
+SELECT portfolio_id, round(score, 4) + 0.0 AS srisk,
        CASE WHEN score < 0.33 THEN 'SAFE' WHEN score < 0.66 THEN 'NEUTRAL' ELSE 'AGGRESSIVE' END AS category,
-       round(sigma_p, 4) AS sigma_p, round(mdd_p, 4) AS mdd_p, round(beta_p, 4) AS beta_p,
-       round(hhi, 4) AS hhi, round(cash_p, 4) AS cash_p
+       round(sigma_p, 4) + 0.0 AS sigma_p, round(mdd_p, 4) + 0.0 AS mdd_p, round(beta_p, 4) + 0.0 AS beta_p,
+       round(hhi, 4) + 0.0 AS hhi, round(cash_p, 4) + 0.0 AS cash_p
 FROM z""")
 def q_srisk_v2(spark, sf):
     """Score variant 2 over every portfolio."""
