@@ -220,3 +220,34 @@ def q_index_tickers(spark, sf):
     index-constituent lists."""
     t = FU.tickers_from_index(constituents(spark, sf))
     return t.select("ticker").distinct()
+
+
+@register("q_refresh_pipeline", sql=f"""
+WITH {_AGG}
+SELECT "Ticker", "Sector", round("Revenue (ttm)", 6) AS "Revenue (ttm)", 'current' AS part FROM fund WHERE NOT neg
+UNION ALL SELECT "Ticker", NULL, NULL, 'failures' FROM fund WHERE neg""")
+def q_refresh_pipeline(spark, sf):
+    """R13 (S3 S4 S17 P11 U4 K1 K8 K9 K10): ticker list from CSV -> assemble
+    -> conform -> back-fill with the stored CSV (absent: empty) -> sort ->
+    backup + overwrite -> dead letters; returns the written tables."""
+    import os
+    import uuid
+    from riskfold.session import checkpoint_dir
+    from riskfold.sources import files
+    root = os.path.join(checkpoint_dir(spark), "tables", f"fund-{uuid.uuid4().hex[:12]}")
+    recs = provider_records(spark, sf)
+    files.write_csv(recs.select(F.col("ticker").alias("Ticker")).distinct(), f"{root}/tickers")
+    tickers = files.tickers_from_csv(spark, f"{root}/tickers")
+    wide = FU.wide_records(recs.join(tickers.select("ticker"), "ticker", "left_semi"))
+    good, bad = FU.split_failures(FU.assemble(wide))
+    stored = files.load_fundamentals(spark, f"{root}/fundamentals.csv")     # absent -> empty typed frame
+    merged = FU.backfill(good, schemas.conform(stored, schemas.FUNDAMENTALS_SCHEMA)).orderBy("Ticker")
+    files.snapshot_then_overwrite(merged, f"{root}/fundamentals", "20240302T000000")
+    files.write_csv(bad, f"{root}/failures")
+    cur = spark.read.parquet(f"{root}/fundamentals/current")
+    fails = files.read_csv(spark, f"{root}/failures", schemas.T.StructType(
+        [schemas.T.StructField("Ticker", schemas.S), schemas.T.StructField("_error", schemas.S)]))
+    return (cur.select("Ticker", "Sector", F.round(F.col("`Revenue (ttm)`"), 6).alias("Revenue (ttm)"),
+                       F.lit("current").alias("part"))
+            .unionByName(fails.select("Ticker", F.lit(None).cast("string").alias("Sector"),
+                                      F.lit(None).cast("double").alias("Revenue (ttm)"), F.lit("failures").alias("part"))))

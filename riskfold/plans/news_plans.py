@@ -211,3 +211,23 @@ def q_partition_replace(spark, sf):
              .select("ticker", "link", F.lit("fresh").alias("origin")))
     return news.replace_keys(stored, fresh.where(F.col("ticker").isNotNull())).unionByName(
         fresh.where(F.col("ticker").isNull()))
+
+
+@register("q_block_list", sql=f"""
+WITH {_LINKS},
+rej AS (SELECT ticker, url AS link FROM pg WHERE starts_with(url, 'http://') AND ticker IS NOT NULL)
+SELECT DISTINCT ticker, link FROM (SELECT * FROM blocked UNION ALL SELECT * FROM rej)""")
+def q_block_list(spark, sf):
+    """K11 + U2 + W9: append rejected links (here: every plain-http page) to
+    the block list, keeping the first row per (ticker, link)."""
+    cur = block_list(spark, sf).withColumn("src_order", F.lit(0).cast("long"))
+    todo = link_candidates(spark, sf).where(F.col("link").startswith("http://") & F.col("ticker").isNotNull())
+    new = news.append_distinct(cur, todo.select("ticker", "link", "src_order"))
+    return new.select("ticker", "link")
+
+
+@register("q_seeded_sample")
+def q_seeded_sample(spark, sf):
+    """A deterministic pseudo-random sample of 25 articles (hash of id
+    and seed) — rows-only check (the hash is Spark's)."""
+    return news.seeded_sample(B.articles(spark, sf), "id", 25, seed=42).select("id", "ticker")

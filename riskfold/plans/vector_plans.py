@@ -126,3 +126,22 @@ def q_cleanup(spark, sf):
     gone = vectors.dedupe_similar(kept, SIM_THRESHOLD, tile_size=128)
     kept = kept.join(gone.select("id"), "id", "left_anti").withColumn("id", F.col("id").cast("string"))
     return news.preview(kept.select("id", "ticker", "headline", "summary", "pubdate"), limit=10)
+
+
+@register("q_news_batch")
+def q_news_batch(spark, sf):
+    """One whole news batch: preprocess -> insert-or-ignore -> summary
+    queue -> retention + near-duplicate removal -> index build -> preview."""
+    from riskfold.operators import corpus as C
+    raw = B.raw_news(spark, sf)
+    prep = news.preprocess(raw, order="Doc Id")
+    store = news.keep_first(prep, "id", "src_order")
+    queue = store.where(F.length(F.trim("summary")) == 0).select("id", C.extractive_summary(F.col("summary")).alias("s"))
+    store = news.update_column(store, queue.withColumnRenamed("s", "summary"), "summary")
+    kept, purged = news.retention_split(store, B.AS_OF, 14)
+    tv = text_vectors(spark, sf, kept)
+    items_ = kept.join(tv.select("id", "vec"), "id").withColumn("ticker", F.coalesce("ticker", F.lit("UNK")))
+    gone = vectors.dedupe_similar(items_, 0.9, tile_size=512)
+    kept = kept.join(gone.select("id"), "id", "left_anti")
+    idx = vectors.build_index(news.index_candidates(kept, B.AS_OF, 30), tv, B.AS_OF)
+    return news.preview(kept, idx, limit=10)
