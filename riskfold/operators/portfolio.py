@@ -1,10 +1,9 @@
 """Positions, prices and weights (S14, P21, P24, P25, F5, F17, M6, W6, W7,
 W10, N3-N5, E1, E3, J4, J5, J15, T3, T4).
 
-Per-portfolio totals are computed with a grouped aggregation joined back on
-the portfolio key instead of an un-bounded window partition, so a portfolio
-with a third of all rows is pre-aggregated map-side and its join side is
-split by AQE's skew handling.
+Positions are aggregated per (portfolio, security) before any per-portfolio
+window, so a window partition is bounded by the universe size however many
+raw rows a hot portfolio has; the raw-row work is a partial aggregation.
 """
 
 from __future__ import annotations
@@ -72,10 +71,13 @@ def attach_prices(positions: DataFrame, prices: DataFrame, demo: DataFrame | Non
 
 def weights(priced: DataFrame, pid: str = "portfolio_id") -> DataFrame:
     """M6 + W6 + A13: market value and weight = value / total value.
-    Portfolios with a non-positive total are flagged (``value_ok``)."""
+    Portfolios with a non-positive total are flagged (``value_ok``).
+
+    Positions are unique per (portfolio, security), so a portfolio's window
+    partition holds at most one row per security of the universe; the total
+    is a window sum (one pass, no self-join of the priced positions)."""
     v = priced.withColumn("market_value", F.col("quantity") * F.col("price"))
-    tot = v.groupBy(pid).agg(F.sum("market_value").alias("total_value"))
-    return (v.join(tot, pid)
+    return (v.withColumn("total_value", F.sum("market_value").over(Window.partitionBy(pid)))
             .withColumn("weight", F.when(F.col("total_value") > 0,
                                          F.try_divide(F.col("market_value"), F.col("total_value"))))
             .withColumn("value_ok", F.col("total_value") > 0))
