@@ -127,20 +127,27 @@ def financial_paragraph() -> Column:
     ], "\n")
 
 
-def news_paragraph(text: Column) -> Column:
-    """R2 + F11: keyword families x metric presence; blank text -> fixed sentence."""
+def news_paragraph(text: Column, lowered: Column | None = None) -> Column:
+    """R2 + F11: keyword families x metric presence; blank text -> fixed
+    sentence.  ``lowered`` is the lower-cased text when the caller has it
+    (computed once per row)."""
     g, fcf = c("Quarterly Earnings Growth (yoy)"), c("Levered Free Cash Flow (ttm)")
+    lt = lowered if lowered is not None else F.lower(text)
+
+    def kw(words):
+        return X.keyword_any(lt, words, lowered=True)
+
     parts = F.array_compact(F.array(
-        F.when(X.keyword_any(text, GROWTH_WORDS) & present("Quarterly Earnings Growth (yoy)"), F.format_string(
+        F.when(present("Quarterly Earnings Growth (yoy)") & kw(GROWTH_WORDS), F.format_string(
             "Product or demand-related news aligns with earnings growth of %s, reinforcing momentum.", pct(g))),
-        F.when(X.keyword_any(text, INVEST_WORDS) & present("Levered Free Cash Flow (ttm)"), F.format_string(
+        F.when(present("Levered Free Cash Flow (ttm)") & kw(INVEST_WORDS), F.format_string(
             "Capital expenditure plans appear supported by free cash flow of %s.", money(fcf))),
-        F.when(X.keyword_any(text, REGULATION_WORDS) & present("Total Debt/Equity (mrq)"), F.format_string(
+        F.when(present("Total Debt/Equity (mrq)") & kw(REGULATION_WORDS), F.format_string(
             "Regulatory risks combined with D/E of %s may elevate financial vulnerability.",
             fixed2(c("Total Debt/Equity (mrq)")))),
-        F.when(X.keyword_any(text, SHAREHOLDER_WORDS) & present("Levered Free Cash Flow (ttm)"), F.format_string(
+        F.when(present("Levered Free Cash Flow (ttm)") & kw(SHAREHOLDER_WORDS), F.format_string(
             "Shareholder actions could be sustained by FCF of %s.", money(fcf))),
-        F.when(X.keyword_any(text, GREEN_WORDS) & present("Operating Cash Flow (ttm)"), F.format_string(
+        F.when(present("Operating Cash Flow (ttm)") & kw(GREEN_WORDS), F.format_string(
             "Sustainability initiatives may be financed by operating cash flow of %s.",
             money(c("Operating Cash Flow (ttm)"))))))
     body = F.when(F.size(parts) == 0, F.array(F.lit(
@@ -169,7 +176,8 @@ def metric_lines(numeric_cols) -> Column:
     return lines([_when(n, F.concat(F.lit(f"{n}: "), N.fmt_fixed(c(n), 4))) for n in numeric_cols], "; ")
 
 
-def instruction_record(ticker: Column, text: Column, numeric_cols) -> tuple[Column, Column]:
+def instruction_record(ticker: Column, text: Column, numeric_cols,
+                       lowered: Column | None = None) -> tuple[Column, Column]:
     """(input, output) texts of one joined news x fundamentals row."""
     sector = F.coalesce(c("Sector"), F.lit("N/A"))
     industry = F.coalesce(c("Industry"), F.lit("N/A"))
@@ -177,7 +185,8 @@ def instruction_record(ticker: Column, text: Column, numeric_cols) -> tuple[Colu
                    F.lit("\nMetrics: "), metric_lines(numeric_cols), F.lit("\nNews: "), F.coalesce(text, F.lit("")))
     out = F.concat(F.lit("[Company Overview]\n"), F.upper(ticker), F.lit(" operates in the "), sector,
                    F.lit(" sector ("), industry, F.lit(").\n\n[Financial Analysis]\n"), financial_paragraph(),
-                   F.lit("\n\n[News Impact]\n"), news_paragraph(text), F.lit("\n\n[Outlook]\n"), outlook_paragraph())
+                   F.lit("\n\n[News Impact]\n"), news_paragraph(text, lowered), F.lit("\n\n[Outlook]\n"),
+                   outlook_paragraph())
     return inp, out
 
 
@@ -210,11 +219,9 @@ def augmented_output(ticker: Column, text: Column, pick: Column) -> Column:
                                                          .otherwise(F.lit("elevated risk"))))], "\n")
     t = F.lower(text)
     parts = F.array_compact(F.array(
-        F.when((F.contains(t, F.lit("growth")) | F.contains(t, F.lit("launch")) | F.contains(t, F.lit("demand")))
-               & present("Quarterly Earnings Growth (yoy)"),
+        F.when(present("Quarterly Earnings Growth (yoy)") & X.keyword_any(t, ("growth", "launch", "demand"), True),
                F.format_string("This aligns with earnings growth of %s.", pct(g))),
-        F.when((F.contains(t, F.lit("investment")) | F.contains(t, F.lit("factory")))
-               & present("Levered Free Cash Flow (ttm)"),
+        F.when(present("Levered Free Cash Flow (ttm)") & X.keyword_any(t, ("investment", "factory"), True),
                F.format_string("Such investments may be funded by FCF of %s.", money(c("Levered Free Cash Flow (ttm)"))))))
     news = F.when(X.is_blank(text), F.lit("No major news reported recently.")).otherwise(
         F.when(F.size(parts) == 0, F.lit("The news may have strategic significance, though financial impact is uncertain."))

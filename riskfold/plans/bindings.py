@@ -41,9 +41,11 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.sector_map(read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation"))
 
 
-def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 risk universe: ticker, sector, sigma, mdd, beta."""
-    p = market.select_price(prices(spark, sf_dir))
+def universe(spark: SparkSession, sf_dir: str, price_table: DataFrame | None = None) -> DataFrame:
+    """D1 risk universe: ticker, sector, sigma, mdd, beta.  Pass the price
+    table when the caller also derives latest prices from it (one
+    aggregation of lineitem feeds both)."""
+    p = market.select_price(price_table if price_table is not None else prices(spark, sf_dir))
     return market.ticker_metrics_a(p, sectors(spark, sf_dir), min_obs=MIN_OBS,
                                    periods_per_year=PERIODS_PER_YEAR)
 
@@ -57,9 +59,9 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.sum("l_quantity").alias("quantity")))
 
 
-def latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_prices(spark: SparkSession, sf_dir: str, price_table: DataFrame | None = None) -> DataFrame:
     """Last non-null close per security."""
-    p = prices(spark, sf_dir).where(F.col("close").isNotNull())
+    p = (price_table if price_table is not None else prices(spark, sf_dir)).where(F.col("close").isNotNull())
     return p.groupBy("ticker").agg(F.max_by("close", "ts").alias("price"), F.max("ts").alias("price_ts"))
 
 

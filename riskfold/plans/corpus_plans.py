@@ -164,7 +164,8 @@ def q_instruction_rows(spark, sf):
     """R1-R4 + J1 + F11 + N2: one (input, output) record per news article
     joined with its company's fundamentals."""
     j = corpus_news(spark, sf).join(fundamentals(spark, sf).withColumnRenamed("Ticker", "ticker"), "ticker")
-    inp, out = C.instruction_record(F.col("ticker"), F.col("text"), NUMS)
+    j = j.withColumn("_lt", F.lower("text"))   # lower-cased once per row
+    inp, out = C.instruction_record(F.col("ticker"), F.col("text"), NUMS, F.col("_lt"))
     return j.select("doc_id", "ticker", inp.alias("input"), out.alias("output"))
 
 
@@ -288,8 +289,9 @@ SELECT portfolio_id, ticker, round(weight, 4) AS weight, sector, round(sigma, 4)
 FROM j""")
 def q_reports(spark, sf):
     """R7 + J11 + N1 + W8: one report row per (portfolio, holding)."""
-    w = PP.weights_of(spark, sf)
-    u = B.universe(spark, sf)
+    pt = B.prices(spark, sf)
+    w = PP.weights_of(spark, sf, pt)
+    u = B.universe(spark, sf, pt)
     h = w.select("portfolio_id", "ticker", "weight").join(u, "ticker").withColumn("sym", B.symbol("ticker"))
     f = fundamentals(spark, sf).withColumnRenamed("Ticker", "fsym").drop("Sector", "Industry").withColumn(
         "_has", F.lit(True))

@@ -12,8 +12,8 @@ from riskfold.plans.catalog import register
 from riskfold.sources.tables import read_table
 
 
-def weights_of(spark, sf):
-    priced = portfolio.attach_prices(B.positions(spark, sf), B.latest_prices(spark, sf))
+def weights_of(spark, sf, price_table=None):
+    priced = portfolio.attach_prices(B.positions(spark, sf), B.latest_prices(spark, sf, price_table))
     return portfolio.weights(priced)
 
 
