@@ -113,11 +113,11 @@ def split_failures(assembled: DataFrame) -> tuple[DataFrame, DataFrame]:
 def backfill(refreshed: DataFrame, stored: DataFrame, key: str = "Ticker") -> DataFrame:
     """J7 + U2 + U4 + W9 + T5: refreshed rows win; stored rows whose key was
     not refreshed are kept; one row per key; sorted by key."""
+    from riskfold.operators.news import keep_first
     fresh = refreshed.withColumn("_src", F.lit(0))
     old = stored.join(refreshed.select(key), key, "left_anti").withColumn("_src", F.lit(1))
-    u = fresh.unionByName(old, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_src")
-    return u.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_src")
+    u = fresh.unionByName(old, allowMissingColumns=True).withColumn("_o", F.monotonically_increasing_id())
+    return keep_first(u, key, ["_src", "_o"]).drop("_src", "_o")
 
 
 def field_map(snapshot: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -133,5 +133,5 @@ def tickers_from_index(constituents: DataFrame, body: str = "body", key: str = "
     x = constituents.select(F.posexplode(arr).alias("pos", "r")).select(
         "pos", X.symbol_norm(F.col(f"r.{key}")).alias("ticker"))
     x = x.where(F.col("ticker").isNotNull() & (F.col("ticker") != ""))
-    w = Window.partitionBy("ticker").orderBy("pos")
-    return x.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    from riskfold.operators.news import keep_first
+    return keep_first(x, "ticker", "pos")

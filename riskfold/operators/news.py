@@ -25,13 +25,20 @@ VIDEO_BYLINE = "Yahoo Finance Video"
 BLOCKED_PUBLISHERS = ("Motley Fool", "Barchart", "The Wall Street Journal", "Zacks", "Benzinga", "Quartz")
 
 
-def keep_first(df: DataFrame, keys, order) -> DataFrame:
-    """First row per key set by an explicit order (ties -> all columns
-    of ``order`` must be unique for determinism)."""
+def keep_first(df: DataFrame, keys, order, last: bool = False) -> DataFrame:
+    """The first (``last=True``: the last) row per key set by an explicit
+    order (the order columns should be unique within a key).
+
+    An aggregation (``min_by`` / ``max_by`` of the whole row over the order
+    struct), not a window: rows are pre-combined map-side, so a key holding
+    a third of all rows never lands in one task as a whole."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, (str, Column)) else list(order)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    ordc = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    pick = F.max_by if last else F.min_by
+    agg = df.groupBy(*keys).agg(pick(F.struct(*[F.col(f"`{c}`") for c in rest]), ordc).alias("_row"))
+    return agg.select(*keys, *[F.col("_row").getField(c).alias(c) for c in rest]).select(*df.columns)
 
 
 def article_id(ticker: Column, key: Column, pub_text: Column) -> Column:
@@ -77,7 +84,7 @@ def upsert_overwrite(target: DataFrame, batch: DataFrame, key: str = "id", order
     key (the last batch row per key wins when ``order`` is given)."""
     b = batch
     if order is not None:
-        b = keep_first(batch, key, F.col(order).desc())
+        b = keep_first(batch, key, order, last=True)
     b = b.select(*target.columns)
     return target.join(b.select(key), key, "left_anti").unionByName(b)
 
@@ -139,7 +146,7 @@ def append_distinct(current: DataFrame, new: DataFrame, keys=("ticker", "link"),
     cur = current.withColumn("_src", F.lit(0))
     nw = new.withColumn("_src", F.lit(1))
     u = cur.unionByName(nw, allowMissingColumns=True)
-    return keep_first(u, list(keys), [F.col("_src"), F.col(order)]).drop("_src")
+    return keep_first(u, list(keys), ["_src", order]).drop("_src")
 
 
 def replace_keys(stored: DataFrame, fresh: DataFrame, key: str = "ticker") -> DataFrame:

@@ -339,7 +339,7 @@ def q_portfolio_doc(spark, sf):
     alloc = P.allocation(w)
     top = alloc.where("rank = 1").select("portfolio_id", F.col("ticker").alias("top_ticker"))
     sec = P.sector_exposure(w, u, digits=15)
-    ts = news.keep_first(sec, "portfolio_id", [F.col("sector_weight").desc(), F.col("sector")]).select(
+    ts = news.keep_first(sec, "portfolio_id", [(-F.col("sector_weight")).alias("w"), F.col("sector")]).select(
         "portfolio_id", F.col("sector").alias("top_sector"))
     agg = w.groupBy("portfolio_id").agg(N.round_money(F.max("total_value"), 2).alias("total_value"),
                                         F.count("*").alias("n_positions"))

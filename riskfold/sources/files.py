@@ -113,15 +113,14 @@ def snapshot_then_overwrite(df: DataFrame, path: str, snapshot_ts: str) -> None:
 def tickers_from_csv(spark: SparkSession, path: str, col: str = "Ticker") -> DataFrame:
     """Symbols of a CSV column, normalised, first occurrence kept in file
     order, error when none.  File order = (input file, row position)."""
-    from pyspark.sql import Window
     from riskfold.functions.text import symbol_norm
     df = spark.read.option("header", True).csv(path)
     if col not in df.columns:
         raise ValueError(f"{col} column not found in {path}")
     x = df.select(symbol_norm(col).alias("ticker"), F.input_file_name().alias("_f"),
                   F.monotonically_increasing_id().alias("_p")).where(F.col("ticker").isNotNull() & (F.col("ticker") != ""))
-    w = Window.partitionBy("ticker").orderBy("_f", "_p")
-    out = x.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("ticker", "_f", "_p")
+    from riskfold.operators.news import keep_first
+    out = keep_first(x, "ticker", ["_f", "_p"])
     if out.isEmpty():
         raise ValueError(f"no tickers in {path}")
     return out
