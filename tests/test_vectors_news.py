@@ -97,3 +97,25 @@ def test_retention_keeps_undated(spark):
     kept, purged = news.retention_split(df, "2024-03-02 00:00:00", 14)
     assert sorted(r.id for r in kept.collect()) == ["new", "none"]
     assert [r.id for r in purged.collect()] == ["old"]
+
+
+def test_greedy_dedupe_with_exact_copies(spark):
+    rng = np.random.default_rng(9)
+    n = 120
+    base = rng.normal(size=(4, 12))
+    vecs = base[rng.integers(0, 4, n)] + 0.5 * rng.normal(size=(n, 12))
+    vecs = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    for i in range(0, n, 3):          # every third row is an exact copy of an earlier row
+        vecs[i] = vecs[int(rng.integers(0, max(1, i)))] if i else vecs[i]
+    groups = [f"g{int(x)}" for x in rng.integers(0, 2, n)]
+    for i in range(0, n, 3):
+        j = [k for k in range(i) if (vecs[k] == vecs[i]).all()]
+        if j:
+            groups[i] = groups[j[0]]
+    summaries = ["y" * int(k) for k in rng.integers(1, 40, n)]
+    QUALITY.clear()
+    QUALITY.update({i: len(summaries[i]) for i in range(n)})
+    rows = [(i, groups[i], [float(x) for x in vecs[i]], "", summaries[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, ticker string, vec array<double>, headline string, summary string")
+    got = {r.id for r in vectors.dedupe_similar(df, 0.75, tile_size=10).collect()}
+    assert got == _sequential_greedy(list(range(n)), vecs, groups, 0.75)
