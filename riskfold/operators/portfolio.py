@@ -149,3 +149,11 @@ def upsert_positions(current: DataFrame, changes: DataFrame, pid: str = "portfol
 def remove_positions(current: DataFrame, removals: DataFrame, pid: str = "portfolio_id") -> DataFrame:
     """Drop the listed (portfolio, ticker) positions."""
     return current.join(removals.select(pid, "ticker"), [pid, "ticker"], "left_anti")
+
+
+def named_portfolios(docs: DataFrame, col: str = "doc", pid: str = "investor") -> DataFrame:
+    """``{"<investor>": {"<ticker>": weight, ...}, ...}`` documents ->
+    long rows (investor, ticker, weight) with two explodes."""
+    m = F.from_json(F.col(col), "map<string, map<string, double>>")
+    outer = docs.select(F.explode(m).alias(pid, "_w"))
+    return outer.select(pid, F.explode("_w").alias("ticker", "weight"))

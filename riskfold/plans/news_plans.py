@@ -145,7 +145,7 @@ SELECT id, ticker, substr(headline, 1, 60) AS headline, substr(summary, 1, 80) A
        strftime(pubdate, '%Y-%m-%d') AS pubdate, (SELECT count(*) FROM arts) AS n_rows
 FROM arts ORDER BY coalesce(strftime(pubdate, '%Y-%m-%d %H:%M:%S'), id) DESC, id DESC LIMIT 10""")
 def q_preview(spark, sf):
-    """P26 + A18: the ten newest rows with short text columns and the row count."""
+    """P26 + A18 + F7: the ten newest rows with prefix text columns and the row count."""
     a = B.articles(spark, sf)
     n = a.select(F.count("*")).scalar()
     top = a.orderBy(news.sort_key_recent().desc(), F.col("id").desc()).limit(10)

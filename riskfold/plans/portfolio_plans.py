@@ -311,3 +311,24 @@ def q_position_upsert(spark, sf):
           .select("portfolio_id", "ticker", (F.col("quantity") * 2).alias("quantity")))
     rm = pos.join(ends, "portfolio_id").where(F.col("ticker") == F.col("lo")).select("portfolio_id", "ticker")
     return portfolio.remove_positions(portfolio.upsert_positions(pos, ch), rm)
+
+
+@register("q_named_portfolios", sql=_SCORE_CTES + """
+SELECT c.c_name AS investor, round(score, 4) + 0.0 AS srisk,
+       CASE WHEN score < 0.33 THEN 'SAFE' WHEN score < 0.66 THEN 'NEUTRAL' ELSE 'AGGRESSIVE' END AS category,
+       round(sigma_p, 4) + 0.0 AS sigma_p, round(mdd_p, 4) + 0.0 AS mdd_p, round(beta_p, 4) + 0.0 AS beta_p,
+       round(hhi, 4) + 0.0 AS hhi
+FROM s JOIN customer c ON c.c_custkey = s.portfolio_id""")
+def q_named_portfolios(spark, sf):
+    """S15 + A17 + T9: named portfolios landed as one JSON map document per
+    investor ({name: {ticker: weight}}), exploded to long rows, scored and
+    listed by score descending with nulls last."""
+    w = weights_of(spark, sf).select("portfolio_id", "ticker", "weight")
+    cust = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("portfolio_id"), "c_name")
+    maps = w.groupBy("portfolio_id").agg(   # one entry per held security (bounded by the universe)
+        F.map_from_entries(F.collect_list(F.struct(F.col("ticker").cast("string"), "weight"))).alias("m"))
+    docs = maps.join(cust, "portfolio_id").select(F.to_json(F.create_map("c_name", "m")).alias("doc"))
+    long = portfolio.named_portfolios(docs).withColumn("ticker", F.col("ticker").cast("bigint"))
+    sc = risk.score_portfolios(long, B.universe(spark, sf), pid="investor")
+    return (sc.select("investor", "srisk", "category", "sigma_p", "mdd_p", "beta_p", "hhi")
+            .orderBy(F.desc_nulls_last("srisk"), "investor"))
