@@ -144,10 +144,11 @@ def q_failures(spark, sf):
     return bad
 
 
-def stored_fundamentals(spark, sf):
+def stored_fundamentals(spark, sf, good=None):
     """A previous snapshot: refreshed values are scaled by 0.9 and the
     snapshot also holds header words and symbols no longer listed."""
-    good, _ = FU.split_failures(FU.assemble(FU.wide_records(provider_records(spark, sf))))
+    if good is None:
+        good, _ = FU.split_failures(FU.assemble(FU.wide_records(provider_records(spark, sf))))
     old = good.select("Ticker", "Sector", "Industry",
                       *[(F.col(f"`{c}`") * 0.9).alias(c) for c in schemas.FUNDAMENTAL_NUMERIC])
     gone = (read_table(spark, sf, "part").select(F.concat(F.lit("P"), B.symbol("p_size")).alias("Ticker")).distinct())
@@ -167,8 +168,10 @@ FROM bf""")
 def q_backfill(spark, sf):
     """J7 + U2 + U4 + W9 + P11 + T5: refreshed rows win, stored rows of keys
     not refreshed are kept, sorted by ticker."""
+    from riskfold.session import cut_lineage
     good, _ = FU.split_failures(FU.assemble(FU.wide_records(provider_records(spark, sf))))
-    stored = stored_fundamentals(spark, sf)
+    good = cut_lineage(good)       # one row per ticker; feeds both sides below
+    stored = stored_fundamentals(spark, sf, good)
     m = FU.backfill(good.withColumn("origin", F.lit("fresh")), stored.withColumn("origin", F.lit("stored")))
     m = m.orderBy("Ticker")
     return m.select("Ticker", "Sector", F.round(F.col("`Profit Margin`"), 6).alias("Profit Margin"),
