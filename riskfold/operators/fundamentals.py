@@ -85,8 +85,11 @@ def pick(records, keys) -> Column:
 def assemble(wide: DataFrame, ticker: str = "ticker") -> DataFrame:
     """J10 + M2 + M3 + M4 + M5: the 23-column fundamentals row; tickers whose
     seven records are all empty become failure rows (``_error``)."""
-    base = {"shares": pick(*SHARES), "revenue": pick(*REVENUE), "cash": pick(*TOTAL_CASH),
-            "debt": pick(*TOTAL_DEBT), "equity": pick(*TOTAL_EQUITY)}
+    # shared fallback inputs, computed once per row in their own projection
+    wide = wide.select("*", pick(*SHARES).alias("_shares"), pick(*REVENUE).alias("_revenue"),
+                       pick(*TOTAL_CASH).alias("_cash"), pick(*TOTAL_DEBT).alias("_debt"),
+                       pick(*TOTAL_EQUITY).alias("_equity"))
+    base = {k: F.col(f"_{k}") for k in ("shares", "revenue", "cash", "debt", "equity")}
     cols = [F.col(ticker).alias("Ticker"),
             F.col("profile").getItem("sector").alias("Sector"),
             F.col("profile").getItem("industry").alias("Industry")]
