@@ -19,9 +19,16 @@ from riskfold.sources.tables import read_table
 NUMS = schemas.FUNDAMENTAL_NUMERIC
 
 
-def fundamentals(spark, sf):
+def fundamentals(spark, sf, small_side: bool = True):
+    """One row per security.  ``small_side``: joined to a large text table as
+    a broadcast side only after its size was checked
+    (``broadcast_if_small``), so the text side streams with its own
+    partitioning; otherwise left to the planner / AQE."""
     good, _ = FU.split_failures(FU.assemble(FU.wide_records(FP.provider_records(spark, sf))))
-    return good
+    if not small_side:
+        return good
+    from riskfold.session import broadcast_if_small
+    return broadcast_if_small(good)
 
 
 def news_ticker(source: F.Column) -> F.Column:
@@ -98,7 +105,7 @@ SELECT uticker AS ticker, array_to_string({NOTES_FINAL}, chr(10)) AS notes, CAST
 def q_fin_notes(spark, sf):
     """N1 + F9: report notes of every security (first five of six)."""
     u = B.universe(spark, sf).select("ticker", B.symbol("ticker").alias("fsym"))
-    f = fundamentals(spark, sf).withColumnRenamed("Ticker", "fsym").withColumn("_has", F.lit(True))
+    f = fundamentals(spark, sf, small_side=False).withColumnRenamed("Ticker", "fsym").withColumn("_has", F.lit(True))
     j = u.join(f, "fsym", "left")
     notes = C.financial_notes(F.col("_has").isNotNull())
     return j.select("ticker", F.array_join(notes, "\n").alias("notes"), F.size(notes).alias("n_notes"))
@@ -293,7 +300,7 @@ def q_reports(spark, sf):
     w = PP.weights_of(spark, sf, pt)
     u = B.universe(spark, sf, pt)
     h = w.select("portfolio_id", "ticker", "weight").join(u, "ticker").withColumn("sym", B.symbol("ticker"))
-    f = fundamentals(spark, sf).withColumnRenamed("Ticker", "fsym").drop("Sector", "Industry").withColumn(
+    f = fundamentals(spark, sf, small_side=False).withColumnRenamed("Ticker", "fsym").drop("Sector", "Industry").withColumn(
         "_has", F.lit(True))
     nc = (read_table(spark, sf, "documents").groupBy(news_ticker(F.col("source")).alias("sym"))
           .agg(F.least(F.count("*"), F.lit(3)).alias("n_news")))

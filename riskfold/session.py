@@ -58,3 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a join side only behind a size check: the side is
+    materialised once (reliable checkpoint), counted, and hinted for
+    broadcast when it has at most ``max_rows`` rows; beyond that it stays a
+    shuffle join (AQE still splits skewed keys)."""
+    from pyspark.sql import functions as F
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
