@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,19 +42,40 @@ def build_session(master: str | None = None, app: str = "riskfold",
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when nothing is configured (tests, local
-    runs) a private scratch folder is created and registered."""
+    ``spark.checkpoint.dir``.  When nothing is configured, a scratch folder is
+    set up for local masters (one machine: every task sees it); on a cluster
+    it is an error, as no executor would see the driver's folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="riskfold-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so that
+    functions given to Spark resolve their module from any working folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_riskfold_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="riskfold-pkg-"), "riskfold_pkg.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._riskfold_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) into the shared folder."""
     checkpoint_dir(df.sparkSession)
