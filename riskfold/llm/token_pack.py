@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from riskfold.llm.words import documents, slices, texts
 from riskfold.session import checkpoint_dir
 
 BLOCK_TOKENS = 1 << 16
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 700_000
 
 BLOCK_SCHEMA = ("shard int, block int, first long, width int, tokens long, "
                 "doc_ids array<long>, n_tokens array<int>, payload binary")
@@ -44,8 +45,15 @@ def width_of(vocab_size: int) -> int:
     return max(1, (vocab_size - 1).bit_length())
 
 
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4", 64: "<u8"}
+
+
 def pack(ids: np.ndarray, width: int) -> bytes:
     n = -(-len(ids) // 64) * 64
+    if width in WHOLE:  # whole bytes: the same layout without shifts
+        out = np.zeros(n, dtype=WHOLE[width])
+        out[:len(ids)] = ids
+        return out.tobytes()
     lanes = np.zeros(n, dtype=np.uint64)
     lanes[:len(ids)] = ids
     lanes = lanes.reshape(-1, 64)
@@ -62,6 +70,8 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     """Ids start .. start + count - 1; touches only their 64-id groups."""
     if count <= 0:
         return np.zeros(0, dtype=np.uint64)
+    if width in WHOLE:
+        return np.frombuffer(payload, dtype=WHOLE[width], offset=start * width // 8, count=count)
     a, b = start // 64, -(-(start + count) // 64)
     words = np.frombuffer(payload, dtype="<u8", offset=a * width * 8, count=(b - a) * width).reshape(-1, width)
     out = np.empty((b - a, 64), dtype=np.uint64)
@@ -75,85 +85,129 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
     return out.reshape(-1)[start - a * 64:start - a * 64 + count]
 
 
+class _Pieces(dict):
+    """Piece -> ids, in two generations."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.old = encoder, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encoder.piece_ids(key)
+        self[key] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHE_ENTRIES:
+            self.old = self.copy()
+            self.clear()
+
+
 class Encoder:
     """The tokenizers library with a cache over blank-delimited pieces.
 
-    A byte-level BPE cuts text before a single blank that precedes a non-blank
-    and around line ends, so ids of a text are the ids of its pieces in a row.
-    Texts where that could fail (other blanks than space, tab, line end;
-    special tokens as text) are encoded whole, as are all texts of tokenizers
-    with another pre-tokenizer.
+    A byte-level BPE cuts text before a single space that stands between
+    non-blanks and around a single line end, so the ids of a text are the ids
+    of its pieces in a row.  Texts with two blanks in a row are cut by
+    ``PIECES``, which leaves a run of blanks as the pre-tokenizer does; texts
+    with other blanks or special tokens are encoded whole, as are all texts
+    of tokenizers with another pre-tokenizer.
+
+    Piece keys: ``\\0x`` is x without a space before it, ``x`` is x after a
+    space.  The cache has two generations of at most CACHE_ENTRIES pieces;
+    pieces in use move to the young one, the old one is dropped whole.
     """
 
     PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-    ODD = re.compile(r"[^\S \n\t\r]|[\x1c-\x1f\x85᠎​﻿]")
+    #: two blanks in a row, or a blank at either end (asked of "\n" + text + "\n")
+    RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+    #: blanks and near-blanks on which regex engines may differ, and the mark of piece keys
+    ODD = tuple(sorted({chr(c) for c in range(0x10000) if chr(c).isspace()} - set(" \n\t\r") | set("\0᠎​﻿")))
+    LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+    LATIN = re.compile(f"[{LETTERS}]+")
+    MARKS = frozenset(".,;:!?|")
 
     def __init__(self, path: str):
         import json
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-                         and not pre.get("add_prefix_space") and spec.get("normalizer") is None)
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-        self.line_end = self._ids("\n")
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.by_piece = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+                         and (spec.get("model") or {}).get("type") == "BPE" and not pre.get("add_prefix_space") and spec.get("normalizer") is None)
+        if self.by_piece:
+            self.model, self.pre_cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.space = self.pre_cut(" a")[0][0][:-1]
+            letters = re.findall(f"[{self.LETTERS}]", "".join(map(chr, range(0x250))))
+            self.bytes_as_text = str.maketrans({c: self.pre_cut(c)[0][0] for c in letters})
+        self.cache = _Pieces(self)
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One per worker process, so later tasks find a warm cache."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        words = []
-        for p in pieces:
-            if p.isspace():
-                self.cache[p] = self._ids(p).tobytes()
-            else:
-                words.append(p)
-        if not words:
-            return
-        ids = self._ids("\n".join(words))
-        cuts = np.flatnonzero(ids == self.line_end[0])
-        parts = np.split(ids, cuts)
-        if len(parts) != len(words):
-            raise ValueError("tokenizer merges across line ends")
-        self.cache[words[0]] = parts[0].tobytes()
-        for w, p in zip(words[1:], parts[1:]):
-            self.cache[w] = p[1:].tobytes()
+    def piece_ids(self, key: str) -> bytes:
+        """Ids of an unseen piece.  A plain word is one pre-token, so the BPE
+        model takes it directly; a mark behind it is a pre-token of its own;
+        other pieces go through the pre-tokenizer first."""
+        glued = key[:1] == "\0"
+        piece = key[1:] if glued else key
+        if piece[-1:] in self.MARKS and piece[:-1].isalpha():
+            return self.cache[key[:-1]] + self.cache["\0" + piece[-1]]
+        if piece.isalpha() and (piece.isascii() or self.LATIN.fullmatch(piece)):
+            text = piece if piece.isascii() else piece.translate(self.bytes_as_text)
+            return array(self.code, [t.id for t in self.model(text if glued else self.space + text)]).tobytes()
+        cut = self.pre_cut(piece if glued else " " + piece) if piece or not glued else []
+        return array(self.code, [t.id for text, _ in cut for t in self.model(text)]).tobytes()
+
+    def _cut(self, text: str) -> list[str]:
+        ended = f"\n{text}\n"
+        if any(r in ended for r in self.RUNS):
+            return [p[1:] if p[0] == " " and len(p) > 1 and not p.isspace() else "\0" + p for p in self.PIECES.findall(text)]
+        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         """Little-endian ids of each row, as bytes of ``dtype``."""
         out: list[bytes | None] = [None] * len(rows)
         cut: dict[int, list[str]] = {}
+        odd = self.ODD + tuple(self.special)
+        odd_ascii = tuple(x for x in odd if x.isascii())
         for i, t in enumerate(rows):
-            if (self.by_piece and len(self.line_end) == 1 and not self.ODD.search(t)
-                    and not any(s in t for s in self.special)):
-                cut[i] = self.PIECES.findall(t)
+            if self.by_piece and not any(x in t for x in (odd_ascii if t.isascii() else odd)):
+                cut[i] = self._cut(t)
             else:
                 out[i] = self._ids(t).tobytes()
-        known = self.cache
-        missing = {p for pieces in cut.values() for p in pieces if p not in known}
-        if missing:
-            if len(known) > CACHE_ENTRIES:
-                missing = {p for pieces in cut.values() for p in pieces}
-            self._learn(missing)
+        self.cache.age()
         for i, pieces in cut.items():
-            out[i] = b"".join(map(known.__getitem__, pieces))
+            out[i] = b"".join(map(self.cache.__getitem__, pieces))
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: int, end_id: int = 0,
                  doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every text, append ``end_id``, write blocks in doc_id order."""
     width = width_of(vocab_size)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         size = np.dtype(encoder.dtype).itemsize
