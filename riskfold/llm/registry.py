@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ("token_pack", "mixing")
+_MODULES = ("token_pack", "mixing", "simhash")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
