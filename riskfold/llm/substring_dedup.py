@@ -9,9 +9,9 @@ words also start in a document with a smaller doc_id goes.
    share an anchor at the same offset (d + PERIOD <= 2 * PERIOD - 1 = WINDOW),
    though only 3 of 7 positions are hashed.
 2. An anchor hash found in two documents is shared.  Frequent anchors are told
-   from a bounded sample of documents; they are known to be shared, so their
-   rows are only salted and spread.  All others are compared by hash.
-3. Extension: only windows around a document's shared anchors are hashed (128
+   from a bounded sample of documents; they are known to be shared and need no
+   comparison.  All others are compared by hash.
+3. Extension: only windows around a document's shared anchors are hashed (96
    bits) and compared with the least doc_id that has them.  Windows on frequent
    anchors are compared in two levels (per salt, then the least of the salts).
 4. The windows found go back to their documents, which drop the words.
@@ -34,17 +34,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from riskfold.llm.registry import register
-from riskfold.llm.words import Words, documents, id_or_last, id_or_null, ngrams, slices, texts
+from riskfold.llm.words import SLICE_BYTES, Words, documents, id_or_last, id_or_null, ngrams, slices, texts
 
 PERIOD, COVER = 7, (0, 1, 3)
 WINDOW = 2 * PERIOD - 1
 SAMPLE_DOCS = 20_000
 FREQUENT = 50
 SALTS = 64
+# Anchors are compared by 48 bits: a chance match only adds windows that the
+# exact step then turns down (below 3 % more at 10**13 anchors).
+ANCHOR_SHIFT = np.uint64(16)
+
+
+U32 = np.uint64(32)
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +61,34 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(n) - words.first[words.row]
     length = np.diff(words.first)[words.row]
     at = np.flatnonzero(np.isin(place % PERIOD, COVER) & (place + PERIOD <= length) & (length >= WINDOW))
-    return at, ngrams(words.hashes, PERIOD)[at] if len(at) else np.zeros(0, np.uint64)
+    return at, ngrams(words.hashes, PERIOD)[at] >> ANCHOR_SHIFT if len(at) else np.zeros(0, np.uint64)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _compact(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``text`` as compressed bytes: the text is the bulk of what is shuffled."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for part in slices(batches, "text"):
+            packed = pa.array([packer.compress(t.encode()) for t in texts(part)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if c == "text" else part.column(c) for c in names], names=names)
+
+    schema = docs.schema
+    schema["text"].dataType = BinaryType()
+    return docs.mapInArrow(run, schema)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    unpacker = zstandard.ZstdDecompressor()
+    for part in slices(batches, "text", SLICE_BYTES // 3):
+        yield part, [unpacker.decompress(t) for t in part.column("text").to_pylist()]
+
+
 def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.isin(x, of) if len(of) else np.zeros(len(x), dtype=bool)
 
@@ -69,25 +98,24 @@ def _list_values(column) -> np.ndarray:
 
 
 def _shared_anchors(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(d, anchors): the hashes of each document's anchors that other documents have."""
+    """(d, anchors): hashes of each document's anchors that other documents
+    have; frequent ones are known to be shared and never travel."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = Words(texts(part))
             at, h = _anchors(words)
-            row = words.row[at]
+            rare = ~_member(h, frequent)
+            h, row = h[rare], words.row[at[rare]]
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            h, row = h[new], row[new]
-            d = part.column("d").to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(d), pa.array(_member(h, frequent))], names=["h", "d", "hot"])
+            d = part.column("d").to_numpy(zero_copy_only=False)[row[new]]
+            yield pa.RecordBatch.from_arrays([_signed(h[new]), pa.array(d)], names=["h", "d"])
 
-    found = docs.select("d", "text").mapInArrow(run, "h long, d long, hot boolean")
-    # frequent anchors need no comparison: their key only spreads them
-    spread = found.withColumn("key", F.when(F.col("hot"), F.xxhash64("h", "d")).otherwise(F.col("h")))
-    same = Window.partitionBy("key")
-    return (spread.withColumn("shared", F.col("hot") | (F.min("d").over(same) < F.max("d").over(same)))
+    same = Window.partitionBy("h")
+    return (docs.select("d", "text").mapInArrow(run, "h long, d long")
+            .withColumn("shared", F.min("d").over(same) < F.max("d").over(same))
             .where("shared").groupBy("d").agg(F.collect_list("h").alias("anchors")))
 
 
@@ -110,20 +138,21 @@ def _frequent_anchors(docs: DataFrame, sample_docs: int, frequent: int) -> np.nd
 
 
 def _candidate_windows(docs: DataFrame, anchors: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(w, x, d, salt): 128-bit hashes of the windows around shared anchors."""
+    """(w, x, d): 96-bit hashes (w and the upper half of x) of the windows
+    around shared anchors; the lower half of x is the salt, 0 for none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            words = Words(texts(part))
+        for part, rows in _unpacked(batches):
+            words = Words(rows)
             at, h = _anchors(words)
             n = len(words.hashes)
             near = np.zeros(n + 1, dtype=np.int64)
-            use = _member(h, _list_values(part.column("anchors")))
+            use = _member(h, _list_values(part.column("anchors"))) | _member(h, frequent)
             np.add.at(near, np.maximum(at - (WINDOW - PERIOD), words.first[words.row[at]])[use], 1)
             np.add.at(near, at[use] + 1, -1)
             left = words.first[1:][words.row] - np.arange(n)
             start = np.flatnonzero((np.cumsum(near)[:n] > 0) & (left >= WINDOW))
             # by content alone, so a window is salted in all its documents or in none
-            hot = np.concatenate(([0], np.cumsum(_member(ngrams(words.hashes, PERIOD), frequent))))
+            hot = np.concatenate(([0], np.cumsum(_member(ngrams(words.hashes, PERIOD) >> ANCHOR_SHIFT, frequent))))
             w, x = ngrams(words.hashes, WINDOW, 2)[start], ngrams(words.hashes, WINDOW, 3)[start]
             row = words.row[start]
             order = np.lexsort((w, row))
@@ -132,18 +161,19 @@ def _candidate_windows(docs: DataFrame, anchors: DataFrame, frequent: np.ndarray
             new[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1]) | (row[1:] != row[:-1])
             w, x, row, start = w[new], x[new], row[new], start[new]
             d = part.column("d").to_numpy(zero_copy_only=False)[row]
-            salt = np.where(hot[start + PERIOD] > hot[start], 1 + d % SALTS, 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(w), _signed(x), pa.array(d), pa.array(salt)], names=["w", "x", "d", "salt"])
+            salt = np.where(hot[start + PERIOD] > hot[start], 1 + d % SALTS, 0).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([_signed(w), _signed(x >> U32 << U32 | salt), pa.array(d)], names=["w", "x", "d"])
 
-    return docs.join(anchors, "d").select("d", "text", "anchors").mapInArrow(run, "w long, x long, d long, salt int")
+    return docs.join(anchors, "d", "left").select("d", "text", "anchors").mapInArrow(run, "w long, x long, d long")
 
 
 def _repeated_windows(windows: DataFrame) -> DataFrame:
     """(d, windows): first halves of the hashes of d's windows that a smaller d has too."""
-    least = windows.withColumn("least", F.min("d").over(Window.partitionBy("w", "x", "salt")))
+    least = windows.withColumn("least", F.min("d").over(Window.partitionBy("w", "x")))
     later = least.where("d > least").select("w", "d")
-    firsts = least.where("d = least and salt > 0").select("w", "x", "d")
-    again = firsts.withColumn("least", F.min("d").over(Window.partitionBy("w", "x"))).where("d > least").select("w", "d")
+    # one expression, so it stays above the window and both branches use one exchange
+    firsts = least.where(F.when(F.col("d") == F.col("least"), F.col("x").bitwiseAND(F.lit(255))).otherwise(0) > 0).select("w", F.shiftright("x", 32).alias("y"), "d")
+    again = firsts.withColumn("least", F.min("d").over(Window.partitionBy("w", "y"))).where("d > least").select("w", "d")
     return later.unionByName(again).groupBy("d").agg(F.collect_list("w").alias("windows"))
 
 
@@ -156,13 +186,13 @@ def remove_repeats(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, frequent: in
     lean = given.select("d", "text")
     hot = _frequent_anchors(lean, sample_docs, frequent)
     anchors = _shared_anchors(lean, hot)
-    repeats = _repeated_windows(_candidate_windows(given, anchors, hot))
-    joined = given.join(repeats, "d", "left")
+    packed = _compact(given)
+    repeats = _repeated_windows(_candidate_windows(packed, anchors, hot))
+    joined = packed.join(repeats, "d", "left")
     schema = given.select(*columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            rows = [t.encode() for t in texts(part)]
+        for part, rows in _unpacked(batches):
             words = Words(rows)
             w = ngrams(words.hashes, WINDOW, 2)
             lists = part.column("windows")
@@ -183,7 +213,7 @@ def remove_repeats(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, frequent: in
                     kept.append(b" ".join(own))
                 total.append(b - a)
                 removed.append(gone)
-            arrays = [part.column(c) for c in columns] + [
+            arrays = [pa.array([t.decode() for t in rows], pa.string()) if c == "text" else part.column(c) for c in columns] + [
                 pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=columns + ["n_words", "n_removed", "kept_text"])
 
