@@ -70,8 +70,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS,
         size: Column | None = None) -> DataFrame:
-    """``docs`` plus size, source_size, target and copies (0 .. epochs)."""
-    sized = docs.withColumn("size", word_count("text") if size is None else size)
+    """``docs`` plus size, source_size, target and copies (0 .. epochs);
+    columns of these names are replaced."""
+    sized = docs.drop("source_size", "target", "copies").withColumn("size", word_count("text") if size is None else size)
     # sizes and keys are needed several times: written once, without the texts
     rows = cut_lineage(sized.select("doc_id", "source", "size"))
     targets = cut_lineage(source_targets(rows, weights, share, epochs))

@@ -178,9 +178,9 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, frequent: int = FREQUENT) -> DataFrame:
-    """``docs`` plus n_words, n_removed, kept_text."""
+    """``docs`` plus n_words, n_removed, kept_text (columns of these names are replaced)."""
     # other columns travel under numbers, so their names cannot clash with ours
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")]
     columns = ["d", "text", *(f"c{i}" for i in range(len(rest)))]
     given = docs.select("doc_id", "text", *rest).toDF("doc_id", *columns[1:]).withColumn("d", id_or_last("doc_id")).select(*columns)
     lean = given.select("d", "text")
