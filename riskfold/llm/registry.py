@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ("token_pack", "mixing", "simhash", "substring_dedup", "language_crf")
+_MODULES = ("decontaminate", "token_pack", "mixing", "simhash", "substring_dedup", "language_crf")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}

@@ -112,14 +112,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Words:
     """All words of a slice: 64-bit hash of each, and the first word of each row."""
 
-    def __init__(self, rows: list[str] | list[bytes], lower: bool = False):
+    def __init__(self, rows: list[str] | list[bytes], blank: np.ndarray = _BLANK):
         raw = [t.encode() if isinstance(t, str) else t for t in rows]
         self.buffer = b"\n".join(raw) + b"\n"
         data = np.frombuffer(self.buffer, dtype=np.uint8)
-        self.starts, self.ends = spans_of(_BLANK[data])
-        if lower:
-            upper = (data >= 65) & (data <= 90)
-            data = data + (upper * np.uint8(32))
+        self.starts, self.ends = spans_of(blank[data])
         self.hashes = span_hashes(data, self.starts, self.ends)
         row_start = np.concatenate(([0], np.cumsum([len(t) + 1 for t in raw])))
         #: words of row r are first[r]:first[r + 1]
