@@ -33,7 +33,7 @@ def test_alignment_equals_cell_by_cell():
     assert score.tolist() == [slow(q, p) for q, p in zip(qs, ps)]
     for q, p, s, e in zip(qs, ps, score, end):
         assert s == slow(q, p[:e])
-        assert e == 0 or slow(q, p[:e - 1]) < s
+        assert e == 0 or p[e - 1] in q  # a best alignment ends on an equal word
 
 
 def edited(rng, ws, share):
