@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ("decontaminate", "token_pack", "mixing", "simhash", "substring_dedup", "language_crf", "line_clean", "secret_scan")
+_MODULES = ("decontaminate", "token_pack", "mixing", "simhash", "substring_dedup", "language_crf", "line_clean", "secret_scan", "pii")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
