@@ -43,10 +43,10 @@ YES, NO, NOTHING = 1, 0, 2
 ACCEPT = 0.9
 CONTEXT = 40  # characters before a candidate
 
-# fixed values: the base regexes
+# fixed values: the base regexes (that of emails stands at its function)
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    # a match can only begin where a run of digits does: linear on any text
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -81,9 +81,29 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found
+    from each @ outwards: linear on any text."""
+    out, free = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at)):
+            out.append((start, m.end()))
+            free = m.end()
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_ok(kind: str, span: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in span.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in span.split("."))
     if kind == "card":
         d = _digits(span)
         return 14 <= len(d) <= 19 and luhn(d)
@@ -96,7 +116,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end), by start and kind."""
     out = []
     for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+        if kind == "email":
+            out += [(a, k, b) for a, b in emails(text)]
             continue
         out += [(m.start(), k, m.end()) for m in BASE[kind].finditer(text) if base_ok(kind, m[0])]
     return sorted(out)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ("decontaminate", "token_pack", "mixing", "simhash", "substring_dedup", "language_crf", "line_clean", "secret_scan", "pii")
+_MODULES = ("decontaminate", "substring_dedup", "line_clean", "language_crf", "url_templates",
+            "token_pack", "mixing", "simhash", "pii", "secret_scan")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
