@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskfold.llm.registry import register
-from riskfold.llm.words import documents, slices, texts
+from riskfold.llm.words import documents, slices, texts, worker_cache
 from riskfold.session import checkpoint_dir
 
 BLOCK_TOKENS = 1 << 16
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 550_000  # of each generation; some 200 bytes an entry
+OWNER = "token_pack"
 
 BLOCK_SCHEMA = ("shard int, block int, first long, width int, tokens long, "
                 "doc_ids array<long>, n_tokens array<int>, payload binary")
@@ -154,9 +155,10 @@ class Encoder:
     @classmethod
     def of(cls, path: str) -> Encoder:
         """One per worker process, so later tasks find a warm cache."""
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+        encoders = worker_cache(OWNER)
+        if path not in encoders:
+            encoders[path] = cls(path)
+        return encoders[path]
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
@@ -198,9 +200,6 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: int, end_id: int = 0,
                  doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
     """Encode every text, append ``end_id``, write blocks in doc_id order."""
@@ -224,7 +223,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: in
                 pa.array([pack(tokens, width)], pa.binary())],
                 names=["shard", "block", "first", "width", "tokens", "doc_ids", "n_tokens", "payload"])
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", owner=OWNER):
             for i, r in zip(part.column("doc_id").to_pylist(), encoder.encode_all(texts(part))):
                 ids.append(i)
                 rows.append(r + end)

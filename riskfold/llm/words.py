@@ -7,6 +7,8 @@ bytes this is exactly what ``bytes.split()`` cuts, so words never need a regex.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +42,31 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+# What an operator keeps from task to task in a Python worker, by operator.
+_worker_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The owner's cache in this worker process; those of other operators are
+    dropped, so a worker that serves several in turn holds one at a time."""
+    for other in [o for o in _worker_caches if o != owner]:
+        _worker_caches.pop(other).clear()
+    return _worker_caches.setdefault(owner, {})
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers are reused and would
+    keep the largest task's heap for the life of the application."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES,
+           owner: str = "") -> Iterator[pa.RecordBatch]:
     """Consecutive slices whose ``column`` holds about ``limit`` bytes; a
     longer text is a slice of its own.  No row is dropped."""
+    worker_cache(owner)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -54,6 +78,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
+        del batch
+        _give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
