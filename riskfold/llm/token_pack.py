@@ -34,7 +34,7 @@ from riskfold.llm.words import documents, slices, texts, worker_cache
 from riskfold.session import checkpoint_dir
 
 BLOCK_TOKENS = 1 << 16
-CACHE_ENTRIES = 550_000  # of each generation; some 200 bytes an entry
+CACHE_ENTRIES = 700_000  # of each generation; some 200 bytes an entry
 OWNER = "token_pack"
 
 BLOCK_SCHEMA = ("shard int, block int, first long, width int, tokens long, "
