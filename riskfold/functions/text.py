@@ -135,8 +135,3 @@ def kv_lines(pairs) -> Column:
     ``pairs`` is a list of (label, column)."""
     items = [F.when(_c(v).isNotNull(), F.concat(F.lit(f"{k}: "), _c(v).cast("string"))) for k, v in pairs]
     return F.array_join(F.array_compact(F.array(*items)), "\n")
-
-
-def truncate(c, n: int = 8000) -> Column:
-    """The reference caps prompt text at ``n`` characters."""
-    return F.substring(_c(c), 1, n)

@@ -327,10 +327,10 @@ Instructions:
 Summary:"""
 
 
-def summary_prompt(focus: Column, article: Column, max_chars: int = 8000) -> Column:
-    """F14 + P23: summarisation prompt (the reference caps the article text
-    handed to the model at ``max_chars``)."""
-    return F.format_string(SUMMARY_PROMPT, focus, X.truncate(article, max_chars))
+def summary_prompt(focus: Column, article: Column) -> Column:
+    """summarisation prompt with the whole article (P23's cut would lose
+    what stands after it)."""
+    return F.format_string(SUMMARY_PROMPT, focus, article)
 
 
 def extractive_summary(text: Column) -> Column:

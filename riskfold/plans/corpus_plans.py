@@ -253,7 +253,7 @@ look AS (SELECT q.id, q.ticker, src.article FROM queue q JOIN src ON src.headlin
          WHERE src.article IS NOT NULL
          QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY src.src_order) = 1),
 new AS (SELECT id, {_EXTRACT_SQL.format(t='article')} AS summary,
-               length(printf('{C.SUMMARY_PROMPT.replace("'", "''")}', ticker, substr(article, 1, 8000))) AS prompt_chars FROM look)
+               length(printf('{C.SUMMARY_PROMPT.replace("'", "''")}', ticker, article)) AS prompt_chars FROM look)
 SELECT s.id, coalesce(n.summary, s.summary) AS summary, n.prompt_chars
 FROM store s LEFT JOIN new n USING (id)""")
 def q_summary_queue(spark, sf):
