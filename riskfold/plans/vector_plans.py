@@ -104,7 +104,7 @@ def q_hash_encode(spark, sf):
 
 
 def text_vectors(spark, sf, arts):
-    return vectors.hash_encode(arts.select("id", vectors.embed_text().alias("text")), "text", "id")
+    return vectors.hash_encode(arts.select("id", vectors.embed_text(joined=True).alias("text")), "text", "id")
 
 
 @register("q_index_build")
@@ -113,9 +113,12 @@ def q_index_build(spark, sf):
     candidates (seeded ticker vectors and projection: rows-only check)."""
     arts = news.index_candidates(B.articles(spark, sf), B.AS_OF, 30)
     idx = vectors.build_index(arts, text_vectors(spark, sf, arts), B.AS_OF)
+    idx = idx.withColumn("data", vectors.vector_to_bytes(F.col("ivect"))).withColumn("back", vectors.bytes_to_vector(F.col("data")))
     n = F.sqrt(F.aggregate("ivect", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return idx.select("id", F.size("ivect").alias("dims"), F.round(n, 4).alias("norm"),
-                      (F.size("ivect") * 4).cast("long").alias("ivect_bytes"))
+    place = F.sequence(F.lit(1), F.lit(vectors.DIM_TOTAL))
+    check = F.aggregate(F.zip_with("back", place, lambda x, i: x.cast("double") * i), F.lit(0.0), lambda a, x: a + x)
+    return idx.select("id", F.size("ivect").alias("dims"), F.round(n, 4).alias("norm"), F.octet_length("data").cast("long").alias("ivect_bytes"),
+                      (F.col("back") == F.col("ivect")).alias("round_trip"), F.round(check, 3).alias("checksum"))
 
 
 @register("q_cleanup")
