@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskfold.llm.registry import register
-from riskfold.llm.words import documents, slices, texts, worker_cache
+from riskfold.llm.words import documents, rows_per_batch, slices, texts, worker_cache
 from riskfold.session import checkpoint_dir
 
 BLOCK_TOKENS = 1 << 16
-CACHE_ENTRIES = 700_000  # of each generation; some 200 bytes an entry
+BATCH_ROWS = 1000
+CACHE_ENTRIES = 600_000  # of each generation; some 200 bytes an entry
 OWNER = "token_pack"
 
 BLOCK_SCHEMA = ("shard int, block int, first long, width int, tokens long, "
@@ -237,9 +238,11 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: in
 
     key = F.col("doc_id").asc_nulls_last()
     tie = F.xxhash64("text")
-    (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-     .repartitionByRange(key, tie).sortWithinPartitions(key, tie, "text")
-     .mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path))
+    # texts cross to Python in small batches: the piece cache needs the memory
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        (docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+         .repartitionByRange(key, tie).sortWithinPartitions(key, tie, "text")
+         .mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(path))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

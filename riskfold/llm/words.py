@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 # Text bytes handled at once inside a task: bounds the numpy arrays of a slice.
 SLICE_BYTES = 1 << 20
+GIVE_BACK_BYTES = 32 << 20
 BIG_ID = (1 << 63) - 1
 
 U64 = np.uint64
@@ -54,6 +55,19 @@ def worker_cache(owner: str) -> dict:
     return _worker_caches.setdefault(owner, {})
 
 
+@contextlib.contextmanager
+def rows_per_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside; the
+    session's setting is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before) if int(before) > 0 else rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _give_back() -> None:
     """Return freed memory to the system: Python workers are reused and would
     keep the largest task's heap for the life of the application."""
@@ -67,19 +81,23 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """Consecutive slices whose ``column`` holds about ``limit`` bytes; a
     longer text is a slice of its own.  No row is dropped."""
     worker_cache(owner)
+    since = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False),
                          dtype=np.int64)
-        start = 0
+        start, since = 0, since + int(ends[-1])
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, end - start)
             start = end
         del batch
-        _give_back()
+        if since >= GIVE_BACK_BYTES:
+            since = 0
+            _give_back()
+    _give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
