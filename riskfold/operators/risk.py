@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.numbers import clip
+from riskfold.operators.stats import exact_quantiles_multi
 from riskfold.session import cut_lineage
 
 # Fixed values of the reference score.
@@ -36,28 +37,12 @@ def category(score: Column) -> Column:
             .otherwise(F.lit("AGGRESSIVE")))
 
 
-def universe_quartiles(universe: DataFrame, method: str = "distributed") -> Column:
+def universe_quartiles(universe: DataFrame) -> Column:
     """A4: exact (linear interpolation) q1 / median / q3 of sigma, |mdd| and
-    beta as a struct column.
-
-    ``distributed`` (default) finds the exact order statistics with
-    ``stats.exact_quantiles`` (sketch bracket + bounded band ranking), so no
-    task or buffer has to hold the whole universe; ``aggregate`` uses the
-    built-in ``percentile`` aggregate as a scalar subquery (one final buffer
-    with every value: only for small universes)."""
-    probs = (0.25, 0.5, 0.75)
-    u = universe.where(F.col("sigma").isNotNull() & F.col("mdd").isNotNull() & F.col("beta").isNotNull())
-    if method == "aggregate":
-        pct = F.array(*[F.lit(p) for p in probs])
-        return u.select(F.struct(
-            F.percentile("sigma", pct).alias("sigma"),
-            F.percentile(F.abs(F.col("mdd")), pct).alias("mdd"),
-            F.percentile("beta", pct).alias("beta"))).scalar()
-    from riskfold.operators.stats import exact_quantiles_multi
-    u = cut_lineage(u.select("sigma", F.abs(F.col("mdd")).alias("mdd"), "beta"))
-    arr = exact_quantiles_multi(u, ("sigma", "mdd", "beta"), probs)
-    lit = lambda v: F.lit(v).cast("double")
-    return F.struct(*[F.array(*[lit(v) for v in arr[c]]).alias(c) for c in ("sigma", "mdd", "beta")])
+    beta as a struct column."""
+    metrics = universe.select("sigma", F.abs(F.col("mdd")).alias("mdd"), "beta")
+    found = exact_quantiles_multi(metrics, metrics.columns, (0.25, 0.5, 0.75))
+    return F.struct(*[F.array(*[F.lit(v).cast("double") for v in found[c]]).alias(c) for c in metrics.columns])
 
 
 def robust_z(value: Column, q: Column) -> Column:

@@ -1,20 +1,15 @@
 """Exact quantiles without a single buffer holding every value (A4).
 
 Spark's exact ``percentile`` aggregate merges all values into one final
-buffer.  ``exact_quantiles`` returns the same linear-interpolation result
-from a few distributed passes:
-
-1. ``percentile_approx`` brackets every needed order statistic k between two
-   values L <= x_(k) <= U (its rank error is at most n / accuracy);
-2. one conditional count gives, per k, how many values lie below L and how
-   many inside [L, U] (the band);
-3. only the band rows are ranked: each value is tagged with the bands that
-   contain it, and a window partitioned by band (bounded by ``band_limit``
-   rows) picks rank k - below.  A band whose bounds are equal needs no
-   ranking (ties), and a band that is still too large is narrowed again with
-   a tighter accuracy.
-
-The driver only sees scalars (counts, bounds, the picked values).
+buffer.  Here every size takes the same way:
+
+1. equal values are counted (partial aggregation, so ties of any size are one
+   row) and the distinct values are range-partitioned by (column, value);
+2. the number of values per range gives the range that holds each wanted rank
+   (the driver sees one number per range and column);
+3. a running count inside those ranges only picks the values.
+
+A task never holds more than one range of the distinct values.
 """
 
 from __future__ import annotations
@@ -24,153 +19,61 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskfold.session import cut_lineage
+
 
 def _ranks(n: int, probs) -> list[int]:
-    out = set()
-    for p in probs:
-        pos = (n - 1) * p
-        out.add(int(math.floor(pos)))
-        out.add(int(math.ceil(pos)))
-    return sorted(out)
-
-
-def _order_stats(x: DataFrame, ranks: list[int], n: int, accuracy: int, band_limit: int,
-                 depth: int = 0) -> dict[int, float]:
-    """Exact x_(k) (0-based) for every k in ``ranks`` over column ``x``."""
-    if n == 0 or not ranks:
-        return {}
-    # bracket half-width: the sketch's rank error plus the rank-convention gap
-    eps = 2.0 / accuracy + 2.0 / n
-    qs = []
-    for k in ranks:
-        q = k / (n - 1) if n > 1 else 0.0
-        qs += [max(0.0, q - eps), min(1.0, q + eps)]
-    row = x.agg(F.percentile_approx("x", F.array(*[F.lit(q) for q in qs]), accuracy).alias("b"),
-                F.min("x").alias("mn"), F.max("x").alias("mx")).first()
-    bounds = {}
-    for i, k in enumerate(ranks):
-        lo, hi = row["b"][2 * i], row["b"][2 * i + 1]
-        bounds[k] = (lo, hi)
-    # counts below / inside each band in one pass
-    aggs = []
-    for k in ranks:
-        lo, hi = bounds[k]
-        aggs += [F.count(F.when(F.col("x") < lo, 1)).alias(f"b{k}"),
-                 F.count(F.when((F.col("x") >= lo) & (F.col("x") <= hi), 1)).alias(f"n{k}")]
-    cnt = x.agg(*aggs).first()
-    out: dict[int, float] = {}
-    pending = []
-    for k in ranks:
-        lo, hi = bounds[k]
-        below, inside = cnt[f"b{k}"], cnt[f"n{k}"]
-        if not (below <= k < below + inside):          # approximation missed: use the whole range
-            lo, hi, below, inside = row["mn"], row["mx"], 0, n
-        if lo == hi:
-            out[k] = float(lo)
-        else:
-            pending.append((k, lo, hi, below, inside))
-    small = [t for t in pending if t[4] <= band_limit or depth >= 6]
-    large = [t for t in pending if t not in small]
-    if small:
-        tags = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
-                                  F.lit(k - below).alias("off")) for k, lo, hi, below, _ in small])
-        tagged = x.select("x", F.explode(F.filter(tags, lambda t: (t["lo"] <= F.col("x")) & (F.col("x") <= t["hi"])))
-                          .alias("t"))
-        w = Window.partitionBy(F.col("t.k")).orderBy("x")
-        picked = (tagged.withColumn("_r", F.row_number().over(w) - 1)
-                  .where(F.col("_r") == F.col("t.off")).select(F.col("t.k").alias("k"), "x").collect())
-        out.update({r["k"]: float(r["x"]) for r in picked})
-    for k, lo, hi, below, inside in large:
-        band = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        sub = _order_stats(band, [k - below], inside, min(accuracy * 10, 2**31 - 1), band_limit, depth + 1)
-        out[k] = sub[k - below]
-    return out
-
-
-def exact_quantiles(df: DataFrame, col, probs, accuracy: int = 10_000, band_limit: int = 1_000_000) -> list:
+    """0-based ranks that linear interpolation at ``probs`` reads."""
+    return sorted({r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+
+
+def _interpolate(at: dict[int, float], n: int, p: float) -> float:
+    pos = (n - 1) * p
+    lo, hi = math.floor(pos), math.ceil(pos)
+    return at[lo] if at[lo] == at[hi] else (hi - pos) * at[lo] + (pos - lo) * at[hi]
+
+
+def exact_quantiles_multi(df: DataFrame, cols, probs, ranges: int | None = None) -> dict[str, list]:
     """Linear-interpolation quantiles (same definition as ``percentile`` /
-    ``quantile_cont``) of the non-null, non-NaN values of ``col``."""
-    c = F.col(col) if isinstance(col, str) else col
-    x = df.select(c.cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    n = x.count()
-    if n == 0:
-        return [None for _ in probs]
-    stats = _order_stats(x, _ranks(n, probs), n, accuracy, band_limit)
-    out = []
-    for p in probs:
-        pos = (n - 1) * p
-        lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-        a, b = stats[lo], stats[hi]
-        out.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
-    return out
-
-
-def exact_quantiles_multi(df: DataFrame, cols, probs, accuracy: int = 10_000,
-                          band_limit: int = 1_000_000) -> dict[str, list]:
-    """``exact_quantiles`` for several columns of the same rows in shared
-    passes (one count, one sketch, one conditional count, one band ranking).
-    Rows with a null / NaN in any of ``cols`` are skipped."""
+    ``quantile_cont``) of several columns of the same rows.  Rows with a null
+    or NaN in any of ``cols`` are skipped; no row gives nulls.  ``ranges`` is
+    the number of ranges (default: the session's shuffle partitions)."""
     cols = list(cols)
     x = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     for c in cols:
         x = x.where(F.col(c).isNotNull() & ~F.isnan(c))
-    n = x.count()
+    counts = (x.select(F.posexplode(F.array(*cols)).alias("i", "v"))
+              .groupBy("i", "v").agg(F.count("*").alias("n")))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: the range bounds are sampled, both passes must see the same
+    ranged = cut_lineage(counts.repartitionByRange(ranges, "i", "v").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("i", "part").agg(F.sum("n").alias("n")).orderBy("i", "part").collect()
+
+    n = sum(r["n"] for r in sizes if r["i"] == 0)
     if n == 0:
         return {c: [None for _ in probs] for c in cols}
-    ranks = _ranks(n, probs)
-    eps = 2.0 / accuracy + 2.0 / n
-    qs = []
-    for k in ranks:
-        q = k / (n - 1) if n > 1 else 0.0
-        qs += [max(0.0, q - eps), min(1.0, q + eps)]
-    arr = F.array(*[F.lit(q) for q in qs])
-    row = x.agg(*[F.percentile_approx(c, arr, accuracy).alias(f"b_{i}") for i, c in enumerate(cols)],
-                *[F.min(c).alias(f"mn_{i}") for i, c in enumerate(cols)],
-                *[F.max(c).alias(f"mx_{i}") for i, c in enumerate(cols)]).first()
-    bounds = {(i, k): (row[f"b_{i}"][2 * j], row[f"b_{i}"][2 * j + 1])
-              for i in range(len(cols)) for j, k in enumerate(ranks)}
-    aggs = []
-    for (i, k), (lo, hi) in bounds.items():
-        v = F.col(cols[i])
-        aggs += [F.count(F.when(v < lo, 1)).alias(f"b_{i}_{k}"),
-                 F.count(F.when((v >= lo) & (v <= hi), 1)).alias(f"n_{i}_{k}")]
-    cnt = x.agg(*aggs).first()
-    stats: dict[tuple, float] = {}
-    small, large = [], []
-    for (i, k), (lo, hi) in bounds.items():
-        below, inside = cnt[f"b_{i}_{k}"], cnt[f"n_{i}_{k}"]
-        if not (below <= k < below + inside):
-            lo, hi, below, inside = row[f"mn_{i}"], row[f"mx_{i}"], 0, n
-        if lo == hi:
-            stats[(i, k)] = float(lo)
-        elif inside <= band_limit:
-            small.append((i, k, lo, hi, below))
-        else:
-            large.append((i, k, lo, hi, below, inside))
-    if small:
-        vals = F.array(*[F.col(c) for c in cols])
-        tags = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(lo).alias("lo"),
-                                  F.lit(hi).alias("hi"), F.lit(k - below).alias("off"))
-                         for i, k, lo, hi, below in small])
-        tagged = x.select(vals.alias("_v"), F.explode(F.filter(
-            tags, lambda t: (t["lo"] <= F.element_at(vals, t["i"] + 1)) & (F.element_at(vals, t["i"] + 1) <= t["hi"])))
-            .alias("t")).select(F.col("t.i").alias("i"), F.col("t.k").alias("k"), F.col("t.off").alias("off"),
-                                F.element_at(F.col("_v"), F.col("t.i") + 1).alias("v"))
-        w = Window.partitionBy("i", "k").orderBy("v")
-        picked = (tagged.withColumn("_r", F.row_number().over(w) - 1).where(F.col("_r") == F.col("off"))
-                  .select("i", "k", "v").collect())
-        stats.update({(r["i"], r["k"]): float(r["v"]) for r in picked})
-    for i, k, lo, hi, below, inside in large:
-        band = x.select(F.col(cols[i]).alias("x")).where((F.col("x") >= lo) & (F.col("x") <= hi))
-        stats[(i, k)] = _order_stats(band, [k - below], inside, min(accuracy * 10, 2**31 - 1),
-                                     band_limit, 1)[k - below]
-    out = {}
-    for i, c in enumerate(cols):
-        res = []
-        for p in probs:
-            pos = (n - 1) * p
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            a, b = stats[(i, lo)], stats[(i, hi)]
-            res.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
-        out[c] = res
-    return out
+    wanted, below = [], dict.fromkeys(range(len(cols)), 0)
+    for r in sizes:
+        start = below[r["i"]]
+        wanted += [(r["i"], r["part"], k, k - start) for k in _ranks(n, probs) if start <= k < start + r["n"]]
+        below[r["i"]] = start + r["n"]
+
+    marks = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("part"), F.lit(k).alias("k"),
+                               F.lit(off).alias("off")) for i, p, k, off in wanted])
+    upto = F.sum("n").over(Window.partitionBy("i", "part").orderBy("v")
+                           .rowsBetween(Window.unboundedPreceding, 0))
+    held = ranged.withColumn("marks", F.filter(marks, lambda m: (m["i"] == F.col("i")) & (m["part"] == F.col("part"))))
+    picked = (held.where(F.size("marks") > 0).withColumn("upto", upto)
+              .select("i", "v", "n", "upto", F.explode("marks").alias("m"))
+              .where((F.col("m.off") < F.col("upto")) & (F.col("m.off") >= F.col("upto") - F.col("n")))
+              .select("i", "v", F.col("m.k").alias("k")).collect())
+    at: dict[int, dict[int, float]] = {}
+    for r in picked:
+        at.setdefault(r["i"], {})[r["k"]] = r["v"]
+    return {c: [_interpolate(at[i], n, p) for p in probs] for i, c in enumerate(cols)}
+
+
+def exact_quantiles(df: DataFrame, col, probs, ranges: int | None = None) -> list:
+    """``exact_quantiles_multi`` of one column."""
+    x = df.select((F.col(col) if isinstance(col, str) else col).alias("x"))
+    return exact_quantiles_multi(x, ("x",), probs, ranges)["x"]

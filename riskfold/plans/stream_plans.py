@@ -1,6 +1,6 @@
-"""Streaming queries: each runs a Structured Streaming job
-to completion (availableNow) over the landed files and returns the table
-it maintains."""
+"""Streaming queries: each lands its table as several files,
+runs a Structured Streaming job over them to completion (availableNow, one
+file a micro-batch) and returns the table it maintains."""
 
 from __future__ import annotations
 
@@ -12,10 +12,15 @@ from riskfold.plans.catalog import register
 from riskfold.sources.tables import read_table
 from riskfold.streaming import jobs
 
+LANDED_FILES = 4
+# Fixed parameters: freshness of cached quotes, and the smallest valid reading.
+TTL_SHORT_SECONDS, TTL_LONG_SECONDS = 60, 900
+MIN_VALUE = 1.0
 
-def _events_stream(spark, sf):
-    schema = read_table(spark, sf, "events").schema
-    return jobs.file_stream(spark, sf, "events.parquet", schema)
+
+def _landed(spark, sf, table, key, root):
+    df = read_table(spark, sf, table)
+    return jobs.file_stream(spark, jobs.land(df, key, LANDED_FILES, f"{root}/landed"), df.schema)
 
 
 @register("q_stream_dedup", sql="""
@@ -23,41 +28,55 @@ SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, min(even
 FROM events GROUP BY 1, 2""")
 def q_stream_dedup(spark, sf):
     """Only-new (user, item) keys across micro-batches (first event wins)."""
-    ev = _events_stream(spark, sf).select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-                                          "event_id")
-    t = jobs.dedup_stream(spark, ev, ["user_id", "k"], "event_id", jobs.stream_root(spark, "dedup"))
-    return t.read()
+    root = jobs.stream_root(spark, "dedup")
+    ev = _landed(spark, sf, "events", "event_id", root).select(
+        "user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), "event_id")
+    return jobs.dedup_stream(spark, ev, ["user_id", "k"], "event_id", root).read()
 
 
-@register("q_stream_latest", sql="""
-SELECT user_id, arg_max(value, ts) AS latest_value, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest_ts
-FROM events GROUP BY user_id""")
+@register("q_stream_latest", sql=f"""
+WITH l AS (SELECT user_id, arg_max(value, ts) AS latest_value, max(ts) AS latest_ts FROM events GROUP BY user_id)
+SELECT user_id, latest_value, strftime(latest_ts, '%Y-%m-%d %H:%M:%S') AS latest_ts,
+       (SELECT max(ts) FROM events) - latest_ts <= INTERVAL {TTL_SHORT_SECONDS} SECONDS AS fresh_60s,
+       (SELECT max(ts) FROM events) - latest_ts <= INTERVAL {TTL_LONG_SECONDS} SECONDS AS fresh_15m
+FROM l""")
 def q_stream_latest(spark, sf):
-    """Latest value per user from a stateful streaming aggregation."""
-    t = jobs.latest_value_stream(spark, _events_stream(spark, sf), "user_id", "ts", "value",
-                                 jobs.stream_root(spark, "latest"))
-    return t.read().select("user_id", "latest_value",
-                           F.date_format("latest_ts", "yyyy-MM-dd HH:mm:ss").alias("latest_ts"))
+    """Latest value per user from a stateful streaming aggregation, with
+    its freshness against the newest event."""
+    root = jobs.stream_root(spark, "latest")
+    t = jobs.latest_value_stream(spark, _landed(spark, sf, "events", "event_id", root), "user_id", "ts", "value", root)
+    now = t.select(F.max("latest_ts")).scalar()
+
+    def fresh(seconds):
+        return F.col("latest_ts") >= now - F.expr(f"INTERVAL {seconds} SECONDS")
+
+    return t.select("user_id", "latest_value", fresh(TTL_SHORT_SECONDS).alias("fresh_60s"),
+                    fresh(TTL_LONG_SECONDS).alias("fresh_15m"),
+                    F.date_format("latest_ts", "yyyy-MM-dd HH:mm:ss").alias("latest_ts"))
 
 
-@register("q_stream_retention", sql="""
-SELECT event_id, user_id, event_type FROM events
-WHERE value IS NOT NULL AND value >= 0 AND ts >= (SELECT max(ts) FROM events WHERE value IS NOT NULL AND value >= 0) - INTERVAL 7 DAYS""")
+@register("q_stream_retention", sql=f"""
+WITH ok AS (SELECT * FROM events WHERE value >= {MIN_VALUE})
+SELECT event_id, user_id, event_type, 'kept' AS status FROM ok
+WHERE ts >= (SELECT max(ts) FROM ok) - INTERVAL 7 DAYS
+UNION ALL
+SELECT event_id, user_id, event_type, 'dead' FROM events WHERE value IS NULL OR value < {MIN_VALUE}""")
 def q_stream_retention(spark, sf):
-    """G5 + G2: seven-day retention on the streamed table; invalid rows
-    (negative or missing value) go to the dead-letter table."""
-    t, _dead = jobs.retention_stream(spark, _events_stream(spark, sf), "ts", 7, jobs.stream_root(spark, "retention"),
-                                     valid=F.col("value").isNotNull() & (F.col("value") >= 0))
-    return t.read().select("event_id", "user_id", "event_type")
+    """G5 + G2: seven-day retention on the streamed table; readings that are
+    missing or too small go to the dead letters."""
+    root = jobs.stream_root(spark, "retention")
+    kept, dead = jobs.retention_stream(spark, _landed(spark, sf, "events", "event_id", root), "ts", 7, root,
+                                       valid=F.col("value") >= MIN_VALUE)
+    cols = ["event_id", "user_id", "event_type"]
+    return kept.select(*cols, F.lit("kept").alias("status")).unionByName(dead.select(*cols, F.lit("dead").alias("status")))
 
 
 @register("q_stream_pipeline", sql=f"""
 WITH {S.PREP}
 SELECT id, ticker, headline FROM prep QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_order) = 1""")
 def q_stream_pipeline(spark, sf):
-    """G1 + G6: landed news stream -> preprocess -> insert-or-ignore ->
-    snapshot version per cycle."""
-    schema = read_table(spark, sf, "documents").schema
-    docs = jobs.file_stream(spark, sf, "documents.parquet", schema)
-    t = jobs.news_pipeline_stream(spark, B.raw_news_from(docs), jobs.stream_root(spark, "news"))
-    return t.read().select("id", "ticker", "headline")
+    """G1 + G6: landed news stream -> preprocess -> insert-or-ignore, one
+    appended delta per cycle."""
+    root = jobs.stream_root(spark, "news")
+    docs = _landed(spark, sf, "documents", "doc_id", root)
+    return jobs.news_pipeline_stream(spark, B.raw_news_from(docs), root).read().select("id", "ticker", "headline")

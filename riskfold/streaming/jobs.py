@@ -1,13 +1,12 @@
 """Structured Streaming jobs (G1-G6): the reference's polling loops and TTL
 caches re-aimed at file-source streams.
 
-Every job reads landed files with ``readStream`` (``trigger(availableNow)``
-in tests, ``processingTime`` in production), checkpoints into the shared
-folder named by ``spark.checkpoint.dir`` and writes through ``foreachBatch``
-with exact keyed maintenance (insert-or-ignore / overwrite / delete), so a
-restarted micro-batch (lost executor, driver restart) rewrites the same
-result.  Tables are parquet folders; each micro-batch writes a new version
-directory and the latest complete version is the table.
+Every job reads landed files with ``readStream``, checkpoints into the shared
+folder named by ``spark.checkpoint.dir`` and appends what a micro-batch adds
+through ``foreachBatch``; stored rows are never written again.  A batch that
+runs a second time (lost executor, driver restart) rewrites its own folder
+and reads only the batches before it, so the result is the same.  A job
+started again with the same ``root`` goes on where it ended.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,111 +22,125 @@ from riskfold.operators import news
 from riskfold.session import checkpoint_dir
 
 
-class VersionedTable:
-    """A parquet table kept as immutable versions ``v=<batch_id>``; writing
-    version n is idempotent (overwrite), readers take the highest version.
-    A micro-batch replayed after a failure rewrites the same version."""
+class DeltaTable:
+    """A parquet table kept as one folder ``batch=<id>`` per micro-batch."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version:012d}")
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id:012d}")
 
-    def latest(self) -> int | None:
+    def batches(self) -> list[int]:
+        """Ids of the completely written batches."""
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(conf)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(path):
-            return None
-        vs = [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-        ok = [v for v in vs if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{v}/_SUCCESS"))]
-        return max(int(v[2:]) for v in ok) if ok else None
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return sorted(int(n[6:]) for n in names if n.startswith("batch=")
+                      and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/_SUCCESS")))
 
-    def read(self, schema=None) -> DataFrame | None:
-        v = self.latest()
-        if v is None:
-            return None
-        return self.spark.read.parquet(f"{self.root}/v={v:012d}")
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """All batches, or those before one: the table as it was then."""
+        ids = [b for b in self.batches() if before is None or b < before]
+        return self.spark.read.parquet(*[f"{self.root}/batch={b:012d}" for b in ids]) if ids else None
 
 
-def stream_root(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one job's tables and checkpoints under the shared
-    checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+def stream_root(spark: SparkSession, name: str, run: str | None = None) -> str:
+    """Folder of one job's tables and checkpoints under the shared checkpoint
+    folder; the same ``run`` resumes a job, none starts a new one."""
+    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{run or uuid.uuid4().hex[:12]}")
 
 
-def file_stream(spark: SparkSession, folder: str, file_glob: str, schema) -> DataFrame:
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", 1).parquet(folder))
+def land(df: DataFrame, key: str, files: int, folder: str) -> str:
+    """Write ``df`` as ``files`` landed files, split by the key's hash."""
+    df.repartition(files, key).write.mode("overwrite").parquet(folder)
+    return folder
 
 
-def run_available(stream_writer, checkpoint: str) -> None:
-    q = stream_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def dedup_stream(spark: SparkSession, events: DataFrame, keys: list[str], order: str, root: str) -> VersionedTable:
-    """G3 (exact form): only-new keys across cycles.  Each micro-batch keeps
-    its first row per key and inserts it unless the key is already stored
-    (K3 against the previous version)."""
-    table = VersionedTable(spark, f"{root}/table")
+def run_available(stream_writer, checkpoint: str, attempts: int = 3) -> None:
+    """Process everything landed; after an error go on from the checkpoint,
+    at most ``attempts`` times (G2)."""
+    for attempt in range(1, attempts + 1):
+        try:
+            stream_writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+            return
+        except StreamingQueryException:
+            if attempt == attempts:
+                raise
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        first = news.keep_first(df, keys, order)
-        cur = table.read()
-        out = first if cur is None else cur.unionByName(first.join(cur.select(*keys), keys, "left_anti"))
-        table.write(out, batch_id)
 
-    run_available(events.writeStream.foreachBatch(batch), f"{root}/checkpoint")
-    return table
+class KeyedStore:
+    """First row per key over all batches.  A batch adds its rows whose key
+    is not stored yet, or stored with a later ``order`` (files may land out of
+    order); reading keeps the first of each key."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], order: str):
+        self.table, self.keys, self.order = DeltaTable(spark, root), keys, order
+
+    def add(self, df: DataFrame, batch_id: int) -> None:
+        first = news.keep_first(df, self.keys, self.order)
+        stored = self.table.read(before=batch_id)
+        if stored is not None:
+            s = stored.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], F.col(self.order).alias("_o"))
+            same = F.col(self.order) >= F.col("_o")
+            for i, k in enumerate(self.keys):
+                same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+            first = first.join(s, same, "left_anti")
+        self.table.write(first, batch_id)
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        rows = self.table.read(before)
+        return None if rows is None else news.keep_first(rows, self.keys, self.order)
+
+
+def dedup_stream(spark: SparkSession, events: DataFrame, keys: list[str], order: str, root: str) -> KeyedStore:
+    """Only-new keys across cycles, the first by ``order`` stays."""
+    store = KeyedStore(spark, f"{root}/table", keys, order)
+    run_available(events.writeStream.foreachBatch(store.add), f"{root}/checkpoint")
+    return store
 
 
-def latest_value_stream(spark: SparkSession, events: DataFrame, key: str, ts: str, value: str,
-                        root: str) -> VersionedTable:
-    """Latest value per key (``max_by`` in a stateful streaming
-    aggregation, complete mode), materialised per micro-batch."""
+def latest_value_stream(spark: SparkSession, events: DataFrame, key: str, ts: str, value: str, root: str) -> DataFrame:
+    """Latest value per key.  The aggregation's state holds one row per
+    key; a batch appends only the keys it changed (update mode)."""
+    table = DeltaTable(spark, f"{root}/table")
     agg = events.groupBy(key).agg(F.max_by(value, ts).alias("latest_value"), F.max(ts).alias("latest_ts"))
-    table = VersionedTable(spark, f"{root}/table")
-    run_available(agg.writeStream.outputMode("complete").foreachBatch(lambda df, b: table.write(df, b)),
-                  f"{root}/checkpoint")
-    return table
+    run_available(agg.writeStream.outputMode("update").foreachBatch(table.write), f"{root}/checkpoint")
+    return table.read().groupBy(key).agg(F.max_by("latest_value", "latest_ts").alias("latest_value"),
+                                         F.max("latest_ts").alias("latest_ts"))
 
 
 def retention_stream(spark: SparkSession, events: DataFrame, ts: str, keep_days: int, root: str,
-                     valid=None) -> tuple[VersionedTable, VersionedTable]:
-    """G5 + G2: append each micro-batch, drop rows older than the newest
-    event time minus ``keep_days`` (table-side retention), and route rows
-    that fail ``valid`` to a dead-letter table instead of stopping."""
-    table = VersionedTable(spark, f"{root}/table")
-    dead = VersionedTable(spark, f"{root}/dead_letter")
+                     valid=None) -> tuple[DataFrame, DataFrame]:
+    """G5 + G2: (rows within ``keep_days`` of the newest event, dead letters).
+
+    Rows that fail ``valid`` are appended to the dead letters and do not stop
+    the job.  A batch appends its rows with their day; reading passes over
+    expired rows by a filter that parquet's statistics answer."""
+    table, dead = DeltaTable(spark, f"{root}/table"), DeltaTable(spark, f"{root}/dead_letter")
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
-        good, bad = df.where(ok), df.where(~ok)
-        cur = table.read()
-        allr = good if cur is None else cur.unionByName(good)
-        newest = allr.select(F.max(ts)).scalar()
-        kept = allr.where(F.col(ts) >= newest - F.expr(f"INTERVAL {int(keep_days)} DAYS"))
-        table.write(kept, batch_id)
-        prev = dead.read()
-        dead.write(bad if prev is None else prev.unionByName(bad), batch_id)
+        table.write(df.where(ok), batch_id)
+        dead.write(df.where(~ok), batch_id)
 
     run_available(events.writeStream.foreachBatch(batch), f"{root}/checkpoint")
-    return table, dead
-
+    rows = table.read()
+    newest = rows.select(F.max(ts)).scalar()
+    return rows.where(F.col(ts) >= newest - F.expr(f"INTERVAL {int(keep_days)} DAYS")), dead.read()
 
-def news_pipeline_stream(spark: SparkSession, raw: DataFrame, root: str, order: str = "Doc Id") -> VersionedTable:
-    """G1 + G6: each cycle preprocesses the landed news (R11), inserts new
-    articles (K3) and leaves a full snapshot version of the table."""
-    table = VersionedTable(spark, f"{root}/articles")
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        prep = news.preprocess(df, order=order)
-        cur = table.read()
-        out = news.keep_first(prep, "id", "src_order") if cur is None else news.upsert_ignore(cur, prep)
-        table.write(out, batch_id)
-
-    run_available(raw.writeStream.foreachBatch(batch), f"{root}/checkpoint")
-    return table
+def news_pipeline_stream(spark: SparkSession, raw: DataFrame, root: str, order: str = "Doc Id") -> KeyedStore:
+    """G1 + G6: each cycle preprocesses the landed news (R11) and inserts new
+    articles (K3); ``read(before=n)`` is the snapshot before cycle n."""
+    store = KeyedStore(spark, f"{root}/articles", ["id"], "src_order")
+    run_available(raw.writeStream.foreachBatch(lambda df, b: store.add(news.preprocess(df, order=order), b)),
+                  f"{root}/checkpoint")
+    return store

@@ -69,8 +69,7 @@ def test_exact_quantiles_match_percentile(spark):
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     probs = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
     want = df.select(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).first().q
-    # tiny sketch accuracy and band limit force the narrowing path
-    got = exact_quantiles(df, "x", probs, accuracy=50, band_limit=200)
+    got = exact_quantiles(df, "x", probs, ranges=7)
     assert all(abs(a - b) < 1e-12 for a, b in zip(got, want))
     assert exact_quantiles(df.where("x > 1e9"), "x", probs) == [None] * len(probs)
 
@@ -82,7 +81,7 @@ def test_exact_quantiles_multi_match_percentile(spark):
     rows = [(float(a), float(b)) for a, b in zip(rng.normal(size=2500), rng.integers(0, 7, 2500))]
     df = spark.createDataFrame(rows, "a double, b double")
     probs = (0.1, 0.25, 0.5, 0.75)
-    got = exact_quantiles_multi(df, ("a", "b"), probs, accuracy=50, band_limit=150)
+    got = exact_quantiles_multi(df, ("a", "b"), probs, ranges=5)
     for c in ("a", "b"):
         want = df.select(F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias("q")).first().q
         assert all(abs(x - y) < 1e-12 for x, y in zip(got[c], want))

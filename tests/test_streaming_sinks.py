@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pandas as pd
 import pyspark.sql.functions as F
 
 from conftest import SF_SMALL
@@ -11,34 +12,66 @@ from riskfold.sources.tables import read_table
 from riskfold.streaming import jobs
 
 
-def _events(spark):
-    return jobs.file_stream(spark, SF_SMALL, "events.parquet", read_table(spark, SF_SMALL, "events").schema)
+def _events(spark, name):
+    df = read_table(spark, SF_SMALL, "events")
+    root = jobs.stream_root(spark, name)
+    return jobs.file_stream(spark, jobs.land(df, "event_id", 3, f"{root}/landed"), df.schema), root
 
 
 def test_stream_latest_equals_batch(spark):
-    t = jobs.latest_value_stream(spark, _events(spark), "user_id", "ts", "value", jobs.stream_root(spark, "t-latest"))
-    got = {(r.user_id, r.latest_value) for r in t.read().collect()}
+    ev, root = _events(spark, "t-latest")
+    t = jobs.latest_value_stream(spark, ev, "user_id", "ts", "value", root)
+    got = {(r.user_id, r.latest_value) for r in t.collect()}
+    assert len(jobs.DeltaTable(spark, f"{root}/table").batches()) == 3
     ev = read_table(spark, SF_SMALL, "events")
     want = {(r.user_id, r.v) for r in ev.groupBy("user_id").agg(F.max_by("value", "ts").alias("v")).collect()}
     assert got == want
 
 
 def test_stream_dedup_first_event_wins(spark):
-    ev = _events(spark).select("user_id", "event_type", "event_id")
-    t = jobs.dedup_stream(spark, ev, ["user_id", "event_type"], "event_id", jobs.stream_root(spark, "t-dedup"))
+    ev, root = _events(spark, "t-dedup")
+    t = jobs.dedup_stream(spark, ev.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id", root)
     got = {(r.user_id, r.event_type, r.event_id) for r in t.read().collect()}
     b = read_table(spark, SF_SMALL, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("e"))
     assert got == {(r.user_id, r.event_type, r.e) for r in b.collect()}
 
 
-def test_versioned_table_rewrite_is_idempotent(spark):
-    root = jobs.stream_root(spark, "t-versions")
-    t = jobs.VersionedTable(spark, root)
-    df = spark.range(5)
-    t.write(df, 0)
-    t.write(df, 0)          # a replayed micro-batch rewrites the same version
-    t.write(spark.range(7), 1)
-    assert t.latest() == 1 and t.read().count() == 7
+def test_stream_resumes_at_its_root(spark):
+    root = jobs.stream_root(spark, "t-resume")
+    schema = "k string, n long"
+
+    def land(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        return jobs.dedup_stream(spark, jobs.file_stream(spark, f"{root}/landed", schema), ["k"], "n", root)
+
+    first = land([("a", 3), ("b", 2), (None, 5)])
+    assert {(r.k, r.n) for r in first.read().collect()} == {("a", 3), ("b", 2), (None, 5)}
+    second = land([("a", 1), ("b", 4), ("c", 9), (None, 6)])     # an earlier "a" lands late
+    assert {(r.k, r.n) for r in second.read().collect()} == {("a", 1), ("b", 2), ("c", 9), (None, 5)}
+    assert {(r.k, r.n) for r in second.table.read().collect()} == {("a", 3), ("a", 1), ("b", 2), ("c", 9), (None, 5)}
+    assert second.read(before=1).count() == 3                    # the snapshot before the second cycle
+
+
+def test_retention_splits_every_row(spark):
+    ev, root = _events(spark, "t-retention")
+    kept, dead = jobs.retention_stream(spark, ev, "ts", 7, root, valid=F.col("value") >= 20.0)
+    rows = read_table(spark, SF_SMALL, "events").toPandas()
+    good = rows[rows.value >= 20.0]
+    want = good[good.ts >= good.ts.max() - pd.Timedelta(days=7)]
+    assert {r.event_id for r in kept.select("event_id").collect()} == set(want.event_id)
+    assert {r.event_id for r in dead.select("event_id").collect()} == set(rows[~(rows.value >= 20.0)].event_id)
+    assert len(want) and len(want) < len(good) < len(rows)
+
+
+def test_replayed_batch_writes_the_same_rows(spark):
+    root = jobs.stream_root(spark, "t-replay")
+    store = jobs.KeyedStore(spark, root, ["id"], "n")
+    old, new = (spark.createDataFrame(r, "id long, n long") for r in ([(1, 1), (2, 1)], [(2, 2), (3, 2)]))
+    store.add(old, 0)
+    store.add(new, 1)
+    store.add(new, 1)
+    assert store.table.batches() == [0, 1]
+    assert {(r.id, r.n) for r in store.table.read().collect()} == {(1, 1), (2, 1), (3, 2)}
 
 
 def test_universe_csv_roundtrip_and_missing_file(spark):
