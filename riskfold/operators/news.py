@@ -119,7 +119,7 @@ def sort_key_recent(pubdate: str = "pubdate", key: str = "id") -> Column:
 def recent_per_ticker(articles: DataFrame, n: int = 3, ticker: str = "ticker") -> DataFrame:
     """W8 + P5 + T2: latest n summarised articles per ticker."""
     a = articles.where(~X.is_blank("summary"))
-    w = Window.partitionBy(ticker).orderBy(sort_key_recent().desc())
+    w = Window.partitionBy(ticker).orderBy(sort_key_recent().desc(), F.col("id").desc())
     return a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
@@ -197,4 +197,4 @@ def sample_for_key(df: DataFrame, key_col: str, key_value: str, n: int, order: s
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Deterministic pseudo-random n rows (hash of key and seed)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.operators import market
+from riskfold.session import cut_lineage
 from riskfold.sources.tables import read_table
 
 # Fixed parameters of the binding (monthly prices instead of daily ones).
 MIN_OBS = 60
+FULL_OBS = 83                  # months of a complete history; shorter ones leave the full universe
 PERIODS_PER_YEAR = 12
 NEWS_EPOCH = "2024-03-01"      # pubdate = epoch - (doc_id % 45) days
 AS_OF = "2024-03-02 00:00:00"  # deterministic "now" for recency / retention
@@ -41,12 +43,19 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.sector_map(read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation"))
 
 
-def universe(spark: SparkSession, sf_dir: str, price_table: DataFrame | None = None) -> DataFrame:
+def price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``prices`` written once, for queries that derive more than one thing
+    from it (one row per security and month)."""
+    return cut_lineage(prices(spark, sf_dir))
+
+
+def universe(spark: SparkSession, sf_dir: str, price_table: DataFrame | None = None,
+             min_obs: int = MIN_OBS) -> DataFrame:
     """D1 risk universe: ticker, sector, sigma, mdd, beta.  Pass the price
-    table when the caller also derives latest prices from it (one
-    aggregation of lineitem feeds both)."""
+    table (``price_table``) when the caller also derives latest prices from
+    it."""
     p = market.select_price(price_table if price_table is not None else prices(spark, sf_dir))
-    return market.ticker_metrics_a(p, sectors(spark, sf_dir), min_obs=MIN_OBS,
+    return market.ticker_metrics_a(p, sectors(spark, sf_dir), min_obs=min_obs,
                                    periods_per_year=PERIODS_PER_YEAR)
 
 
@@ -59,6 +68,13 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.sum("l_quantity").alias("quantity")))
 
 
+def cash_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positive account balances as a CASH position at price 1."""
+    c = read_table(spark, sf_dir, "customer").where(F.col("c_acctbal") > 0)
+    return c.select(F.col("c_custkey").alias("portfolio_id"), F.lit("CASH").alias("ticker"),
+                    F.col("c_acctbal").cast("double").alias("quantity"))
+
+
 def latest_prices(spark: SparkSession, sf_dir: str, price_table: DataFrame | None = None) -> DataFrame:
     """Last non-null close per security."""
     p = (price_table if price_table is not None else prices(spark, sf_dir)).where(F.col("close").isNotNull())

@@ -279,52 +279,96 @@ NEWS_IMPACT_YES = "최신 뉴스는 실적, 수요, 정책 또는 산업 변화
 NEWS_IMPACT_NO = "뉴스 조회 결과가 없어 현재는 재무 지표와 포트폴리오 리스크 중심으로 판단합니다."
 
 
-@register("q_reports", sql=f"""
-WITH {S.UNIVERSE}, {S.WEIGHTS}, {FUND},
-h AS (SELECT w.portfolio_id, w.ticker, w.weight, u.sector, u.sigma, u.mdd, u.beta,
+# Fixed value: closing line of every report.
+OUTLOOK = "포트폴리오 전체 성향과 함께 변동성, 베타, 섹터 집중도를 같이 확인하는 것이 좋습니다."
+REPORT_NEWS = 3
+
+_REPORTS = f"""
+WITH {S.FULL_UNIVERSE}, {S.WEIGHTS}, {FUND},
+h AS (SELECT w.portfolio_id, w.ticker, w.weight, u.sector AS usector, u.sigma, u.mdd, u.beta,
              translate(CAST(w.ticker AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS sym
-      FROM w JOIN universe u USING (ticker)),
-nc AS (SELECT {NEWS_TICKER_SQL} AS sym, count(*) AS n FROM documents GROUP BY 1),
-j AS (SELECT h.*, g.*, g."Ticker" IS NOT NULL AS has_row, least(coalesce(nc.n, 0), 3) AS n_news
-      FROM h LEFT JOIN good g ON g."Ticker" = h.sym LEFT JOIN nc ON nc.sym = h.sym)
-SELECT portfolio_id, ticker, round(weight, 4) AS weight, sector, round(sigma, 4) AS sigma, round(mdd, 4) AS mdd,
-       round(beta, 4) AS beta,
-       sym || '는 포트폴리오의 ' || printf('%.1f', {s_dec('weight * 100.0', 1)}) || '%를 차지하며 ' || sector || ' 섹터 노출을 만듭니다.' AS overview,
-       array_to_string({NOTES_FINAL}, chr(10)) AS financial,
+      FROM w LEFT JOIN universe u USING (ticker)),
+nw AS (SELECT {NEWS_TICKER_SQL} AS sym, CAST(doc_id AS VARCHAR) AS id, text,
+              trim(regexp_extract(text, '^[^\n.!?]*[.!?]?', 0)) AS headline,
+              CASE WHEN doc_id % 9 = 4 THEN NULL ELSE CAST(DATE '2024-03-01' - CAST(doc_id % 45 AS INTEGER) AS TIMESTAMP) END AS pubdate
+       FROM documents),
+nr AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY coalesce(strftime(pubdate, '%Y-%m-%d %H:%M:%S'), id) DESC, id DESC) AS k
+       FROM nw WHERE text IS NOT NULL AND length(trim(text)) > 0),
+nl AS (SELECT sym, count(*) AS n, string_agg(id || ' | ' || coalesce(strftime(pubdate, '%Y-%m-%d'), '') || ' | '
+              || coalesce(NULLIF(headline, ''), 'Untitled'), chr(10) ORDER BY k) AS news
+       FROM nr WHERE k <= {REPORT_NEWS} GROUP BY 1),
+j AS (SELECT h.*, g.*, g."Ticker" IS NOT NULL AS has_row, coalesce(nl.n, 0) AS n_news, nl.news,
+             coalesce(h.usector, g."Sector", 'Unknown') AS rsector
+      FROM h LEFT JOIN good g ON g."Ticker" = h.sym LEFT JOIN nl ON nl.sym = h.sym),
+rep AS (
+SELECT portfolio_id, j.uticker AS ticker, round(weight, 4) AS weight, rsector AS sector, round(sigma, 4) AS sigma,
+       round(mdd, 4) AS mdd, round(beta, 4) AS beta,
+       sym || '는 포트폴리오의 ' || printf('%.1f', {s_dec('weight * 100.0', 1)}) || '%를 차지하며 ' || rsector || ' 섹터 노출을 만듭니다.' AS overview,
+       array_to_string({NOTES_FINAL}, chr(10)) AS financial, CAST(len({NOTES_FINAL}) AS INTEGER) AS n_notes,
        CASE WHEN n_news > 0 THEN '{NEWS_IMPACT_YES}' ELSE '{NEWS_IMPACT_NO}' END AS news_impact,
-       CAST(n_news AS INTEGER) AS n_news
-FROM j""")
-def q_reports(spark, sf):
-    """R7 + J11 + N1 + W8: one report row per (portfolio, holding)."""
-    pt = B.prices(spark, sf)
-    w = PP.weights_of(spark, sf, pt)
-    u = B.universe(spark, sf, pt)
-    h = w.select("portfolio_id", "ticker", "weight").join(u, "ticker").withColumn("sym", B.symbol("ticker"))
-    f = fundamentals(spark, sf, small_side=False).withColumnRenamed("Ticker", "fsym").drop("Sector", "Industry").withColumn(
-        "_has", F.lit(True))
-    nc = (read_table(spark, sf, "documents").groupBy(news_ticker(F.col("source")).alias("sym"))
-          .agg(F.least(F.count("*"), F.lit(3)).alias("n_news")))
-    j = h.join(f, h.sym == f.fsym, "left").join(nc, "sym", "left")
-    notes = C.financial_notes(F.col("_has").isNotNull())
-    n_news = F.coalesce("n_news", F.lit(0))
+       news, CAST(n_news AS INTEGER) AS n_news, '{OUTLOOK}' AS outlook
+FROM j)"""
+_REPORTS = _REPORTS.replace("h AS (SELECT w.portfolio_id, w.ticker,", "h AS (SELECT w.portfolio_id, w.ticker AS uticker,")
+
+
+def report_news(spark, sf):
+    """The newest articles of every security; an item names the article
+    by id, so a long summary is not copied into every portfolio's report."""
+    d = read_table(spark, sf, "documents")
+    arts = d.select(news_ticker(F.col("source")).alias("ticker"), F.col("doc_id").cast("string").alias("id"),
+                    B.headline_of("text").alias("headline"), F.col("text").alias("summary"),
+                    B.pubdate_of("doc_id").alias("pubdate"))
+    item = F.struct("rank", "id", F.coalesce(F.date_format("pubdate", "yyyy-MM-dd"), F.lit("")).alias("pubdate"),
+                    F.coalesce(F.nullif("headline", F.lit("")), F.lit("Untitled")).alias("headline"))
+    return (news.recent_per_ticker(arts, REPORT_NEWS).groupBy(F.col("ticker").alias("sym"))
+            .agg(F.array_sort(F.collect_list(item)).alias("items")))
+
+
+def report_rows(spark, sf):
+    """R7 + J11: one report per (portfolio, holding).  Holdings without risk
+    metrics, fundamentals or news stay, with the defaults of each part."""
+    w, u = PP.weights_and_universe(spark, sf, B.FULL_OBS)
+    h = w.select("portfolio_id", "ticker", "weight").join(u, "ticker", "left").withColumn("sym", B.symbol("ticker"))
+    f = (fundamentals(spark, sf, small_side=False).withColumnRenamed("Ticker", "fsym").drop("Industry")
+         .withColumnRenamed("Sector", "fsector").withColumn("_has", F.lit(True)))
+    j = h.join(f, h.sym == f.fsym, "left").join(report_news(spark, sf), "sym", "left")
+    sector = F.coalesce("sector", "fsector", F.lit(risk.UNKNOWN_SECTOR))
     overview = F.concat(F.col("sym"), F.lit("는 포트폴리오의 "), F.format_string("%.1f", N._dec(F.col("weight") * 100.0, 1)),
-                        F.lit("%를 차지하며 "), F.col("sector"), F.lit(" 섹터 노출을 만듭니다."))
-    return j.select("portfolio_id", "ticker", F.round("weight", 4).alias("weight"), "sector",
+                        F.lit("%를 차지하며 "), sector, F.lit(" 섹터 노출을 만듭니다."))
+    return j.select("portfolio_id", "ticker", F.round("weight", 4).alias("weight"), sector.alias("sector"),
                     *[F.round(x, 4).alias(x) for x in ("sigma", "mdd", "beta")], overview.alias("overview"),
-                    F.array_join(notes, "\n").alias("financial"),
-                    F.when(n_news > 0, F.lit(NEWS_IMPACT_YES)).otherwise(F.lit(NEWS_IMPACT_NO)).alias("news_impact"),
-                    n_news.cast("int").alias("n_news"))
+                    C.financial_notes(F.col("_has").isNotNull()).alias("financial"),
+                    F.when(F.size("items") > 0, NEWS_IMPACT_YES).otherwise(NEWS_IMPACT_NO).alias("news_impact"),
+                    F.coalesce("items", F.expr("cast(array() as array<struct<rank:int,id:string,pubdate:string,headline:string>>)"))
+                    .alias("news"), F.lit(OUTLOOK).alias("outlook"))
+
+
+@register("q_reports", sql=_REPORTS + """
+SELECT portfolio_id, ticker, weight, sector, sigma, mdd, beta, overview, financial, news_impact, news, n_news, outlook FROM rep""")
+def q_reports(spark, sf):
+    """R7 + J11 + N1 + W8: one report row per (portfolio, holding)."""
+    line = F.transform("news", lambda e: F.concat_ws(" | ", e["id"], e["pubdate"], e["headline"]))
+    return report_rows(spark, sf).select(
+        "portfolio_id", "ticker", "weight", "sector", "sigma", "mdd", "beta", "overview",
+        F.array_join("financial", "\n").alias("financial"), "news_impact",
+        F.when(F.size("news") > 0, F.array_join(line, "\n")).alias("news"), F.size("news").alias("n_news"), "outlook")
 
 
-@register("q_report_json")
+@register("q_report_json", sql=_REPORTS + """
+SELECT portfolio_id, ticker, weight, sector, sigma, beta, overview, n_notes, n_news,
+       split_part(news, ' | ', 1) AS newest_id, outlook FROM rep""")
 def q_report_json(spark, sf):
-    """K12 + N6: nested JSON report documents (risk struct, notes array,
-    news array) — rows-only check."""
-    r = q_reports(spark, sf)
-    doc = F.to_json(F.struct("ticker", "weight", "sector",
-                             F.struct("sigma", "mdd", "beta").alias("risk"), "overview",
-                             F.split("financial", "\n").alias("financial"), "news_impact"))
-    return r.select("portfolio_id", "ticker", doc.alias("report"))
+    """K12 + N6: nested JSON report documents (risk struct, notes array, news
+    array), read back field by field."""
+    r = report_rows(spark, sf)
+    doc = F.to_json(F.struct("ticker", "weight", "sector", F.struct("sigma", "mdd", "beta").alias("risk"), "overview",
+                             "financial", "news_impact", "news", "outlook"))
+    back = F.from_json("report", "ticker bigint, weight double, sector string, risk struct<sigma:double, beta:double>, "
+                       "overview string, financial array<string>, news array<struct<id:string>>, outlook string")
+    return r.select("portfolio_id", doc.alias("report")).select("portfolio_id", back.alias("b")).select(
+        "portfolio_id", "b.ticker", "b.weight", "b.sector", "b.risk.sigma", "b.risk.beta", "b.overview",
+        F.size("b.financial").alias("n_notes"), F.size("b.news").alias("n_news"),
+        F.get("b.news", F.lit(0))["id"].alias("newest_id"), "b.outlook")
 
 
 @register("q_portfolio_doc", sql=f"""

@@ -9,6 +9,7 @@ from riskfold.operators import portfolio, risk, search
 from riskfold.plans import bindings as B
 from riskfold.plans import sql_fragments as S
 from riskfold.plans.catalog import register
+from riskfold.session import cut_lineage
 from riskfold.sources.tables import read_table
 
 
@@ -17,6 +18,12 @@ def weights_of(spark, sf, price_table=None):
     return portfolio.weights(priced)
 
 
+def weights_and_universe(spark, sf, min_obs: int = B.MIN_OBS):
+    """Both derive from one written price table."""
+    pt = B.price_table(spark, sf)
+    return weights_of(spark, sf, pt), B.universe(spark, sf, pt, min_obs)
+
+
 _SCORE_CTES = f"""
 WITH {S.UNIVERSE}, {S.WEIGHTS},
 j AS (SELECT w.portfolio_id, w.ticker, w.weight, u.sector, u.sigma, u.mdd, u.beta,
@@ -60,16 +67,17 @@ SELECT portfolio_id,
 FROM s""")
 def q_srisk_v1(spark, sf):
     """Flagship: A1-A5, A14, A16, A17 over every portfolio."""
-    return risk.score_portfolios(weights_of(spark, sf), B.universe(spark, sf))
+    return risk.score_portfolios(*weights_and_universe(spark, sf))
 
 
-@register("q_weighted_risk", sql=_SCORE_CTES + """
+@register("q_weighted_risk", sql=_SCORE_CTES.replace(S.UNIVERSE, S.FULL_UNIVERSE) + """
 SELECT portfolio_id, nm AS n_matched, round(mw, 6) AS matched_weight, round(sigma_p, 6) AS sigma_p,
        round(mdd_p, 6) AS mdd_p, round(beta_p, 6) AS beta_p
 FROM a""")
 def q_weighted_risk(spark, sf):
-    """A1 + J3: weighted sigma / mdd / beta over matched tickers."""
-    a = risk.portfolio_aggregates(weights_of(spark, sf), B.universe(spark, sf))
+    """A1 + J3: weighted sigma / mdd / beta over matched tickers (some holdings
+    have no complete history, hence no metrics)."""
+    a = risk.portfolio_aggregates(*weights_and_universe(spark, sf, B.FULL_OBS))
     return a.select("portfolio_id", "n_matched", F.round("matched_weight", 6).alias("matched_weight"),
                     *[F.round(c, 6).alias(c) for c in ("sigma_p", "mdd_p", "beta_p")])
 
@@ -83,7 +91,7 @@ SELECT portfolio_id, round(sum(sw * sw), 6) AS hhi, count(*) AS n_sectors,
 FROM sec GROUP BY 1""")
 def q_sector_hhi(spark, sf):
     """A2 + A3 + N3: sector exposure, HHI and the heaviest sector."""
-    exp = portfolio.sector_exposure(weights_of(spark, sf), B.universe(spark, sf), digits=15)
+    exp = portfolio.sector_exposure(*weights_and_universe(spark, sf), digits=15)
     m = portfolio.sector_map_column(exp)
     top = F.array_sort(F.map_entries("sectors"),
                        lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1)
@@ -119,12 +127,15 @@ def q_robust_z(spark, sf):
 
 @register("q_srisk_v2", sql=f"""
 WITH {S.UNIVERSE}, {S.WEIGHTS},
-pf AS (SELECT w.portfolio_id, w.ticker, w.weight, u.sector, u.sigma, u.mdd, u.beta
-       FROM w JOIN universe u USING (ticker)
+pc AS (SELECT portfolio_id, CAST(ticker AS VARCHAR) AS ticker, market_value FROM pv
+       UNION ALL SELECT c_custkey, 'CASH', CAST(c_acctbal AS DOUBLE) FROM customer WHERE c_acctbal > 0),
+wc AS (SELECT portfolio_id, ticker, market_value / sum(market_value) OVER (PARTITION BY portfolio_id) AS weight FROM pc),
+pf AS (SELECT wc.portfolio_id, wc.ticker, wc.weight, u.sector, u.sigma, u.mdd, u.beta
+       FROM wc JOIN universe u ON CAST(u.ticker AS VARCHAR) = wc.ticker
        UNION ALL
-       SELECT portfolio_id, ticker, weight, 'Cash', 0.0, 0.0, 0.0 FROM w WHERE CAST(ticker AS VARCHAR) = 'CASH'),
+       SELECT portfolio_id, ticker, weight, 'Cash', 0.0, 0.0, 0.0 FROM wc WHERE ticker = 'CASH'),
 sec AS (SELECT portfolio_id, sector, sum(weight) AS sw, sum(weight * sigma) AS ws, sum(weight * mdd) AS wm,
-               sum(weight * beta) AS wb, sum(CASE WHEN CAST(ticker AS VARCHAR) = 'CASH' THEN weight ELSE 0.0 END) AS cw
+               sum(weight * beta) AS wb, sum(CASE WHEN ticker = 'CASH' THEN weight ELSE 0.0 END) AS cw
         FROM pf GROUP BY 1, 2),
 a AS (SELECT portfolio_id, sum(sw * sw) AS hhi, sum(cw) AS cash_p, sum(ws) / sum(sw) AS sigma_p,
              abs(sum(wm) / sum(sw)) AS mdd_p, sum(wb) / sum(sw) AS beta_p FROM sec GROUP BY 1),
@@ -145,8 +156,14 @@ SELECT portfolio_id, round(score, 4) + 0.0 AS srisk,
        round(hhi, 4) + 0.0 AS hhi, round(cash_p, 4) + 0.0 AS cash_p
 FROM z""")
 def q_srisk_v2(spark, sf):
-    """Score variant 2 over every portfolio."""
-    return risk.score_portfolios_v2(weights_of(spark, sf), B.universe(spark, sf))
+    """Score variant 2 over every portfolio, cash included."""
+    pt = B.price_table(spark, sf)
+    held = B.positions(spark, sf).withColumn("ticker", F.col("ticker").cast("string"))
+    quotes = B.latest_prices(spark, sf, pt).select(F.col("ticker").cast("string").alias("ticker"), "price")
+    priced = portfolio.attach_prices(held, quotes).select("portfolio_id", "ticker", "quantity", "price").unionByName(
+        B.cash_positions(spark, sf).withColumn("price", F.lit(1.0)))
+    u = B.universe(spark, sf, pt).withColumn("ticker", F.col("ticker").cast("string"))
+    return risk.score_portfolios_v2(portfolio.weights(priced), u)
 
 
 @register("q_weights", sql=f"""
@@ -194,11 +211,12 @@ def q_latest_price(spark, sf):
 
 
 @register("q_missing_tickers", sql=f"""
-WITH {S.UNIVERSE}, {S.POSITIONS}
+WITH {S.FULL_UNIVERSE}, {S.POSITIONS}
 SELECT portfolio_id, ticker FROM pos WHERE ticker NOT IN (SELECT ticker FROM universe)""")
 def q_missing_tickers(spark, sf):
-    """J5 + U3 + E1: held securities missing from the universe."""
-    return portfolio.missing_tickers(B.positions(spark, sf), B.universe(spark, sf))
+    """J5 + U3 + E1: held securities missing from the universe of complete
+    histories."""
+    return portfolio.missing_tickers(B.positions(spark, sf), B.universe(spark, sf, min_obs=B.FULL_OBS))
 
 
 @register("q_holdings", sql=f"""
@@ -210,7 +228,7 @@ SELECT w.portfolio_id, w.ticker, round(w.weight, 4) AS weight, u.sector,
 FROM w JOIN universe u USING (ticker)""")
 def q_holdings(spark, sf):
     """J4 + J15 + P25 + T4: holdings table per portfolio."""
-    h = portfolio.holdings(weights_of(spark, sf), B.universe(spark, sf))
+    h = portfolio.holdings(*weights_and_universe(spark, sf))
     return h.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -305,11 +323,11 @@ WHERE (portfolio_id, ticker) NOT IN (SELECT (portfolio_id, ticker) FROM rm)""")
 def q_position_upsert(spark, sf):
     """N4 + N5: double each portfolio's highest-key position (upsert) and
     remove its lowest-key one."""
-    pos = B.positions(spark, sf)
-    ends = pos.groupBy("portfolio_id").agg(F.max("ticker").alias("hi"), F.min("ticker").alias("lo"))
-    ch = (pos.join(ends, "portfolio_id").where(F.col("ticker") == F.col("hi"))
-          .select("portfolio_id", "ticker", (F.col("quantity") * 2).alias("quantity")))
-    rm = pos.join(ends, "portfolio_id").where(F.col("ticker") == F.col("lo")).select("portfolio_id", "ticker")
+    pos = cut_lineage(B.positions(spark, sf))   # one row per (portfolio, security), read three times
+    ends = pos.groupBy("portfolio_id").agg(F.max_by(F.struct("ticker", "quantity"), "ticker").alias("hi"),
+                                           F.min("ticker").alias("lo"))
+    ch = ends.select("portfolio_id", F.col("hi.ticker").alias("ticker"), (F.col("hi.quantity") * 2).alias("quantity"))
+    rm = ends.select("portfolio_id", F.col("lo").alias("ticker"))
     return portfolio.remove_positions(portfolio.upsert_positions(pos, ch), rm)
 
 
@@ -323,12 +341,13 @@ def q_named_portfolios(spark, sf):
     """S15 + A17 + T9: named portfolios landed as one JSON map document per
     investor ({name: {ticker: weight}}), exploded to long rows, scored and
     listed by score descending with nulls last."""
-    w = weights_of(spark, sf).select("portfolio_id", "ticker", "weight")
+    w, u = weights_and_universe(spark, sf)
+    w = w.select("portfolio_id", "ticker", "weight")
     cust = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("portfolio_id"), "c_name")
     maps = w.groupBy("portfolio_id").agg(   # one entry per held security (bounded by the universe)
         F.map_from_entries(F.collect_list(F.struct(F.col("ticker").cast("string"), "weight"))).alias("m"))
     docs = maps.join(cust, "portfolio_id").select(F.to_json(F.create_map("c_name", "m")).alias("doc"))
     long = portfolio.named_portfolios(docs).withColumn("ticker", F.col("ticker").cast("bigint"))
-    sc = risk.score_portfolios(long, B.universe(spark, sf), pid="investor")
+    sc = risk.score_portfolios(long, u, pid="investor")
     return (sc.select("investor", "srisk", "category", "sigma_p", "mdd_p", "beta_p", "hhi")
             .orderBy(F.desc_nulls_last("srisk"), "investor"))

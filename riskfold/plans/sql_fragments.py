@@ -34,6 +34,9 @@ universe AS (
   FROM um LEFT JOIN supplier s ON s.s_suppkey = um.ticker
           LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey)"""
 
+# the same universe of securities with a complete history only
+FULL_UNIVERSE = UNIVERSE.replace("count(*) + 1 >= 60", "count(*) + 1 >= 83")
+
 POSITIONS = """
 pos AS (
   SELECT o_custkey AS portfolio_id, l_suppkey AS ticker, sum(l_quantity) AS quantity
