@@ -204,11 +204,11 @@ OUTLOOK_TEMPLATES = ("Overall, the company is positioned for growth, though risk
                      "Future performance will hinge on managing leverage while sustaining growth.")
 
 
-def augmented_output(ticker: Column, text: Column, pick: Column) -> Column:
-    """R5 + R6: short-form output with template slot ``pick`` (0-based)."""
+def augmented_output(ticker: Column, text: Column, eps_slot: Column, outlook_slot: Column) -> Column:
+    """R5 + R6: short-form output; each template pool has its own slot (0-based)."""
     g, d = c("Quarterly Earnings Growth (yoy)"), c("Total Debt/Equity (mrq)")
-    eps_t = F.element_at(F.array(*[F.lit(t) for t in EPS_TEMPLATES]), pick + 1)
-    out_t = F.element_at(F.array(*[F.lit(t) for t in OUTLOOK_TEMPLATES]), pick + 1)
+    eps_t = F.element_at(F.array(*[F.lit(t) for t in EPS_TEMPLATES]), eps_slot + 1)
+    out_t = F.element_at(F.array(*[F.lit(t) for t in OUTLOOK_TEMPLATES]), outlook_slot + 1)
     fin = lines([
         _when("Diluted EPS (ttm)", F.printf(eps_t, plain(c("Diluted EPS (ttm)")))),
         _when("Quarterly Earnings Growth (yoy)", F.when(g >= 0, F.format_string("Earnings grew %s YoY, showing momentum.",

@@ -8,12 +8,13 @@ from riskfold import schemas
 from riskfold.functions import numbers as N
 from riskfold.operators import corpus as C
 from riskfold.operators import fundamentals as FU
-from riskfold.operators import news, risk
+from riskfold.operators import news, portfolio, risk
 from riskfold.plans import bindings as B
 from riskfold.plans import fundamentals_plans as FP
 from riskfold.plans import portfolio_plans as PP
 from riskfold.plans import sql_fragments as S
 from riskfold.plans.catalog import register
+from riskfold.session import cut_lineage
 from riskfold.sources.tables import read_table
 
 NUMS = schemas.FUNDAMENTAL_NUMERIC
@@ -176,14 +177,62 @@ def q_instruction_rows(spark, sf):
     return j.select("doc_id", "ticker", inp.alias("input"), out.alias("output"))
 
 
-@register("q_augment")
+COPIES = 3
+
+
+def _slot(name: str) -> F.Column:
+    """Template slot of one copy: md5 of (document, copy, pool)."""
+    h = F.md5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("copy").cast("string"), F.lit(name)))
+    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(len(C.EPS_TEMPLATES))).cast("int")
+
+
+def _template_sql(pool, name: str) -> str:
+    listed = ", ".join("'" + t.replace("'", "''") + "'" for t in pool)
+    slot = f"CAST('0x' || substr(md5(concat_ws('-', CAST(doc_id AS VARCHAR), CAST(copy AS VARCHAR), '{name}')), 1, 8) AS BIGINT) % {len(pool)}"
+    return f"([{listed}])[1 + CAST({slot} AS INTEGER)]"
+
+
+_AUG_NEWS = f"""list_filter([
+  CASE WHEN {_any(('growth', 'launch', 'demand'))} AND {_G} IS NOT NULL THEN 'This aligns with earnings growth of ' || {s_pct(_G)} || '.' END,
+  CASE WHEN {_any(('investment', 'factory'))} AND {_FCF} IS NOT NULL THEN 'Such investments may be funded by FCF of ' || {s_money(_FCF)} || '.' END
+], lambda x: x IS NOT NULL)"""
+_AUG_POS = f"""concat_ws(', ', CASE WHEN {_EPS} IS NOT NULL THEN 'profitability' END, CASE WHEN {_OCF} IS NOT NULL THEN 'cash generation' END)"""
+_AUG_NEG = f"""concat_ws(', ', CASE WHEN {_DE} > 1 THEN 'high leverage' END, CASE WHEN {_CR} < 1 THEN 'weak liquidity' END)"""
+
+
+@register("q_augment", sql=f"""
+WITH {FUND},
+nw AS (SELECT doc_id, {NEWS_TICKER_SQL} AS ticker, text FROM documents),
+j AS (SELECT nw.doc_id, nw.ticker, nw.text, c.copy, g.* FROM nw JOIN good g ON g."Ticker" = nw.ticker
+      CROSS JOIN (SELECT unnest(range({COPIES})) AS copy) c)
+SELECT doc_id, ticker, CAST(copy AS INTEGER) AS copy, length('Ticker: ' || ticker || chr(10) || 'Sector: ' || coalesce("Sector", 'N/A') || chr(10)
+    || 'Industry: ' || coalesce("Industry", 'N/A') || chr(10) || 'Metrics: ' || {_METRICS_SQL} || chr(10) || 'News: ' || coalesce(text, '')) AS input_chars,
+  '[Company Overview]' || chr(10) || upper(ticker) || ' operates in the ' || coalesce("Sector", 'N/A') || ' sector ('
+  || coalesce("Industry", 'N/A') || ').' || chr(10) || chr(10) || '[Financial Analysis]' || chr(10)
+  || concat_ws(chr(10),
+       CASE WHEN {_EPS} IS NOT NULL THEN replace({_template_sql(C.EPS_TEMPLATES, 'eps')}, '%s', CAST(CAST({s_dec(_EPS, 4)} AS DOUBLE) AS VARCHAR)) END,
+       CASE WHEN {_G} >= 0 THEN 'Earnings grew ' || {s_pct(_G)} || ' YoY, showing momentum.'
+            WHEN {_G} < 0 THEN 'Earnings declined ' || {s_pct(_G)} || ' YoY, raising concerns.' END,
+       CASE WHEN {_DE} IS NOT NULL THEN 'Debt-to-equity ratio of ' || {s_fixed(_DE, 2)} || ' suggests '
+            || CASE WHEN {_DE} < 1 THEN 'manageable leverage' ELSE 'elevated risk' END || '.' END)
+  || chr(10) || chr(10) || '[News Impact]' || chr(10)
+  || CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN 'No major news reported recently.'
+          WHEN len({_AUG_NEWS}) = 0 THEN 'The news may have strategic significance, though financial impact is uncertain.'
+          ELSE array_to_string({_AUG_NEWS}, ' ') END
+  || chr(10) || chr(10) || '[Outlook]' || chr(10)
+  || concat_ws(' ', CASE WHEN {_AUG_POS} <> '' THEN 'Positives include ' || {_AUG_POS} || '.' END,
+               CASE WHEN {_AUG_NEG} <> '' THEN 'Risks stem from ' || {_AUG_NEG} || '.' END,
+               {_template_sql(C.OUTLOOK_TEMPLATES, 'outlook')}) AS output
+FROM j""")
 def q_augment(spark, sf):
-    """R5 + R6: three short-form variants per record; the template slot is
-    chosen by a seeded hash of (doc_id, copy) — rows-only check."""
+    """R5 + R6: short-form variants of every record; each copy draws its two
+    templates by a seeded hash.  The input text is checked by its length, as
+    it is the same for all copies."""
     j = corpus_news(spark, sf).join(fundamentals(spark, sf).withColumnRenamed("Ticker", "ticker"), "ticker")
-    j = j.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    pick = F.pmod(F.xxhash64("doc_id", "copy", F.lit(42)), F.lit(len(C.EPS_TEMPLATES))).cast("int")
-    return j.select("doc_id", "ticker", "copy", C.augmented_output(F.col("ticker"), F.col("text"), pick).alias("output"))
+    inp, _ = C.instruction_record(F.col("ticker"), F.col("text"), NUMS, F.lower("text"))
+    j = j.withColumn("input", inp).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    out = C.augmented_output(F.col("ticker"), F.col("text"), _slot("eps"), _slot("outlook"))
+    return j.select("doc_id", "ticker", "copy", F.length("input").cast("bigint").alias("input_chars"), out.alias("output"))
 
 
 @register("q_chat_render", sql="""
@@ -371,43 +420,56 @@ def q_report_json(spark, sf):
         F.get("b.news", F.lit(0))["id"].alias("newest_id"), "b.outlook")
 
 
-@register("q_portfolio_doc", sql=f"""
-WITH {S.UNIVERSE}, {S.WEIGHTS},
-top AS (SELECT portfolio_id, ticker FROM w QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY weight DESC, ticker) = 1),
-sec AS (SELECT w.portfolio_id, coalesce(u.sector, 'Unknown') AS sector, sum(w.weight) AS sw
-        FROM w LEFT JOIN universe u USING (ticker) GROUP BY 1, 2),
-ts AS (SELECT portfolio_id, sector FROM sec QUALIFY row_number() OVER (PARTITION BY portfolio_id ORDER BY sw DESC, sector) = 1),
-agg AS (SELECT portfolio_id, CAST(round(CAST(max(total_value) AS DECIMAL(38, 6)), 2) AS DOUBLE) AS total_value,
-               count(*) AS n_positions FROM w GROUP BY 1)
-SELECT agg.portfolio_id, agg.total_value, agg.n_positions, top.ticker AS top_ticker, ts.sector AS top_sector
-FROM agg JOIN top USING (portfolio_id) JOIN ts USING (portfolio_id)""")
+@register("q_portfolio_doc", sql=PP._SCORE_CTES + """,
+al AS (SELECT portfolio_id, CAST(round(CAST(max(total_value) AS DECIMAL(38, 6)), 2) AS DOUBLE) AS total_value, count(*) AS n_positions,
+              string_agg(CAST(ticker AS VARCHAR), ',' ORDER BY weight DESC, ticker) AS allocation FROM w GROUP BY 1),
+hl AS (SELECT portfolio_id, string_agg(CAST(ticker AS VARCHAR) || '/' || sector, ',' ORDER BY weight DESC, ticker) AS holdings
+       FROM j WHERE m GROUP BY 1),
+sl AS (SELECT portfolio_id, string_agg(sector, ',' ORDER BY sw DESC, sector) AS sectors FROM sec GROUP BY 1)
+SELECT portfolio_id, total_value, n_positions, allocation, holdings, sectors,
+       CASE WHEN nm > 0 THEN round(score, 4) + 0.0 END AS srisk,
+       CASE WHEN nm > 0 THEN CASE WHEN score < 0.33 THEN 'SAFE' WHEN score < 0.66 THEN 'NEUTRAL' ELSE 'AGGRESSIVE' END END AS category
+FROM al JOIN s USING (portfolio_id) JOIN sl USING (portfolio_id) LEFT JOIN hl USING (portfolio_id)""")
 def q_portfolio_doc(spark, sf):
-    """Per-portfolio document summary: total value, positions, the
-    heaviest holding and sector (allocation / sector lists sorted by weight)."""
-    from riskfold.operators import portfolio as P
-    w = PP.weights_of(spark, sf)
-    u = B.universe(spark, sf)
-    alloc = P.allocation(w)
-    top = alloc.where("rank = 1").select("portfolio_id", F.col("ticker").alias("top_ticker"))
-    sec = P.sector_exposure(w, u, digits=15)
-    ts = news.keep_first(sec, "portfolio_id", [(-F.col("sector_weight")).alias("w"), F.col("sector")]).select(
-        "portfolio_id", F.col("sector").alias("top_sector"))
-    agg = w.groupBy("portfolio_id").agg(N.round_money(F.max("total_value"), 2).alias("total_value"),
-                                        F.count("*").alias("n_positions"))
-    return agg.join(top, "portfolio_id").join(ts, "portfolio_id")
-
-
-@register("q_dashboard", sql=f"""
-WITH {S.UNIVERSE},
+    """The result document of every portfolio: score, category, total
+    value, and allocation, holdings and sectors by weight.  A list holds at
+    most one entry per security of the universe."""
+    w, u = PP.weights_and_universe(spark, sf)
+    w, u = cut_lineage(w), cut_lineage(u)       # positions by security; read by all parts of the document
+
+    def listed(weight, key, entry):
+        rows = F.array_sort(F.collect_list(F.struct((-F.col(weight)).alias("o"), F.col(key).alias("k"), entry.alias("e"))))
+        return F.array_join(F.transform(rows, lambda r: r["e"]), ",")
+
+    key = F.col("ticker").cast("string")
+    alloc = w.groupBy("portfolio_id").agg(N.round_money(F.max("total_value"), 2).alias("total_value"),
+                                          F.count("*").alias("n_positions"),
+                                          listed("weight", "ticker", key).alias("allocation"))
+    held = w.select("portfolio_id", "ticker", "weight").join(u, "ticker")
+    hold = held.groupBy("portfolio_id").agg(
+        listed("weight", "ticker", F.concat_ws("/", key, F.col("sector"))).alias("holdings"))
+    sec = portfolio.sector_exposure(w, u, digits=15)
+    sectors = sec.groupBy("portfolio_id").agg(listed("sector_weight", "sector", F.col("sector")).alias("sectors"))
+    score = risk.score_portfolios(w, u).select("portfolio_id", "srisk", "category")
+    return alloc.join(score, "portfolio_id").join(sectors, "portfolio_id").join(hold, "portfolio_id", "left")
+
+
+@register("q_dashboard", sql=PP._SCORE_CTES + f""",
 t AS (SELECT ticker FROM universe ORDER BY sigma DESC, ticker LIMIT 12)
 SELECT (SELECT count(*) FROM universe) AS ticker_count,
        (SELECT count(DISTINCT sector) FROM universe) AS n_sectors,
-       (SELECT string_agg(CAST(ticker AS VARCHAR), ',' ORDER BY CAST(ticker AS VARCHAR)) FROM t) AS top_volatile""")
+       (SELECT string_agg(CAST(ticker AS VARCHAR), ',' ORDER BY CAST(ticker AS VARCHAR)) FROM t) AS top_volatile,
+       portfolio_id AS default_portfolio, CASE WHEN nm > 0 THEN round(score, 4) + 0.0 END AS default_srisk
+FROM s WHERE portfolio_id = (SELECT min(portfolio_id) FROM s)""")
 def q_dashboard(spark, sf):
     """R14 + T1 + T5 + A18: start-up figures (ticker count, sectors, the 12
-    most volatile securities)."""
-    u = B.universe(spark, sf)
-    top = risk.top_by(u, "sigma", 12)
-    tops = top.select(F.array_join(F.array_sort(F.collect_list(F.col("ticker").cast("string"))), ",").alias("top_volatile"))
-    return tops.select(u.select(F.count("*")).scalar().alias("ticker_count"),
-                       u.select(F.countDistinct("sector")).scalar().alias("n_sectors"), "top_volatile")
+    most volatile securities) and the score of the default portfolio."""
+    w, u = PP.weights_and_universe(spark, sf)
+    u = cut_lineage(u)
+    first = w.select(F.min("portfolio_id")).scalar()
+    score = risk.score_portfolios(w.where(F.col("portfolio_id") == first), u)
+    tops = risk.top_by(u, "sigma", 12).select(
+        F.array_join(F.array_sort(F.collect_list(F.col("ticker").cast("string"))), ",").alias("t")).scalar()
+    return score.select(u.select(F.count("*")).scalar().alias("ticker_count"),
+                        u.select(F.countDistinct("sector")).scalar().alias("n_sectors"), tops.alias("top_volatile"),
+                        F.col("portfolio_id").alias("default_portfolio"), F.col("srisk").alias("default_srisk"))
