@@ -47,7 +47,7 @@ def html_unescape(c) -> Column:
 @F.pandas_udf(T.StringType())
 def html_unescape_full(s):  # pragma: no cover - exercised through clean_html(full=True)
     import html
-    return s.map(lambda v: None if v is None else html.unescape(v))
+    return s.map(lambda v: None if v is None else html.unescape(v).replace("\u00a0", " "))
 
 
 def clean_html(c, full_entities: bool = False) -> Column:

@@ -129,15 +129,21 @@ def index_candidates(articles: DataFrame, as_of: str, days: int = 30) -> DataFra
                           (F.col("pubdate").isNull() | (F.col("pubdate") >= D.cutoff(as_of, days))))
 
 
-def new_links(candidates: DataFrame, stored: DataFrame, blocked: DataFrame, prefix: str | None = None) -> DataFrame:
+def new_links(candidates: DataFrame, stored: DataFrame, blocked: DataFrame, prefix: str | None = None,
+              order: str | None = None) -> DataFrame:
     """J6 + P17: (ticker, link) pairs neither stored nor blocked, optional
-    URL prefix filter, first occurrence only."""
+    URL prefix filter, one row per pair (the first by ``order``)."""
     c = candidates
     if prefix:
         c = c.where(F.col("link").startswith(prefix))
     c = c.join(stored.select("ticker", "link"), ["ticker", "link"], "left_anti")
     c = c.join(blocked.select("ticker", "link"), ["ticker", "link"], "left_anti")
-    return c
+    return c.dropDuplicates(["ticker", "link"]) if order is None else keep_first(c, ["ticker", "link"], order)
+
+
+def skip_populated(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the store does not hold yet."""
+    return rows.join(stored.select(key), key, "left_anti")
 
 
 def append_distinct(current: DataFrame, new: DataFrame, keys=("ticker", "link"), order: str = "src_order") -> DataFrame:

@@ -51,20 +51,47 @@ def q_page_extract(spark, sf):
                     F.length("body").cast("bigint").alias("body_chars"))
 
 
+# Pages of the content filter's sources: the extracted ones, of which every
+# seventh comes from a blocked publisher, every eleventh from the video desk,
+# every thirteenth is a premium page and every seventeenth has no title; every
+# fifth is already in the store.
+_BLOCKED_SQL = "[" + ", ".join(f"'{p}'" for p in news.BLOCKED_PUBLISHERS) + "]"
+
+
+def sourced_pages(spark, sf):
+    e = html.extract_page(read_table(spark, sf, "pages"))
+    k = F.col("page_id")
+
+    def every(n, changed, column):
+        return F.when(k % n == 0, changed).otherwise(F.col(column)).alias(column)
+
+    publishers = F.array(*[F.lit(p) for p in news.BLOCKED_PUBLISHERS])
+    name = F.element_at(publishers, (k % len(news.BLOCKED_PUBLISHERS)).cast("int") + 1)
+    return e.select("page_id", every(17, F.lit(" "), "title"),
+                    every(13, F.concat(F.lit(news.PREMIUM_MARKER + "\n"), F.coalesce("body", F.lit(""))), "body"),
+                    every(11, F.lit("by " + news.VIDEO_BYLINE), "byline"), every(7, name, "publisher"))
+
+
 @register("q_content_filter", sql=f"""
 WITH {_EXTRACT},
+m AS (SELECT page_id, CASE WHEN page_id % 17 = 0 THEN ' ' ELSE title END AS title,
+             CASE WHEN page_id % 13 = 0 THEN 'PREMIUM' || chr(10) || coalesce(body, '') ELSE body END AS body,
+             CASE WHEN page_id % 11 = 0 THEN 'by Yahoo Finance Video' ELSE byline END AS byline,
+             CASE WHEN page_id % 7 = 0 THEN ({_BLOCKED_SQL})[CAST(page_id % 6 AS INTEGER) + 1] ELSE publisher END AS publisher
+      FROM ex),
 f AS (SELECT *, (trim(split_part(body, chr(10), 1)) = 'PREMIUM'
                  OR coalesce(contains(byline, 'Yahoo Finance Video'), false)
-                 OR coalesce(list_bool_or(list_transform(['Motley Fool', 'Barchart', 'The Wall Street Journal', 'Zacks', 'Benzinga', 'Quartz'],
-                                                        lambda p: contains(coalesce(publisher, ''), p))), false)) AS bad,
+                 OR coalesce(list_bool_or(list_transform({_BLOCKED_SQL}, lambda p: contains(coalesce(publisher, ''), p))), false)) AS bad,
              coalesce(length(trim(title)), 0) > 0 AND coalesce(length(trim(body)), 0) > 0 AS ok
-      FROM ex)
-SELECT page_id, CASE WHEN bad THEN 'rejected' WHEN ok THEN 'kept' ELSE 'dropped' END AS status FROM f""")
+      FROM m)
+SELECT page_id, CASE WHEN bad THEN 'rejected' WHEN ok THEN 'kept' ELSE 'dropped' END AS status
+FROM f WHERE page_id % 5 <> 0""")
 def q_content_filter(spark, sf):
     """P15 + P16 + P18: premium / video / blocked-publisher rejects and the
-    non-empty title+body rule."""
-    e = html.extract_page(read_table(spark, sf, "pages"))
-    return e.select("page_id", news.content_status().alias("status"))
+    non-empty title+body rule, over the pages that the store does not hold."""
+    stored = read_table(spark, sf, "pages").where(F.col("page_id") % 5 == 0).select("page_id")
+    fresh = news.skip_populated(sourced_pages(spark, sf), stored, "page_id")
+    return fresh.select("page_id", news.content_status().alias("status"))
 
 
 @register("q_html_list", sql=r"""

@@ -89,6 +89,21 @@ def q_clean_html(spark, sf):
     return p.select("page_id", c.alias("clean_text"), F.length(c).cast("bigint").alias("clean_chars"))
 
 
+# the named entities of the bundled pages besides the basic ones
+_ENT_FULL = "replace(replace(" + _ENT + ", '&copy;', '©'), '&middot;', '·')"
+
+
+@register("q_clean_html_full", sql=r"""
+SELECT page_id, c AS clean_text, length(c) AS clean_chars FROM (
+  SELECT page_id, coalesce(trim(regexp_replace(regexp_replace(""" + _ENT_FULL.format(c="html") + r""", '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '') AS c
+  FROM pages)""")
+def q_clean_html_full(spark, sf):
+    """whole pages to clean text with the full entity table."""
+    p = read_table(spark, sf, "pages")
+    return p.select("page_id", X.clean_html("html", full_entities=True).alias("clean_text")).select(
+        "page_id", "clean_text", F.length("clean_text").cast("bigint").alias("clean_chars"))
+
+
 @register("q_url_host", sql=r"""
 SELECT page_id, NULLIF(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '') AS host,
        replace(url_encode(regexp_extract(html, '<title>(.*?)</title>', 1)), '%20', '+') AS title_param

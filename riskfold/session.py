@@ -82,11 +82,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast a join side only behind a size check: the side is
-    materialised once (reliable checkpoint), counted, and hinted for
-    broadcast when it has at most ``max_rows`` rows; beyond that it stays a
-    shuffle join (AQE still splits skewed keys)."""
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast a join side only behind a check of its size: the side is
+    materialised once (reliable checkpoint) and its rows measured as JSON
+    text; at more than ``max_bytes`` it stays a shuffle join (AQE still splits
+    skewed keys)."""
     from pyspark.sql import functions as F
     df = cut_lineage(df)
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

@@ -60,3 +60,9 @@ def test_fmt_metric(spark):
     got = [r.t for r in df.select(N.fmt_metric("x").alias("t")).collect()]
     assert got == ["N/A", "0.25", "$2.5B", "$3.3M", "12.35"]
     assert df.select(N.fmt_metric(F.lit(0.0025), percent=True).alias("t")).first().t == "0.3%"
+
+
+def test_clean_html_knows_every_entity(spark):
+    df = spark.createDataFrame([("<b>caf&eacute;</b>&#8217;s &mdash; A&amp;B &lt;i&gt;x",), (None,)], "h string")
+    got = [r.c for r in df.select(X.clean_html("h", full_entities=True).alias("c")).collect()]
+    assert got == ["café ’s — A&B x", ""]
