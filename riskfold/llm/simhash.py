@@ -33,12 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskfold.llm.graph import components
 from riskfold.llm.registry import register
-from riskfold.llm.words import BIG_ID, documents, id_or_last, id_or_null, slices, texts
+from riskfold.llm.words import documents, id_or_last, id_or_null, slices, texts
 from riskfold.session import cut_lineage
 
 SHINGLE = 3
@@ -66,14 +66,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) of every row; fp as the signed long with the same bits."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, **longs: Column) -> DataFrame:
+    """(id, ``longs``, fp) of every row; fp as the signed long with the same bits."""
+    names = ["id", *longs]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in texts(part)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(fps)], names=[*names, "fp"])
 
-    return docs.select(id_or_last("doc_id").alias("id"), "text").mapInArrow(run, "id long, fp long")
+    return (docs.select(id_or_last("doc_id").alias("id"), *(c.alias(n) for n, c in longs.items()), "text")
+            .mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"])))
 
 
 def _blocks(bits: list[int], n: int) -> list[list[int]]:
@@ -247,12 +250,18 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return candidate_groups(fps, radius, split).mapInArrow(run, "u long, v long").distinct()
 
 
+def _classes(rows: DataFrame, radius: int, least: Column) -> DataFrame:
+    """(fp, least, head) of every fingerprint in ``rows``: ``least`` of its rows
+    and the fingerprint that names its component."""
+    classes = cut_lineage(rows.groupBy("fp").agg(least.alias("least")))
+    linked = components(links(classes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("head"))
+    return classes.join(linked, "fp", "left").withColumn("head", F.coalesce("head", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (long), component_id for every row of ``docs``."""
     rows = cut_lineage(fingerprints(docs, shingle))
-    classes = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    linked = components(links(classes.select("fp"), radius)).select(F.col("u").alias("fp"), F.col("v").alias("head"))
-    heads = (classes.join(linked, "fp", "left").withColumn("head", F.coalesce("head", "fp")))
+    heads = _classes(rows, radius, F.min("id"))
     component = heads.groupBy("head").agg(F.min("least").alias("component"))
     named = heads.join(component, "head").select("fp", "component")
     return rows.join(named, "fp").select(
@@ -260,14 +269,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, one of each component: the least doc_id's (of
-    repeated rows with that id, the one with the least text hash)."""
-    heads = (near_duplicates(docs, shingle, radius)
-             .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.coalesce("doc_id", F.lit(BIG_ID)).alias("__id"), F.col("fp").alias("__fp")).distinct())
-    first = Window.partitionBy("__id").orderBy(F.xxhash64("text"), "text")
-    return (docs.withColumn("__id", id_or_last("doc_id")).join(heads.select("__id").distinct(), "__id", "left_semi")
-            .withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__id", "__n"))
+    """One row of each component of linked fingerprints: the least doc_id's, of
+    several rows with that id the one with the least text hash.  Rows are told
+    apart by (doc_id, 128 bits of text hash), so rows that share an id, or have
+    none, stay as long as their texts are not linked."""
+    key = {"h": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}
+    rows = cut_lineage(fingerprints(docs, shingle, **key))
+    heads = (_classes(rows, radius, F.min(F.struct("id", *key)))
+             .groupBy("head").agg(F.min("least").alias("least")).select("least.*"))
+    # exact copies of a row are merged before the shuffle
+    whole = F.struct(*docs.columns)
+    kept = (docs.select(id_or_last("doc_id").alias("id"), *(c.alias(n) for n, c in key.items()), whole.alias("row"))
+            .groupBy("id", *key).agg(F.min_by("row", F.xxhash64("row")).alias("row")))
+    return kept.join(heads, ["id", *key], "left_semi").select("row.*")
 
 
 @register("op8_simhash_groups")

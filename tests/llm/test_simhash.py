@@ -118,3 +118,20 @@ def test_keep_first_keeps_every_column_and_one_row(spark):
     out = S.keep_first(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
+def test_keep_first_keeps_one_row_of_each_component_not_of_each_id(spark):
+    rows = [(None, "first text without an id"), (None, "quite another passage here"), (None, "FIRST text without an id"),
+            (None, "quite another passage here"), (3, "a copied line of words"), (7, "A copied line of words"),
+            (7, "something only seven has"), (7, "and one more unlinked thing"), (7, "something only seven has")]
+    df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, n long")
+    out = S.keep_first(df).collect()
+    big = (1 << 63) - 1
+    fps = [slow_fingerprint(t) for _, t in rows]
+    group = roots(len(rows), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
+    assert len(out) == len(set(group)) == 5
+    assert sorted(group[r.n] for r in out) == sorted(set(group))
+    for r in out:
+        assert rows[r.n] == (r.doc_id, r.text)
+        assert (big if r.doc_id is None else r.doc_id) == min(
+            big if i is None else i for (i, _), g in zip(rows, group) if g == group[r.n])
