@@ -2,8 +2,8 @@
 
 Words are runs of ASCII letters and non-ASCII characters, lower-cased in A-Z.
 A word's features are its affixes (1 to 4 bytes at either end), the byte
-bigrams and trigrams inside it with end marks, and its entry in the learned
-lexicon (or a mark for words outside).  A state is a language; the learned
+bigrams and trigrams of its whole length with end marks, and its entry in the
+learned lexicon (or a mark for words outside).  A state is a language; the learned
 transition matrix scores a change from one word to the next, so a switch of
 language inside a text costs evidence.  Forward-backward gives each word's
 marginal; a document's language has the largest share of its marginals.
@@ -13,7 +13,8 @@ the log-likelihood of labelled passages, some joined to code-switched ones.  It
 uses a bounded sample (parameters SAMPLE_DOCS documents a language by id hash,
 SAMPLE_RUNS passages of RUN_WORDS words from places spread over each whole
 text); prediction reads every text whole.  The model is 64k x languages
-floats and travels with the function.
+floats and travels with the function.  In scripts without blanks a paragraph is
+one word; the sample cuts words of over PIECE characters into pieces.
 
 Defined results: null text or no letter -> ``und`` with score 0; equal shares
 -> the language first in code point order; a null doc_id counts as held out;
@@ -35,10 +36,10 @@ from riskfold.llm.registry import register
 from riskfold.llm.words import U64, documents, mix, slices, span_hashes, spans_of, texts
 
 FEATURES = 1 << 16
-LONGEST = 24  # bytes of a word that make n-grams; its affixes and lexicon entry see all of it
 SAMPLE_DOCS = 250
 SAMPLE_RUNS = 4
 RUN_WORDS = 30
+PIECE = 100
 LEXICON_COUNT = 4
 STEPS = 60
 UND = "und"
@@ -61,38 +62,47 @@ class Tokens:
         self.data, self.starts, self.ends = data, starts[at], ends[at]
 
 
-def feature_ids(tokens: Tokens) -> np.ndarray:
-    """(words, slots) feature numbers from 1 on; 0 where a slot is empty."""
+@dataclass
+class Features:
+    ids: np.ndarray    # feature numbers from 1 on; 0 where a slot is empty
+    first: np.ndarray  # word w has ids[first[w]:first[w + 1]]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self.ids[a:b] for a, b in zip(self.first[:-1], self.first[1:]))
+
+
+def feature_ids(tokens: Tokens) -> Features:
+    """Affixes, then the bigram and trigram from each byte of the marked word."""
     n = len(tokens.starts)
     length = tokens.ends - tokens.starts
-    width = int(min(LONGEST, length.max(initial=1)))
-    place = tokens.starts[:, None] + np.arange(width)
-    inside = np.arange(width) < length[:, None]
-    chars = np.where(inside, tokens.data[np.minimum(place, len(tokens.data) - 1)], 0).astype(np.uint32)
-    marked = np.zeros((n, width + 2), dtype=np.uint32)
-    marked[:, 0] = 1
-    marked[:, 1:-1] = chars
-    marked[np.arange(n), np.minimum(length, width) + 1] = 2
-    columns = []
-
-    def add(value: np.ndarray, kind: int, there: np.ndarray) -> None:
+
+    def number(value: np.ndarray, kind: int, there: np.ndarray) -> np.ndarray:
         h = (value * np.uint32(2654435761) + np.uint32(kind * 40503 + 7)) * np.uint32(2246822519)
-        columns.append(np.where(there, 1 + ((h >> np.uint32(15)) % np.uint32(FEATURES - 1)), 0))
-
-    for i in range(width + 1):
-        pair = marked[:, i] << np.uint32(8) | marked[:, i + 1]
-        add(pair, 1, marked[:, i + 1] > 0)
-        if i < width:
-            add(pair << np.uint32(8) | marked[:, i + 2], 2, marked[:, i + 2] > 0)
-    last = np.minimum(tokens.ends[:, None] - 1 - np.arange(4), len(tokens.data) - 1)
-    tail = np.where(np.arange(4) < length[:, None], tokens.data[np.maximum(last, 0)], 0).astype(np.uint32)
+        return np.where(there, 1 + ((h >> np.uint32(15)) % np.uint32(FEATURES - 1)), 0)
+
+    # the words one after the other, each between a start mark 1 and an end mark 2
+    begin = np.concatenate(([0], np.cumsum(length + 2)))
+    word = np.repeat(np.arange(n), length + 2)
+    marked = tokens.data[np.arange(begin[-1]) + (tokens.starts - 1 - begin[:-1])[word]].astype(np.uint32)
+    marked[begin[:-1]] = 1
+    marked[begin[1:] - 1] = 2
+    left = begin[1:][word] - np.arange(begin[-1])
+    ahead = np.concatenate((marked, np.zeros(2, dtype=np.uint32)))
+    pair = marked << np.uint32(8) | ahead[1:-1]
+    ids = np.zeros(2 * begin[-1] + 8 * n, dtype=np.int32)
+    place = 2 * np.arange(begin[-1]) + 8 * (word + 1)
+    ids[place] = number(pair, 1, left > 1)
+    ids[place + 1] = number(pair << np.uint32(8) | ahead[2:], 2, left > 2)
+    first = 2 * begin + 8 * np.arange(n + 1)
+    inside = np.arange(4) < length[:, None]
+    head = np.where(inside, tokens.data[np.minimum(tokens.starts[:, None] + np.arange(4), len(tokens.data) - 1)], 0).astype(np.uint32)
+    tail = np.where(inside, tokens.data[np.maximum(tokens.ends[:, None] - 1 - np.arange(4), 0)], 0).astype(np.uint32)
     for k in range(1, 5):
-        if k <= width:
-            prefix = sum(chars[:, i] << np.uint32(8 * i) for i in range(k))
-            add(prefix, 10 + k, length >= k)
+        prefix = sum(head[:, i] << np.uint32(8 * i) for i in range(k))
+        ids[first[:-1] + k - 1] = number(prefix, 10 + k, length >= k)
         suffix = sum(tail[:, i] << np.uint32(8 * i) for i in range(k))
-        add(suffix, 20 + k, length >= k)
-    return np.stack(columns, axis=1)
+        ids[first[:-1] + k + 3] = number(suffix, 20 + k, length >= k)
+    return Features(ids, first)
 
 
 @dataclass
@@ -105,11 +115,15 @@ class Model:
 
     def emissions(self, tokens: Tokens) -> np.ndarray:
         """(different words, langs) scores."""
-        ids = feature_ids(tokens)
-        out = np.zeros((len(ids), len(self.langs)), dtype=np.float32)
-        for k in range(ids.shape[1]):
-            out += self.weights[ids[:, k]]
-        return out + self.entries[entry_ids(tokens.hashes, self.lexicon)]
+        return self.scores(feature_ids(tokens), entry_ids(tokens.hashes, self.lexicon))
+
+    def scores(self, features: Features, entry: np.ndarray) -> np.ndarray:
+        out = self.entries[entry]
+        if len(entry):
+            for j in range(len(self.langs)):
+                weight = np.ascontiguousarray(self.weights[:, j])[features.ids]
+                out[:, j] += np.add.reduceat(weight, features.first[:-1], dtype=np.float64)
+        return out
 
 
 def entry_ids(hashes: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
@@ -182,7 +196,7 @@ def train(passages: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.2
 
     counts = np.bincount(tokens.word, minlength=len(tokens.hashes))
     lexicon = tokens.hashes[counts >= LEXICON_COUNT]
-    ids, entry = feature_ids(tokens), entry_ids(tokens.hashes, lexicon)
+    features, entry = feature_ids(tokens), entry_ids(tokens.hashes, lexicon)
     model = Model(langs, np.zeros((FEATURES, k), np.float32), lexicon, np.zeros((len(lexicon) + 1, k), np.float32), np.zeros((k, k)))
     truth = np.zeros((n, k))
     truth[np.arange(n), label] = 1
@@ -194,14 +208,13 @@ def train(passages: list[tuple[str, str]], steps: int = STEPS, rate: float = 0.2
     weight = (balance / balance.max())[label]  # a large language does not crowd out a small one
     squares = [np.full_like(p, 1e-8, dtype=np.float64) for p in (model.weights, model.entries, model.moves)]
     for _ in range(steps):
-        score = (model.emissions(tokens)[word]).astype(np.float64)
+        score = model.scores(features, entry)[word].astype(np.float64)
         p, taken, _total = marginals(score, first, model.moves, expected=True)
         wrong = (truth - p) * weight[:, None]
         per_word = np.stack([np.bincount(word, wrong[:, j], len(tokens.hashes)) for j in range(k)], axis=1)
         slope_w = np.zeros((FEATURES, k))
-        flat = ids.ravel()
         for j in range(k):
-            slope_w[:, j] = np.bincount(flat, np.repeat(per_word[:, j], ids.shape[1]), FEATURES)
+            slope_w[:, j] = np.bincount(features.ids, np.repeat(per_word[:, j], np.diff(features.first)), FEATURES)
         slope_w[0] = 0
         slope_e = np.stack([np.bincount(entry, per_word[:, j], len(lexicon) + 1) for j in range(k)], axis=1)
         slopes = (slope_w - 0.05 * model.weights, slope_e - 0.05 * model.entries, seen_moves - taken - 0.05 * model.moves)
@@ -231,12 +244,12 @@ def sample_passages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tup
         for part in slices(batches, "text"):
             out, langs, draws = [], [], []
             for t, g, d in zip(texts(part), part.column("lang").to_pylist(), part.column("draw").to_pylist()):
-                words = t.split()
+                # a "word" can be of any length: the sample takes it in pieces
+                words = [w[i:i + PIECE] for w in t.split() for i in range(0, len(w), PIECE)]
                 runs = max(1, min(SAMPLE_RUNS, len(words) // RUN_WORDS))
                 for r in range(runs):
                     a = (len(words) - RUN_WORDS) * (2 * r + 1) // (2 * runs) if len(words) > RUN_WORDS else 0
-                    # a "word" can be of any length: the sample keeps whole ones up to a bound
-                    out.append(" ".join(w for w in words[a:a + RUN_WORDS] if len(w) <= 100))
+                    out.append(" ".join(words[a:a + RUN_WORDS]))
                     langs.append(g)
                     draws.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(langs, pa.string()), pa.array(draws, pa.float64())],

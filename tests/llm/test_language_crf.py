@@ -106,3 +106,39 @@ def test_stage_keeps_clean_rows_as_they_are(spark):
 @pytest.mark.parametrize("passages", [[("only one language here", "en")], [("a", "x"), ("", "y")]])
 def test_tiny_training_sets(passages):
     assert L.train(passages).langs == sorted({g for _, g in passages})
+
+
+def test_ngrams_cover_every_byte_of_a_word():
+    words = ["a", "é", "ab" * 11 + "cd", "x" * 23 + "yz", "x" * 60 + "yz" + "x" * 60, "東京は日本の首都です。" * 20]
+    tokens = L.Tokens(words)
+    by_hash = {h: np.sort(f[f > 0]) for h, f in zip(tokens.hashes, L.feature_ids(tokens))}
+
+    def number(value, kind):
+        h = (value * 2654435761 + kind * 40503 + 7) % (1 << 32) * 2246822519 % (1 << 32)
+        return 1 + (h >> 15) % (L.FEATURES - 1)
+    for w in words:
+        b = w.encode()
+        m = [1, *b, 2]
+        want = [number(m[i] << 8 | m[i + 1], 1) for i in range(len(m) - 1)]
+        want += [number((m[i] << 8 | m[i + 1]) << 8 | m[i + 2], 2) for i in range(len(m) - 2)]
+        for k in range(1, min(4, len(b)) + 1):
+            want += [number(int.from_bytes(b[:k], "little"), 10 + k), number(int.from_bytes(b[-k:][::-1], "little"), 20 + k)]
+        assert by_hash[L.Tokens([w]).hashes[0]].tolist() == sorted(want)
+
+
+def test_languages_without_blanks_are_sampled_and_told_by_their_whole_text(spark):
+    rng = np.random.default_rng(5)
+    parts = {"aa": ["のです", "東京は", "でした", "から"], "bb": ["的是", "我们", "不了", "他在"]}
+    same = "一二三四五六七八九十"
+
+    def text(g):
+        return same + "".join(rng.choice(parts[g], 150)) + same
+    rows = [(i, text(g), g) for i, g in enumerate(["aa", "bb"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    passages = L.sample_passages(df)
+    assert {g for _, g in passages} == {"aa", "bb"}
+    assert all(p and max(map(len, p.split())) <= L.PIECE for p, _ in passages)
+    by_text = {t: g for _, t, g in rows}
+    assert {p.replace(" ", "") for p, _ in passages} <= set(by_text)
+    told = L.predict(df, L.fit(df)).collect()
+    assert [r.lang_pred for r in sorted(told, key=lambda r: r.doc_id)] == [g for _, _, g in rows]
