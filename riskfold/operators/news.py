@@ -190,7 +190,7 @@ def preview(articles: DataFrame, index: DataFrame | None = None, limit: int = 10
     a = articles
     if index is not None:
         a = a.join(index.select("id", (F.size("ivect") * 4).cast("long").alias("ivect_bytes")), "id")
-    return (a.orderBy(sort_key_recent().desc()).limit(limit)
+    return (a.orderBy(sort_key_recent().desc(), F.col("id").desc()).limit(limit)
             .select("id", "ticker", F.substring("headline", 1, 60).alias("headline"),
                     F.substring("summary", 1, 80).alias("summary_head"), "pubdate",
                     *(["ivect_bytes"] if index is not None else [])))

@@ -122,20 +122,39 @@ def q_index_build(spark, sf):
                       (F.col("back") == F.col("ivect")).alias("round_trip"), F.round(check, 3).alias("checksum"))
 
 
+def _states(rows, purged, gone, sizes):
+    """Every id of ``rows``: kept, expired or duplicate (then with the anchor
+    of its cluster), and the bytes of a kept row's vector in the index."""
+    marked = (rows.select("id").join(purged.withColumn("_old", F.lit(True)), "id", "left")
+              .join(gone.select("id", "anchor"), "id", "left").join(sizes, "id", "left"))
+    state = F.when(F.col("_old"), "expired").when(F.col("anchor").isNotNull(), "duplicate").otherwise("kept")
+    return marked.withColumn("state", state).select(
+        F.col("id").cast("string").alias("id"), "state", F.col("anchor").cast("string").alias("anchor"),
+        F.when(F.col("state") == "kept", F.col("ivect_bytes")).alias("ivect_bytes"))
+
+
+def _cleanup(spark, sf):
+    it = items(spark, sf).withColumn("pubdate", B.pubdate_of("id"))
+    kept, purged = news.retention_split(it, B.AS_OF, 14)
+    return it, kept, purged, vectors.dedupe_similar(kept, SIM_THRESHOLD, tile_size=128)
+
+
 @register("q_cleanup")
 def q_cleanup(spark, sf):
-    """Retention (14 days) -> near-duplicate removal -> preview."""
-    it = items(spark, sf).withColumn("pubdate", B.pubdate_of("id"))
-    kept, _ = news.retention_split(it, B.AS_OF, 14)
-    gone = vectors.dedupe_similar(kept, SIM_THRESHOLD, tile_size=128)
+    """Retention (14 days) -> near-duplicate removal, every row's outcome."""
+    it, _, purged, gone = _cleanup(spark, sf)
+    return _states(it, purged, gone, it.select("id", (F.size("vec") * 4).cast("long").alias("ivect_bytes")))
+
+
+@register("q_cleanup_preview")
+def q_cleanup_preview(spark, sf):
+    """The ten newest rows that the cleanup keeps."""
+    _, kept, _, gone = _cleanup(spark, sf)
     kept = kept.join(gone.select("id"), "id", "left_anti").withColumn("id", F.col("id").cast("string"))
     return news.preview(kept.select("id", "ticker", "headline", "summary", "pubdate"), limit=10)
 
 
-@register("q_news_batch")
-def q_news_batch(spark, sf):
-    """One whole news batch: preprocess -> insert-or-ignore -> summary
-    queue -> retention + near-duplicate removal -> index build -> preview."""
+def _news_batch(spark, sf):
     from riskfold.operators import corpus as C
     raw = B.raw_news(spark, sf)
     prep = news.preprocess(raw, order="Doc Id").join(
@@ -151,4 +170,20 @@ def q_news_batch(spark, sf):
     gone = vectors.dedupe_similar(items_, 0.9, tile_size=512)
     kept = kept.join(gone.select("id"), "id", "left_anti")
     idx = vectors.build_index(news.index_candidates(kept, B.AS_OF, 30), tv, B.AS_OF)
+    return store, kept, purged, gone, idx
+
+
+@register("q_news_batch")
+def q_news_batch(spark, sf):
+    """One whole news batch: preprocess -> insert-or-ignore -> summary
+    queue -> retention + near-duplicate removal -> index build, every row's outcome."""
+    store, _, purged, gone, idx = _news_batch(spark, sf)
+    sizes = idx.select("id", F.octet_length(vectors.vector_to_bytes(F.col("ivect"))).cast("long").alias("ivect_bytes"))
+    return _states(store, purged, gone, sizes)
+
+
+@register("q_news_batch_preview")
+def q_news_batch_preview(spark, sf):
+    """The ten newest indexed rows of the batch."""
+    _, kept, _, _, idx = _news_batch(spark, sf)
     return news.preview(kept, idx, limit=10)

@@ -119,3 +119,40 @@ def test_greedy_dedupe_with_exact_copies(spark):
     df = spark.createDataFrame(rows, "id long, ticker string, vec array<double>, headline string, summary string")
     got = {r.id for r in vectors.dedupe_similar(df, 0.75, tile_size=10).collect()}
     assert got == _sequential_greedy(list(range(n)), vecs, groups, 0.75)
+
+
+def test_cleanup_and_news_batch_return_every_row(spark):
+    from conftest import SF_SMALL
+    from riskfold.plans import bindings as B, vector_plans as P
+    rows = {str(r.id): r for r in P.items(spark, SF_SMALL).withColumn("pubdate", B.pubdate_of("id")).collect()}
+    out = P.q_cleanup(spark, SF_SMALL).collect()
+    assert sorted(r.id for r in out) == sorted(rows) and len(out) > 10
+    cut = np.datetime64(B.AS_OF[:10]) - 14
+    live = []
+    for r in out:
+        day = rows[r.id].pubdate
+        assert (r.state == "expired") == (day is not None and np.datetime64(day.replace(tzinfo=None)) < cut)
+        assert (r.anchor is not None) == (r.state == "duplicate")
+        assert r.ivect_bytes == (4 * len(rows[r.id].vec) if r.state == "kept" else None)
+        if r.state != "expired":
+            live.append(int(r.id))
+    live.sort()
+    text = lambda i, c: getattr(rows[str(i)], c) or ""
+    QUALITY.clear()
+    QUALITY.update({k: len(text(i, "summary")) + 0.5 * len(text(i, "headline")) for k, i in enumerate(live)})
+    gone = _sequential_greedy(live, [np.array(rows[str(i)].vec) for i in live], [rows[str(i)].ticker for i in live], P.SIM_THRESHOLD)
+    assert {int(r.id) for r in out if r.state == "duplicate"} == gone
+    kept = {r.id for r in out if r.state == "kept"}
+    assert len(kept) > 10
+    preview = P.q_cleanup_preview(spark, SF_SMALL).collect()
+    assert len(preview) == 10 and {r.id for r in preview} <= kept
+
+    batch = P.q_news_batch(spark, SF_SMALL).collect()
+    ids = {r.id for r in news.preprocess(B.raw_news(spark, SF_SMALL)).select("id").collect()}
+    assert sorted(r.id for r in batch) == sorted(ids) and len(ids) > 10
+    assert {r.state for r in batch} >= {"kept", "expired"}
+    assert {r.ivect_bytes for r in batch if r.state == "kept"} <= {None, 4 * vectors.DIM_TOTAL}
+    indexed = {r.id for r in batch if r.ivect_bytes}
+    assert len(indexed) > 10
+    preview = P.q_news_batch_preview(spark, SF_SMALL).collect()
+    assert len(preview) == 10 and {r.id for r in preview} <= indexed
