@@ -18,8 +18,9 @@ words also start in a document with a smaller doc_id goes.
 
 Scale: no pairs are made; a passage in a third of all documents costs a row
 for each document, spread by salt.  Texts are shuffled by doc_id once and that
-exchange is used by both later passes.  Per document lists are bounded by the
-document.  The sample (SAMPLE_DOCS) only decides how rows are spread: results
+exchange is used by both later passes.  Rows that share an id, or have none,
+are told apart by a text hash (k; 0 where the id is a row's own), so the lists
+of anchors and windows are bounded by one text.  The sample (SAMPLE_DOCS) only decides how rows are spread: results
 are the same whatever it holds.
 
 Defined results: words are unchanged and kept ones joined by one space; null
@@ -41,6 +42,7 @@ from pyspark.sql.types import BinaryType
 
 from riskfold.llm.registry import register
 from riskfold.llm.words import SLICE_BYTES, Words, documents, id_or_last, id_or_null, ngrams, slices, texts
+from riskfold.session import broadcast_if_small, cut_lineage
 
 PERIOD, COVER = 7, (0, 1, 3)
 WINDOW = 2 * PERIOD - 1
@@ -97,8 +99,17 @@ def _list_values(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
+def _with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` plus k: a text hash where several rows have the same d, else 0."""
+    repeated = cut_lineage(docs.groupBy("d").count().where("count > 1").select("d"))
+    if repeated.isEmpty():
+        return docs.withColumn("k", F.lit(0).cast("long"))
+    marked = docs.join(broadcast_if_small(repeated.withColumn("again", F.lit(True))), "d", "left")
+    return marked.withColumn("k", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("again")
+
+
 def _shared_anchors(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(d, anchors): hashes of each document's anchors that other documents
+    """(d, k, anchors): hashes of each document's anchors that other documents
     have; frequent ones are known to be shared and never travel."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -110,13 +121,13 @@ def _shared_anchors(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             h, row = h[order], row[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            d = part.column("d").to_numpy(zero_copy_only=False)[row[new]]
-            yield pa.RecordBatch.from_arrays([_signed(h[new]), pa.array(d)], names=["h", "d"])
+            d, k = (part.column(c).to_numpy(zero_copy_only=False)[row[new]] for c in ("d", "k"))
+            yield pa.RecordBatch.from_arrays([_signed(h[new]), pa.array(d), pa.array(k)], names=["h", "d", "k"])
 
     same = Window.partitionBy("h")
-    return (docs.select("d", "text").mapInArrow(run, "h long, d long")
+    return (docs.select("d", "k", "text").mapInArrow(run, "h long, d long, k long")
             .withColumn("shared", F.min("d").over(same) < F.max("d").over(same))
-            .where("shared").groupBy("d").agg(F.collect_list("h").alias("anchors")))
+            .where("shared").groupBy("d", "k").agg(F.collect_set("h").alias("anchors")))
 
 
 def _frequent_anchors(docs: DataFrame, sample_docs: int, frequent: int) -> np.ndarray:
@@ -138,7 +149,7 @@ def _frequent_anchors(docs: DataFrame, sample_docs: int, frequent: int) -> np.nd
 
 
 def _candidate_windows(docs: DataFrame, anchors: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(w, x, d): 96-bit hashes (w and the upper half of x) of the windows
+    """(w, x, d, k): 96-bit hashes (w and the upper half of x) of the windows
     around shared anchors; the lower half of x is the salt, 0 for none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _unpacked(batches):
@@ -160,35 +171,36 @@ def _candidate_windows(docs: DataFrame, anchors: DataFrame, frequent: np.ndarray
             new = np.ones(len(w), dtype=bool)
             new[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1]) | (row[1:] != row[:-1])
             w, x, row, start = w[new], x[new], row[new], start[new]
-            d = part.column("d").to_numpy(zero_copy_only=False)[row]
-            salt = np.where(hot[start + PERIOD] > hot[start], 1 + d % SALTS, 0).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([_signed(w), _signed(x >> U32 << U32 | salt), pa.array(d)], names=["w", "x", "d"])
+            d, k = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("d", "k"))
+            salt = np.where(hot[start + PERIOD] > hot[start], 1 + (d ^ k) % SALTS, 0).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([_signed(w), _signed(x >> U32 << U32 | salt), pa.array(d), pa.array(k)], names=["w", "x", "d", "k"])
 
-    return docs.join(anchors, "d", "left").select("d", "text", "anchors").mapInArrow(run, "w long, x long, d long")
+    return docs.join(anchors, ["d", "k"], "left").select("d", "k", "text", "anchors").mapInArrow(run, "w long, x long, d long, k long")
 
 
 def _repeated_windows(windows: DataFrame) -> DataFrame:
-    """(d, windows): first halves of the hashes of d's windows that a smaller d has too."""
+    """(d, k, windows): first halves of the hashes of d's windows that a smaller d has too."""
     least = windows.withColumn("least", F.min("d").over(Window.partitionBy("w", "x")))
-    later = least.where("d > least").select("w", "d")
+    later = least.where("d > least").select("w", "d", "k")
     # one expression, so it stays above the window and both branches use one exchange
-    firsts = least.where(F.when(F.col("d") == F.col("least"), F.col("x").bitwiseAND(F.lit(255))).otherwise(0) > 0).select("w", F.shiftright("x", 32).alias("y"), "d")
-    again = firsts.withColumn("least", F.min("d").over(Window.partitionBy("w", "y"))).where("d > least").select("w", "d")
-    return later.unionByName(again).groupBy("d").agg(F.collect_list("w").alias("windows"))
+    firsts = least.where(F.when(F.col("d") == F.col("least"), F.col("x").bitwiseAND(F.lit(255))).otherwise(0) > 0).select("w", F.shiftright("x", 32).alias("y"), "d", "k")
+    again = firsts.withColumn("least", F.min("d").over(Window.partitionBy("w", "y"))).where("d > least").select("w", "d", "k")
+    return later.unionByName(again).groupBy("d", "k").agg(F.collect_set("w").alias("windows"))
 
 
 def remove_repeats(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` plus n_words, n_removed, kept_text (columns of these names are replaced)."""
     # other columns travel under numbers, so their names cannot clash with ours
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_text")]
-    columns = ["d", "text", *(f"c{i}" for i in range(len(rest)))]
-    given = docs.select("doc_id", "text", *rest).toDF("doc_id", *columns[1:]).withColumn("d", id_or_last("doc_id")).select(*columns)
-    lean = given.select("d", "text")
+    columns = ["d", "k", "text", *(f"c{i}" for i in range(len(rest)))]
+    given = docs.select("doc_id", "text", *rest).toDF("doc_id", *columns[2:]).withColumn("d", id_or_last("doc_id"))
+    given = _with_row_key(given).select(*columns)
+    lean = given.select("d", "k", "text")
     hot = _frequent_anchors(lean, sample_docs, frequent)
     anchors = _shared_anchors(lean, hot)
     packed = _compact(given)
     repeats = _repeated_windows(_candidate_windows(packed, anchors, hot))
-    joined = packed.join(repeats, "d", "left")
+    joined = packed.join(repeats, ["d", "k"], "left")
     schema = given.select(*columns).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +231,7 @@ def remove_repeats(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, frequent: in
 
     out = schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     found = joined.select(*columns, "windows").mapInArrow(run, out)
-    return found.select(id_or_null("d").alias("doc_id"), "text", *(F.col(c).alias(r) for c, r in zip(columns[2:], rest)),
+    return found.select(id_or_null("d").alias("doc_id"), "text", *(F.col(c).alias(r) for c, r in zip(columns[3:], rest)),
                         "n_words", "n_removed", "kept_text")
 
 

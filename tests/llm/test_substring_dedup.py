@@ -83,3 +83,24 @@ def test_anchor_count_is_three_of_seven():
     at, h = D._anchors(words)
     assert len(at) == len(h) == 3 * 999 + 1  # the last of 6994 starts is 0 modulo 7
     assert len(np.unique(h)) == len(h)
+
+
+def test_lists_of_rows_without_an_id_or_sharing_one_are_bounded_by_one_text(spark):
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(40)]
+    texts = [" ".join([f"a{i}x{j}" for j in range(20)] + shared + [f"b{i}x{j}" for j in range(i % 5)]) for i in range(60)]
+    rows = [(1, texts[0])] + [(None, t) for t in texts[1:30] * 2] + [(7, t) for t in texts[30:] * 2] + [(9, texts[3])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for frequent in (2, 1000):
+        assert run(df, frequent=frequent) == brute(rows)
+    given = df.select(D.id_or_last("doc_id").alias("d"), "text")
+    keyed = D._with_row_key(given)
+    assert {r.k == 0 for r in keyed.where("d in (1, 9)").collect()} == {True}
+    none = np.zeros(0, np.uint64)
+    anchors = D._shared_anchors(keyed, none)
+    found = anchors.collect()
+    longest = max(len(t.split()) for t in texts)
+    assert len(found) == 61 and max(len(r.anchors) for r in found) <= longest
+    windows = D._repeated_windows(D._candidate_windows(D._compact(keyed), anchors, none)).collect()
+    assert windows and max(len(r.windows) for r in windows) <= longest
