@@ -6,7 +6,8 @@ import importlib
 from collections.abc import Callable
 
 _MODULES = ("decontaminate", "substring_dedup", "line_clean", "language_crf", "url_templates",
-            "token_pack", "mixing", "simhash", "pii", "secret_scan")
+            "token_pack", "mixing", "simhash", "pii", "secret_scan", "harmonic_pack",
+            "importance_resample")
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
