@@ -85,7 +85,7 @@ class WordIds:
     which engines may differ about being white space are encoded whole.
     """
 
-    ODD = re.compile("[\\x00-\\x08\\x0e-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
+    ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 
     def __init__(self, path: str):
         import json

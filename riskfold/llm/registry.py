@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 _MODULES = ("decontaminate", "substring_dedup", "line_clean", "language_crf", "url_templates",
-            "token_pack", "mixing", "simhash", "pii", "secret_scan", "harmonic_pack",
+            "token_pack", "mixing", "simhash", "pii", "secret_scan", "periodic_runs", "harmonic_pack",
             "importance_resample")
 
 QUERIES: dict[str, Callable] = {}
