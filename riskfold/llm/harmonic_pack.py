@@ -33,7 +33,9 @@ ignored.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +52,8 @@ CAPACITY = 4096
 FINE = 16
 END_ID = 2
 OWNER = "harmonic_pack"
-CACHE_BYTES = 48 << 20  # of keys and ids, in each of two generations
+assert sys.byteorder == "little"  # ids are written as they lie in memory
+CACHE_BYTES = 96 << 20  # of keys and ids, in each of two generations
 FLUSH_BYTES = 2 << 20
 BATCH_ROWS = 1 << 14
 
@@ -75,17 +78,49 @@ def classes_of(length: int, capacity: int = CAPACITY, fine: int = FINE) -> list[
     return out
 
 
+class _Pieces(dict):
+    """Piece -> ids, in two generations of about CACHE_BYTES; pieces in use move
+    to the young one, the old one is dropped whole."""
+
+    def __init__(self, coder: WordIds):
+        super().__init__()
+        self.coder, self.old, self.held = coder, {}, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.coder.piece(piece)
+        self[piece] = ids
+        self.held += len(piece) + len(ids) + 160
+        return ids
+
+    def age(self) -> None:
+        if self.held > CACHE_BYTES:
+            self.old, self.held = self.copy(), 0
+            self.clear()
+
+
 class WordIds:
-    """The tokenizers library with a cache over blank-delimited words.
+    """The tokenizers library with a cache over pieces of text.
 
     The vocabulary's pre-tokenizer drops white space and none of its tokens
-    crosses it, so a text's ids are those of its words in a row.  That holds
-    where normaliser and pre-tokenizer are of the kinds named in ``local``;
-    other tokenizers, texts with special tokens and texts with characters on
-    which engines may differ about being white space are encoded whole.
+    crosses it, so a text's ids are those of its blank-delimited words in a row.
+    In texts of ``PLAIN`` characters, whose lower case is known, marks behind or
+    before letters and digits are pieces of their own too, as the pre-tokenizer
+    cuts there (an apostrophe may belong to a contraction: marks next to one
+    stay with their word).  That holds where normaliser and pre-tokenizer are of
+    the kinds named in ``local``; other tokenizers, texts with special tokens and
+    texts with characters on which engines may differ about being white space
+    are encoded whole.
     """
 
     ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+    #: bytes of ASCII text and of U+00C0 .. U+017F, and the characters there that are no
+    #: letters or not one character in both cases and in NFC
+    PLAIN = bytes([9, 10, 11, 12, 13, *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5])
+    NOT_PLAIN = tuple("\u00d7\u00f7\u0130\u0131\u0149")
+    MARKS = re.compile(r"(?<![!-/:-@\[-`{-~])[!-&(-/:-@\[-`{-~]++(?!')")
+    LETTERS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff" + "".join(filter(str.islower, map(chr, [*range(0x100, 0x130), *range(0x132, 0x149), *range(0x14A, 0x180)]))) + "]+")
 
     def __init__(self, path: str):
         import json
@@ -100,14 +135,14 @@ class WordIds:
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         steps = [n["type"] for n in norm.get("normalizers", [norm] if norm else [])]
         cuts = pre.get("pretokenizers", [])
-        self.local = (set(steps) <= {"NFC", "Replace", "Lowercase"} and "Replace" in steps
-                      and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        self.local = (steps == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
                       and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
-                      and r"[^\s" in cuts[0]["pattern"].get("Regex", "")
+                      and cuts[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
                       and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = 0
+        if self.local:
+            self.model, cut = self.tokenizer.model.tokenize, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.bytes_as_text = str.maketrans({c: cut(c)[0][0] for c in map(chr, range(0x180)) if self.LETTERS.fullmatch(c)})
+        self.pieces = _Pieces(self)
 
     @classmethod
     def of(cls, path: str) -> WordIds:
@@ -118,34 +153,33 @@ class WordIds:
         return found[path]
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Ids of all ``words`` into the young generation."""
-        fresh = []
-        for w in words:
-            ids = self.old.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                self.young[w] = ids
-                self.held += len(w) + len(ids) + 160
-        for w, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            self.young[w] = ids = np.array(e.ids, dtype="<u4").tobytes()
-            self.held += len(w) + len(ids) + 160
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        if self.LETTERS.fullmatch(piece):  # one pre-token: straight to the model
+            text = piece if piece.isascii() else piece.translate(self.bytes_as_text)
+            return array("I", [t.id for t in self.model(text)]).tobytes()
+        if self.is_plain(piece):
+            parts = self.MARKS.sub(r" \g<0> ", piece.lower()).split()
+            if len(parts) > 1:
+                return b"".join(map(self.pieces.__getitem__, parts))
+        return self.whole(piece)
+
+    def is_plain(self, text: str) -> bool:
+        return not text.encode().translate(None, self.PLAIN) and (text.isascii() or not any(c in text for c in self.NOT_PLAIN))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
-        if not self.local or self.ODD.search(text) or any(s in text for s in self.special):
+        if not self.local or any(s in text for s in self.special):
             return self.whole(text)
-        if self.held > CACHE_BYTES:
-            self.young, self.old, self.held = {}, self.young, 0
-        words = text.split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self._learn(set(words).difference(self.young))
-            return b"".join(map(self.young.__getitem__, words))
+        if self.is_plain(text):
+            pieces = text.lower().split()
+        elif not self.ODD.search(text):
+            pieces = text.split()
+        else:
+            return self.whole(text)
+        self.pieces.age()
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
 
 def write_pieces(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID, doc_id: str = "doc_id",

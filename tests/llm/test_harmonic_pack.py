@@ -59,8 +59,8 @@ def test_classes(length):
 def test_words_encode_like_whole_texts():
     rng = random.Random(3)
     parts = ["word", "don't", "I'll", "x'S", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", " ", "​", "é", "é", "́", "Σ", "ΣΑΣ",
-             "İ", "12", "½", "漢字", "ไทย", "😀", "<|endoftext|>", "<|", "...", "--", "﻿", "­", "ﬁ", "한", "ᄒ", "ᅡ", "A"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(4000)] + ["", "a" * 5000]
+             "İ", "12", "½", "漢字", "ไทย", "😀", "<|endoftext|>", "<|", "...", "--", "﻿", "­", "ﬁ", "한", "ᄒ", "ᅡ", "A", ".", ",", "'", "$", "&&", "É", "ß", "ÑÍ", "ſ", "ı", "ŉ", "ÿŸ", "×", "it's", "a1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(12000)] + ["", "a" * 5000]
     coder = H.WordIds(H.default_tokenizer())
     assert coder.local
     for t, ids in zip(texts, tokens_of(texts)):
