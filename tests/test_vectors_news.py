@@ -4,7 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from riskfold.operators import news, vectors
+from riskfold.operators import news, vector_index, vectors
 
 
 def _sequential_greedy(ids, vecs, groups, threshold):
@@ -56,7 +56,7 @@ def test_similar_pairs_tiles_equal_brute_force(spark):
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
     rows = [(i, "t", [float(x) for x in v[i]]) for i in range(90)]
     df = spark.createDataFrame(rows, "id long, ticker string, vec array<double>")
-    got = {(r.a, r.b) for r in vectors.similar_pairs(df, 0.5, tile_size=7).collect()}
+    got = {(r.a, r.b) for r in vector_index.similar_pairs(df, 0.5, tile_size=7).collect()}
     want = {(i, j) for i in range(90) for j in range(i + 1, 90) if v[i] @ v[j] >= 0.5}
     assert got == want
 
@@ -71,7 +71,7 @@ def test_topk_equals_full_sort(spark):
     qdf = spark.createDataFrame([("a", [float(x) for x in qn[0]], None), ("b", [float(x) for x in qn[1]], "t1"),
                                  ("c", [float(x) for x in qn[2]], None)], "qid string, qvec array<double>, qticker string")
     got = {}
-    for r in vectors.topk_search(idx, qdf, k=7).collect():
+    for r in vector_index.scan(idx, qdf, k=7).collect():
         got.setdefault(r.qid, []).append((r.rank, r.id))
     vn = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
     for name, j, tick in (("a", 0, None), ("b", 1, "t1"), ("c", 2, None)):
