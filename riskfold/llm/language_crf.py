@@ -306,10 +306,16 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
                       F.col("lang_pred").alias(names[0]), F.col("score").alias(names[1]))
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is told with a share of ``least`` or more."""
-    told = predict(docs, fit(docs), ("__lang_pred", "__score"))
-    return told.where((F.col("__lang_pred") != UND) & (F.col("__score") >= least)).select(*docs.columns)
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told: those with a word that has a
+    letter.  Code-switched documents stay, however even their languages' shares
+    are.  Without a labelled document nothing can be learned and every document
+    stays."""
+    model = fit(docs)
+    if model is None:
+        return docs
+    told = predict(docs, model, ("__lang_pred", "__score"))
+    return told.where(F.col("__lang_pred") != UND).select(*docs.columns)
 
 
 @register("op4_language_crf")

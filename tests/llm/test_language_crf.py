@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskfold.llm import language_crf as L
 from riskfold.llm.words import documents
@@ -103,6 +104,15 @@ def test_stage_keeps_clean_rows_as_they_are(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_stage_without_labels_and_with_code_switched_texts(spark):
+    rows = [(i, "the other thing and that with " * 5, "en") for i in range(30)] + [(100 + i, "der und nicht recht schlicht ist " * 5, "de") for i in range(30)]
+    rows += [(200, "the other thing and der nicht recht schlicht that with und ist", None), (201, "12 34", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in df.collect()} - {r.doc_id for r in L.keep_known(df).collect()} == {201, None}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(L.keep_known(unlabelled).collect(), key=repr) == sorted(unlabelled.collect(), key=repr)
+
+
 @pytest.mark.parametrize("passages", [[("only one language here", "en")], [("a", "x"), ("", "y")]])
 def test_tiny_training_sets(passages):
     assert L.train(passages).langs == sorted({g for _, g in passages})

@@ -25,7 +25,7 @@ def test_each_stage_against_brute_force(spark):
     known = outs["language"]
     told = language_crf.predict(documents(spark, SF_SMALL), language_crf.fit(documents(spark, SF_SMALL)))
     assert sorted(known) == sorted(r for r in given if any(map(str.isalpha, r.text or "")) and r in known)
-    assert len(known) == told.where("lang_pred != 'und' and score >= 0.5").count()
+    assert len(known) == told.where("lang_pred != 'und'").count()
 
     fps = [slow_fingerprint(r.text) for r in known]
     group = roots(len(known), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
@@ -66,3 +66,30 @@ def test_empty_documents(spark):
         assert stage(spark, docs, SF_SMALL).count() == 0
     assert decontaminate.remove_contaminated(docs, spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")).count() == 0
     assert C.STAGES[0][1](spark, docs, SF_SMALL).count() == 0
+
+
+def test_stages_with_null_ids_and_clashing_columns(spark):
+    """Null and shared ids, null and odd texts, extra columns whose names the stages use themselves."""
+    given = documents(spark, SF_SMALL).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = (given.selectExpr("if(doc_id % 3 = 0, null, if(doc_id % 3 = 1, 7, doc_id)) as doc_id", "text", "lang", "source", "n_chars",
+                             "doc_id as id", "'x' as row", "1 as copies", "2 as size", "'y' as __key")
+            .unionByName(spark.sql("""select cast(null as bigint) doc_id, text, cast(null as string) lang, cast(null as string) source, cast(0 as bigint) n_chars,
+                                      cast(null as bigint) id, 'x' row, 1 copies, 2 size, 'y' __key from values (cast(null as string)), (''), (' 1 ') as t(text)"""),
+                         allowMissingColumns=True))
+    columns, count = docs.columns, docs.count()
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, SF_SMALL)
+        folder = f"{tempfile.mkdtemp()}/{uuid.uuid4().hex}"
+        out.write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if name != "tokens":
+            assert docs.columns == columns
+        left, count = count, docs.count()
+        assert 0 < count <= 2 * left
+        if name == "near_copies":  # rows without an id of their own are told apart by their texts
+            assert docs.where("doc_id is null").count() > 20 and docs.where("doc_id = 7").count() > 20
+
+
+def test_unlabelled_corpus_reaches_the_end(spark):
+    docs = documents(spark, SF_SMALL).selectExpr("doc_id", "text", "nullif(lang, lang) as lang", "source", "n_chars")
+    assert C.STAGES[0][1](spark, docs, SF_SMALL).count() == docs.count()
