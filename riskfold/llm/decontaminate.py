@@ -9,7 +9,9 @@ lower-cased text, so case, marks and line breaks don't hide a copy.
    own grams, so an item that leaked into a third of all documents keeps seeds.
 3. Wherever seeds of an item meet in a document, the passage around them is
    aligned with the whole item: +2 for equal words, -1 for a changed, added
-   or missing one (Smith-Waterman).  Score = best / (2 * words of the item).
+   or missing one (Smith-Waterman).  Score = best / (2 * words of the item);
+   a copy has a score of 0.4, or an alignment of LONG_SCORE, so a long excerpt
+   of a long item is found too.
    The passages of a slice are aligned side by side, a row of the matrix at a
    time.  Hits are (document, item, score, first and last word).
 
@@ -32,14 +34,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from riskfold.llm.registry import register
 from riskfold.llm.words import U64, Words, documents, ngrams, slices, texts
-from riskfold.session import cut_lineage
+from riskfold.session import broadcast_if_small
 
 GRAM = 3
 LEAST_SCORE = 0.4
 LEAST_WORDS = 6
+LONG_SCORE = 80  # an alignment this long (40 equal words, more where some differ) counts however long the item is
+KEY_BYTES = 32 << 20
 COMMON_SHARE, COMMON_FLOOR = 1e-4, 10  # grams in fewer documents are seeds whatever their rank
 BLOCK_CHARS = 16_000_000
 CELLS = 1 << 21
@@ -205,7 +210,7 @@ def _find_block(lean, items, h, item, offset, count, least_score, schema) -> Dat
     seed = choose_seeds(item, frequency[np.searchsorted(keys, h)], count)
     order = np.argsort(h[seed], kind="stable")
     seed_hash, seed_item, seed_offset = h[seed][order], item[seed][order], offset[seed][order]
-    id_type = pa.int64() if schema["item_id"].dataType.typeName() in ("long", "bigint") else None
+    id_type = to_arrow_type(schema["item_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, begin = np.unique(seed_hash, return_index=True)
@@ -223,7 +228,7 @@ def _find_block(lean, items, h, item, offset, count, least_score, schema) -> Dat
             best, end = align([items.hashes[items.first[i]:items.first[i + 1]] for i in it.tolist()],
                               [words.hashes[x:y] for x, y in zip(a.tolist(), b.tolist())])
             n = lengths[it]
-            ok = np.flatnonzero((best >= least_score * 2 * n) & (best >= 2 * np.minimum(LEAST_WORDS, n)))
+            ok = np.flatnonzero((best >= np.minimum(least_score * 2 * n, LONG_SCORE)) & (best >= 2 * np.minimum(LEAST_WORDS, n)))
             # best region of a (document, item)
             ok = ok[np.lexsort((a[ok], -best[ok], it[ok], doc[ok]))]
             first = np.ones(len(ok), dtype=bool)
@@ -234,7 +239,7 @@ def _find_block(lean, items, h, item, offset, count, least_score, schema) -> Dat
                                  [words.hashes[x:x + e][::-1] for x, e in zip(a[ok].tolist(), end[ok].tolist())])
             last = a[ok] + end[ok] - 1 - words.first[doc[ok]]
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id").take(pa.array(doc[ok], pa.int64())), pa.array([items.ids[i] for i in it[ok].tolist()], id_type or pa.string()),
+                part.column("doc_id").take(pa.array(doc[ok], pa.int64())), pa.array([items.ids[i] for i in it[ok].tolist()], id_type),
                 pa.array(best[ok] / (2 * n[ok])), pa.array(last - length + 1, pa.int64()), pa.array(last, pa.int64())],
                 names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
@@ -246,7 +251,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     apart by a hash of doc_id and text, so a shared or null doc_id does no harm)."""
     marked = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     hits = find_copies(marked.select(F.col("__key").alias("doc_id"), "text"), benchmark)
-    dirty = cut_lineage(hits.select(F.col("doc_id").alias("__key")).distinct())
+    # a key a contaminated row: broadcast while they are few, so the texts stay where they lie
+    dirty = broadcast_if_small(hits.select(F.col("doc_id").alias("__key")).distinct(), KEY_BYTES)
     return marked.join(dirty, "__key", "left_anti").select(*docs.columns)
 
 

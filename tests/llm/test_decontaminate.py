@@ -1,3 +1,4 @@
+import pytest
 import random
 import re
 
@@ -106,3 +107,25 @@ def test_query_finds_every_verbatim_item(spark):
     got = {(r.doc_id, r.item_id): r.score for r in D.op1_decontaminate(spark, SF_ORACLE).collect()}
     assert verbatim and verbatim <= set(got)
     assert all(got[v] == 1.0 for v in verbatim)
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string", "decimal(10,0)", "binary", "date"])
+def test_item_ids_of_any_type(spark, kind):
+    text = " ".join(f"rare{i}" for i in range(20))
+    cast = {"binary": "cast('a' as binary)", "date": "date'2024-01-01'"}.get(kind, f"cast(7 as {kind})")
+    bench = spark.sql(f"select {cast} as item_id, '{text}' as text")
+    docs = spark.createDataFrame([(1, "before " + text + " after"), (2, "clean words only")], "doc_id int, text string")
+    (hit,) = D.find_copies(docs, bench).collect()
+    assert (hit.doc_id, hit.item_id, hit.score) == (1, bench.first().item_id, 1.0)
+
+
+def test_long_excerpt_of_a_long_item(spark):
+    rng = random.Random(4)
+    item = [f"v{rng.randrange(4000)}" for _ in range(200)]
+    filler = [f"v{rng.randrange(4000)}" for _ in range(5000)]
+    edited = item[60:130]
+    edited[20:22] = ["other", "words", "here"]
+    docs = [(1, " ".join(filler[:300] + item[60:130] + filler[300:])), (2, " ".join(filler[:500] + edited + filler[500:900])),
+            (3, " ".join(filler)), (4, " ".join(filler[:100] + item[100:125] + filler[100:200]))]
+    found = D.find_copies(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("i", " ".join(item))], "item_id string, text string"))
+    assert {r.doc_id: r.first_word for r in found.collect()} == {1: 300, 2: 500}
