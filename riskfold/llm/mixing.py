@@ -15,8 +15,9 @@ The outcome is one cut-off key per (source, epoch); documents are compared with
 it where they lie, their texts are never shuffled.
 
 Defined results: a null text has size 0; a null source is a source, last in
-order; documents of size 0 take 0; rows equal in (doc_id, source) are shuffled
-together and taken or left together; an empty table gives no rows; columns
+order; documents of size 0 take 0; rows that share a doc_id, or have none, are
+shuffled each by its text; rows equal in doc_id, source and text are taken or left
+together; an empty table gives no rows; columns
 other than doc_id, source and text are carried along untouched.
 """
 
@@ -35,11 +36,13 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 TIME_RANGES = 65536
+TEXT_HASH = "__text_hash"  # tells rows apart that share an id or have none
 
 
 def shuffle_key(epoch: Column | int) -> Column:
     e = F.lit(epoch) if isinstance(epoch, int) else epoch
-    return F.substring(F.md5(F.concat_ws(":", F.lit("mix"), e.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)
+    return F.substring(F.md5(F.concat_ws(":", F.lit("mix"), e.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+                                         F.col(TEXT_HASH))), 1, 16)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
@@ -72,15 +75,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         size: Column | None = None) -> DataFrame:
     """``docs`` plus size, source_size, target and copies (0 .. epochs);
     columns of these names are replaced."""
-    sized = docs.drop("source_size", "target", "copies").withColumn("size", word_count("text") if size is None else size)
+    sized = (docs.drop("source_size", "target", "copies").withColumn("size", word_count("text") if size is None else size)
+             .withColumn(TEXT_HASH, F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     # sizes and keys are needed several times: written once, without the texts
-    rows = cut_lineage(sized.select("doc_id", "source", "size"))
+    rows = cut_lineage(sized.select("doc_id", "source", "size", TEXT_HASH))
     targets = cut_lineage(source_targets(rows, weights, share, epochs))
     same = lambda a, b, *more: [a["source"].eqNullSafe(b["source"]), *[a[c] == b[c] for c in more]]
 
-    copies = (rows.where("size > 0").select("source", "size", "doc_id", F.explode(F.array(*[F.lit(e) for e in range(1, epochs + 1)])).alias("epoch"))
+    copies = (rows.where("size > 0").select("source", "size", "doc_id", TEXT_HASH, F.explode(F.array(*[F.lit(e) for e in range(1, epochs + 1)])).alias("epoch"))
               .withColumn("key", shuffle_key(F.col("epoch")))
-              .withColumn("bucket", F.substring("key", 1, 3)).drop("doc_id"))
+              .withColumn("bucket", F.substring("key", 1, 3)).drop("doc_id", TEXT_HASH))
     sums = copies.groupBy("source", "epoch", "bucket").agg(F.sum("size").alias("size"))
     base = sums.select("source", "epoch", "bucket", (F.coalesce(F.sum("size").over(
         Window.partitionBy("source").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("base"))
@@ -114,7 +118,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     mixed = sized.join(F.broadcast(final) if _bounded(final) else final, F.col("source").eqNullSafe(F.col("t_source")), "left")
     count = sum((F.when(shuffle_key(e) <= F.col(f"cut{e}"), 1).otherwise(0) for e in range(1, epochs + 1)), F.lit(0))
     return (mixed.withColumn("copies", F.when(F.col("size") > 0, count).otherwise(0))
-            .drop("t_source", *[f"cut{e}" for e in range(1, epochs + 1)]))
+            .drop("t_source", TEXT_HASH, *[f"cut{e}" for e in range(1, epochs + 1)]))
 
 
 def _bounded(small: DataFrame, rows: int = 10_000) -> bool:
@@ -125,7 +129,8 @@ def _bounded(small: DataFrame, rows: int = 10_000) -> bool:
 
 _ORACLE = """
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(text, '')) AS hash FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
@@ -138,16 +143,17 @@ r AS (
 s AS (SELECT *, (SELECT common FROM r WHERE common < level ORDER BY level, source ASC NULLS LAST LIMIT 1) AS lam FROM r),
 t AS (SELECT source, source_size, CASE WHEN lam IS NULL OR cap <= lam * weight THEN cap ELSE lam * weight END AS target FROM s),
 c AS (
-  SELECT d.doc_id, d.source, d.size, e.epoch, substr(md5('mix:' || e.epoch || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 16) AS key
+  SELECT d.doc_id, d.source, d.size, d.hash, e.epoch,
+    substr(md5('mix:' || e.epoch || ':' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.hash), 1, 16) AS key
   FROM d, (VALUES (1), (2)) e(epoch) WHERE d.size > 0),
 q AS (
   SELECT c.*, sum(c.size) OVER (PARTITION BY c.source ORDER BY c.epoch, c.key) / t.target AS finish
   FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source),
 g AS (SELECT *, sum(size) OVER (ORDER BY finish, source ASC NULLS LAST, epoch, key) AS total FROM q),
-k AS (SELECT doc_id, source, sum(size) AS taken FROM g WHERE total <= (SELECT sum(target) FROM t) GROUP BY doc_id, source)
+k AS (SELECT doc_id, source, hash, sum(size) AS taken FROM g WHERE total <= (SELECT sum(target) FROM t) GROUP BY doc_id, source, hash)
 SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.source IS NOT DISTINCT FROM k.source
+LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.source IS NOT DISTINCT FROM k.source AND d.hash = k.hash
 """
 
 

@@ -30,11 +30,12 @@ def brute(rows):
         per[s] = per.get(s, 0) + n
     target = fill(per)
     queue = {}
-    for (i, s, _), n in zip(rows, size):
+    for (i, s, t), n in zip(rows, size):
         for e in (1, 2):
             if n:
-                k = hashlib.md5(f"mix:{e}:{'' if i is None else i}".encode()).hexdigest()[:16]
-                queue.setdefault(s, []).append((e, k, i, n))
+                h = hashlib.md5((t or "").encode()).hexdigest()
+                k = hashlib.md5(f"mix:{e}:{'' if i is None else i}:{h}".encode()).hexdigest()[:16]
+                queue.setdefault(s, []).append((e, k, (i, h), n))
     copies = []
     for s, q in queue.items():
         q.sort(key=lambda x: x[:2])
@@ -46,8 +47,8 @@ def brute(rows):
     for c in copies:
         if sum(x[5] for x in copies if x[:4] <= c[:4]) <= sum(target.values()):
             taken[c[4], c[1]] = taken.get((c[4], c[1]), 0) + 1
-    return sorted(((i, n, per[s], round(target[s], 6), n * min(2, taken.get((i, (s is None, s or "")), 0)))
-                   for (i, s, _), n in zip(rows, size)), key=repr)
+    return sorted(((i, n, per[s], round(target[s], 6), n * min(2, taken.get(((i, hashlib.md5((t or "").encode()).hexdigest()), (s is None, s or "")), 0)))
+                   for (i, s, t), n in zip(rows, size)), key=repr)
 
 
 def run(spark, rows):
@@ -82,3 +83,10 @@ def test_shares_come_near_targets_and_reruns_agree(spark):
     per = a.groupBy("target", "source_size").agg(F.sum("taken").alias("t"), F.max("size").alias("m")).collect()
     for r in per:
         assert abs(r.t - r.target) <= 2 * r.m, r
+
+
+def test_a_third_without_ids_comes_near_its_targets(spark):
+    df = spark.range(6000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "concat('s', id % 4) as source",
+                                      "concat('t', id, repeat(' w', cast(5 + id % 40 as int))) as text")
+    per = M.mix(df).groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("t")).collect()
+    assert len(per) == 4 and all(abs(r.t / r.target - 1) < 0.05 for r in per)
