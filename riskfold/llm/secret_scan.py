@@ -43,12 +43,13 @@ class Rule:
     least: int = 0      # characters of ``group`` that a match needs
     group: int = 0
     flags: int = re.ASCII
+    span: int = 0       # group whose place is reported
 
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern, self.flags)
 
     def spans(self, regex: re.Pattern, text: str) -> list[tuple[int, int]]:
-        return [m.span() for m in regex.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
+        return [m.span(self.span) for m in regex.finditer(text) if m.end(self.group) - m.start(self.group) >= self.least]
 
 
 # fixed values: the base rules
@@ -61,7 +62,9 @@ MORE_RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
+    # tried once per run of token characters, and only where two more runs follow: linear in the text
+    Rule("signed_token", r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5})[A-Za-z0-9_-]*?"
+                         r"(eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,})", span=1),
     Rule("payment_key", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("map_key", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -18,10 +19,13 @@ def holds(query, text):
     return (all if query[0] == "and" else any)(holds(q, t) for q in query[1])
 
 
+PLAIN = {"signed_token": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"}
+
+
 def brute(text, rules=S.RULES):
     out = []
     for k, r in enumerate(rules):
-        for m in re.finditer(r.pattern, text or "", r.flags):
+        for m in re.finditer(PLAIN.get(r.kind, r.pattern), text or "", r.flags):
             if len(m.group(r.group)) >= r.least if r.group == 0 else m.end() - m.start(r.group) >= r.least:
                 out.append((m.start(), k, m.end(), r.kind))
     return [(kind, a, b) for a, _, b, kind in sorted(out)]
@@ -87,3 +91,20 @@ def test_query_equals_brute_force(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[0] == k for s in b) for k in ("assign", "access", "hex")]
         total += len(b)
     assert total > 0
+
+
+def test_signed_tokens_like_the_plain_regex():
+    rule = next(r for r in S.RULES if r.kind == "signed_token")
+    rng = random.Random(8)
+    for _ in range(20000):
+        t = "".join(rng.choice(["eyJ", "eyJ", ".", ".", "a" * 10, "b", "_-x9", "c" * 5, " ", "é"]) for _ in range(rng.randrange(14)))
+        assert rule.spans(rule.compiled(), t) == [m.span() for m in re.finditer(PLAIN["signed_token"], t, re.ASCII)], t
+    assert S.trigram_query(rule.pattern, rule.flags) == "eyj"
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJ." * 260_000, "eyJ" + "a" * 10 + "." + "b" * 1_000_000, "eyJabcdefghijk." * 70_000,
+                                  "token " * 170_000, "AKIA" * 250_000, "-----BEGIN A " * 80_000, "a.b-c+" * 170_000, "http://a:" * 110_000])
+def test_a_megabyte_of_near_matches_takes_a_second(text):
+    scan, start = S.scanner(S.RULES), time.time()
+    scan([text])
+    assert time.time() - start < 5
