@@ -16,6 +16,9 @@ from riskfold.session import cut_lineage
 from riskfold.sources.versioned import VersionedStore
 
 INDEX_TABLE = T.StructType([T.StructField("id", T.StringType()), T.StructField("ivect", T.BinaryType())])
+# a rejected row as it landed, its date unread
+DEAD_TABLE = T.StructType([*[T.StructField(c, T.StringType()) for c in schemas.ARTICLE_SCHEMA.names if c != "id"],
+                           T.StructField("src_order", T.LongType())])
 REJECT_SCHEMA = T.StructType([*schemas.BLOCK_SCHEMA.fields, T.StructField("src_order", T.LongType())])
 
 
@@ -23,6 +26,7 @@ def create_tables(store: VersionedStore, buckets: int = 0) -> None:
     """The article and index tables by their key ``id``."""
     store.create("articles", schemas.ARTICLE_SCHEMA, ["id"], buckets)
     store.create("index", INDEX_TABLE, ["id"], buckets)
+    store.create("dead", DEAD_TABLE, ["src_order"])
 
 
 def delete_ids(store: VersionedStore, ids: DataFrame) -> None:
@@ -54,3 +58,61 @@ def refresh_index(store: VersionedStore, encode: Callable[[DataFrame], DataFrame
     fresh = vectors.build_index(encode(news.index_candidates(store.read("articles"), as_of, days)), as_of)
     fresh = fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect"))
     store.commit({"index": news.upsert_overwrite(store.read("index"), fresh)})
+
+
+def news_cycle(store: VersionedStore, raw: DataFrame, batch: str, as_of: str, encode: Callable[[DataFrame], DataFrame],
+               summarise: Callable[[DataFrame], DataFrame], order: str, days_keep: int = 14, threshold: float = 0.9,
+               index_days: int = 30, tile_size: int = 2048) -> None:
+    """G1 + R16: one cycle over landed news, committed as one unit.
+
+    preprocess (R11) -> insert-or-ignore (K3) -> summaries of new articles that
+    have none (R10: ``summarise`` gives (id, summary) of them) -> retention and
+    near-duplicate removal (R12) -> index upsert (V9) and consistent delete
+    (K6).  Landed rows without ticker or headline become dead letters.
+    ``encode`` gives (id, ticker, pubdate, vec) of articles."""
+    if store.committed(batch, "cycle"):
+        return
+    prep = news.preprocess(raw, order=order)
+    stored = store.read("articles")
+    new = cut_lineage(news.keep_first(prep, "id", "src_order").drop("src_order").join(stored.select("id"), "id", "left_anti"))
+    blank = new.where(F.trim(F.coalesce("summary", F.lit(""))) == "")
+    new = news.update_column(new, summarise(blank), "summary")
+    live, _ = news.retention_split(stored.unionByName(new.select(stored.columns)), as_of, days_keep)
+    vectors_of = cut_lineage(encode(live))
+    live = cut_lineage(live)
+    rows = live.join(vectors_of.select("id", "vec"), "id").withColumn("ticker", F.coalesce("ticker", F.lit("UNK")))
+    gone = cut_lineage(vectors.dedupe_similar(rows, threshold, tile_size=tile_size))
+    kept = live.join(gone.select("id"), "id", "left_anti")
+    fresh = vectors.build_index(vectors_of.join(news.index_candidates(kept, as_of, index_days).select("id"), "id", "left_semi"), as_of)
+    fresh = fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect"))
+    index = news.upsert_overwrite(store.read("index").join(kept.select("id"), "id", "left_semi"), fresh)
+    named = schemas.apply_news_aliases(schemas.snake_columns(raw))
+    dead = named.where(F.col("ticker").isNull() | F.col("headline").isNull())
+    dead = schemas.conform(dead.withColumn("src_order", F.col(schemas.snake_name(order)).cast("long")), DEAD_TABLE)
+    store.commit({"articles": kept, "index": index, "dead": store.read("dead").unionByName(dead)}, batch=batch, stream="cycle")
+
+
+def create_link_tables(store: VersionedStore) -> None:
+    """The link table and the block list by (ticker, link)."""
+    store.create("links", schemas.LINK_SCHEMA, ["ticker", "link"])
+    store.create("blocked", REJECT_SCHEMA, ["ticker", "link"])
+
+
+def refresh_links(store: VersionedStore, candidates: DataFrame, batch: str) -> None:
+    """One refresh of the link table over all tickers of ``candidates``
+    (ticker, link, headline, article, byline, publisher, src_order).
+
+    Stored rows without headline and article go (P3); links that are neither
+    stored nor blocked (J6) pass the content filter (P15, P16); each refreshed
+    ticker's rows are replaced by what is left of them and its new ones (K2),
+    rejected links are appended to the block list (K11).  Both tables change in
+    one commit, once per ``batch``."""
+    if store.committed(batch, "links"):
+        return
+    links = store.read("links")
+    cleaned = news.drop_all_null(links, ["headline", "article"])
+    fresh = news.new_links(candidates, cleaned, store.read("blocked"), order="src_order")
+    kept, rejected = (cut_lineage(part) for part in news.content_filter(fresh, body="article", title="headline"))
+    refreshed = cleaned.unionByName(schemas.conform(kept, schemas.LINK_SCHEMA))
+    blocked = news.append_distinct(store.read("blocked"), rejected.select("ticker", "link", "src_order"))
+    store.commit({"links": refreshed, "blocked": blocked}, batch=batch, stream="links")

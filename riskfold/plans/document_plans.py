@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskfold.functions import text as X
-from riskfold.operators import html, news
+from riskfold.operators import html, maintenance, news
 from riskfold.plans import bindings as B
 from riskfold.plans import news_plans as NP
 from riskfold.plans.catalog import register
+from riskfold.session import checkpoint_dir
 from riskfold.sources.tables import read_table
+from riskfold.sources.versioned import VersionedStore
 
 _ENT = ("replace(replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'),"
         " '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')")
@@ -175,20 +179,23 @@ flt AS (SELECT *, (trim(split_part(article, chr(10), 1)) = 'PREMIUM' OR coalesce
 SELECT ticker, link, length(article) AS article_chars, 'stored' AS origin FROM cleaned
 UNION ALL
 SELECT ticker, link, length(article), 'new' FROM flt
-WHERE NOT bad AND coalesce(length(trim(headline)), 0) > 0 AND coalesce(length(trim(article)), 0) > 0""")
+WHERE NOT bad AND coalesce(length(trim(headline)), 0) > 0 AND coalesce(length(trim(article)), 0) > 0
+UNION ALL
+SELECT ticker, link, NULL, 'blocked' FROM (SELECT ticker, link FROM blocked UNION SELECT ticker, link FROM flt WHERE bad)""")
 def q_link_refresh(spark, sf):
-    """R15 (P3 -> J6 -> extract / filter -> K2 / K11): one link-table refresh
-    over every host at once."""
+    """R15 (P3 -> J6 -> extract / filter -> K2 / K11): one refresh over every
+    host at once; the link table and the block list after it."""
     pages = read_table(spark, sf, "pages")
-    ex = html.extract_page(pages).select("page_id", "title", "body", "byline", "publisher")
-    stored = NP.link_table(spark, sf).join(ex, F.col("src_order") == F.col("page_id"), "left").select(
-        "ticker", "link", F.col("title").alias("headline"), F.col("body").alias("article"))
-    stored = news.drop_all_null(stored, ["headline", "article"])
-    cand = NP.link_candidates(spark, sf).join(ex, F.col("src_order") == F.col("page_id")).select(
-        "ticker", "link", F.col("title").alias("headline"), F.col("body").alias("article"), "byline", "publisher")
-    fresh = news.new_links(cand, stored, NP.block_list(spark, sf))
-    kept, _rejected = news.content_filter(fresh, body="article", title="headline")
-    out = stored.select("ticker", "link", F.length("article").cast("bigint").alias("article_chars"),
-                        F.lit("stored").alias("origin"))
-    return out.unionByName(kept.select("ticker", "link", F.length("article").cast("bigint").alias("article_chars"),
-                                       F.lit("new").alias("origin")))
+    ex = html.extract_page(pages).select("page_id", F.col("title").alias("headline"), F.col("body").alias("article"), "byline", "publisher")
+    store = VersionedStore(spark, f"{checkpoint_dir(spark)}/links-{uuid.uuid4().hex}")
+    maintenance.create_link_tables(store)
+    before = NP.link_table(spark, sf).join(ex, F.col("src_order") == F.col("page_id"), "left")
+    first = store.commit({"links": before, "blocked": NP.block_list(spark, sf).withColumn("src_order", F.lit(-1))})
+    found = NP.link_candidates(spark, sf).join(ex, F.col("src_order") == F.col("page_id"))
+    for _ in range(2):  # a batch that runs again changes nothing
+        maintenance.refresh_links(store, found, batch="1")
+    was = store.read("links", first).select("ticker", "link").withColumn("origin", F.lit("stored"))
+    after = store.read("links").join(was, ["ticker", "link"], "left")
+    size = F.length("article").cast("bigint").alias("article_chars")
+    return (after.select("ticker", "link", size, F.coalesce("origin", F.lit("new")).alias("origin"))
+            .unionByName(store.read("blocked").select("ticker", "link", F.lit(None).cast("bigint").alias("article_chars"), F.lit("blocked").alias("origin"))))

@@ -228,11 +228,14 @@ def q_index_tickers(spark, sf):
 @register("q_refresh_pipeline", sql=f"""
 WITH {_AGG}
 SELECT "Ticker", "Sector", round("Revenue (ttm)", 6) AS "Revenue (ttm)", 'current' AS part FROM fund WHERE NOT neg
+UNION ALL SELECT translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS t, 'stored', round(s_acctbal, 6), 'current' FROM supplier
+WHERE translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') NOT IN (SELECT "Ticker" FROM fund WHERE NOT neg)
 UNION ALL SELECT "Ticker", NULL, NULL, 'failures' FROM fund WHERE neg""")
 def q_refresh_pipeline(spark, sf):
     """R13 (S3 S4 S17 P11 U4 K1 K8 K9 K10): ticker list from CSV -> assemble
-    -> conform -> back-fill with the stored CSV (absent: empty) -> sort ->
-    backup + overwrite -> dead letters; returns the written tables."""
+    -> conform -> back-fill with the stored CSV of an earlier run (lower-case
+    keys; the rows of tickers that fail now stay) -> new version of the table
+    -> dead letters; returns the written tables."""
     import os
     import uuid
     from riskfold.session import checkpoint_dir
@@ -243,11 +246,13 @@ def q_refresh_pipeline(spark, sf):
     tickers = files.tickers_from_csv(spark, f"{root}/tickers")
     wide = FU.wide_records(recs.join(tickers.select("ticker"), "ticker", "left_semi"))
     good, bad = FU.split_failures(FU.assemble(wide))
-    stored = files.load_fundamentals(spark, f"{root}/fundamentals.csv")     # absent -> empty typed frame
-    merged = FU.backfill(good, schemas.conform(stored, schemas.FUNDAMENTALS_SCHEMA)).orderBy("Ticker")
-    files.snapshot_then_overwrite(merged, f"{root}/fundamentals", "20240302T000000")
+    earlier = read_table(spark, sf, "supplier").select(F.lower(B.symbol("s_suppkey")).alias("Ticker"), F.lit("stored").alias("Sector"),
+                                                       F.col("s_acctbal").alias("Revenue (ttm)"))
+    files.write_csv(schemas.conform(earlier, schemas.FUNDAMENTALS_SCHEMA), f"{root}/fundamentals.csv")
+    stored = files.load_fundamentals(spark, f"{root}/fundamentals.csv")
+    merged = FU.backfill(good, schemas.conform(stored, schemas.FUNDAMENTALS_SCHEMA))
+    cur = files.snapshot_then_overwrite(merged, f"{root}/fundamentals").read("current")
     files.write_csv(bad, f"{root}/failures")
-    cur = spark.read.parquet(f"{root}/fundamentals/current")
     fails = files.read_csv(spark, f"{root}/failures", schemas.T.StructType(
         [schemas.T.StructField("Ticker", schemas.S), schemas.T.StructField("_error", schemas.S)]))
     return (cur.select("Ticker", "Sector", F.round(F.col("`Revenue (ttm)`"), 6).alias("Revenue (ttm)"),

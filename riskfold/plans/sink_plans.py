@@ -52,12 +52,14 @@ def q_jsonl_roundtrip(spark, sf):
 
 @register("q_snapshot", sql=f"""
 WITH {S.ARTICLES}
-SELECT id, ticker, strftime(pubdate, '%Y-%m-%d') AS pubdate FROM arts""")
+SELECT id, ticker, strftime(pubdate, '%Y-%m-%d') AS pubdate, pubdate IS NOT NULL AS in_snapshot FROM arts""")
 def q_snapshot(spark, sf):
-    """K8 + K10 + K13: overwrite-with-backup of the article table twice and
-    read the current version."""
+    """K8 + K10 + K13: the article table written twice; the current version and
+    what the version before it held."""
     root = _folder(spark, "snapshot")
     a = B.articles(spark, sf).select("id", "ticker", F.date_format("pubdate", "yyyy-MM-dd").alias("pubdate"))
-    files.snapshot_then_overwrite(a.where(F.col("pubdate").isNotNull()), root, "20240301T000000")
-    files.snapshot_then_overwrite(a, root, "20240302T000000")
-    return spark.read.parquet(f"{root}/current")
+    files.snapshot_then_overwrite(a.where(F.col("pubdate").isNotNull()), root)
+    store = files.snapshot_then_overwrite(a, root)
+    before, now = (store.read("current", v) for v in store.history()[-2:])
+    return now.join(before.select("id", F.lit(True).alias("in_snapshot")), "id", "left").select(
+        "id", "ticker", "pubdate", F.coalesce("in_snapshot", F.lit(False)).alias("in_snapshot"))

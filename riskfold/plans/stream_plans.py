@@ -6,10 +6,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskfold.operators import corpus, maintenance
 from riskfold.plans import bindings as B
+from riskfold.plans import vector_plans
 from riskfold.plans import sql_fragments as S
 from riskfold.plans.catalog import register
 from riskfold.sources.tables import read_table
+from riskfold.sources.versioned import VersionedStore
 from riskfold.streaming import jobs
 
 LANDED_FILES = 4
@@ -80,3 +83,35 @@ def q_stream_pipeline(spark, sf):
     root = jobs.stream_root(spark, "news")
     docs = _landed(spark, sf, "documents", "doc_id", root)
     return jobs.news_pipeline_stream(spark, B.raw_news_from(docs), root).read().select("id", "ticker", "headline")
+
+
+def news_cycle(store, documents, batch):
+    """One cycle over landed documents; those in Spanish come without a summary,
+    it is drawn from the whole article."""
+    raw = B.raw_news_from(documents)
+    text = raw.select(F.col("Doc Id").alias("Doc Id"), F.col("Summary").alias("article"))
+    raw = raw.withColumn("Summary", F.when(F.col("Lang") != "es", F.col("Summary")))
+    articles = B.article_ids(raw).join(text, "Doc Id")
+
+    def summarise(blank):
+        return blank.select("id").join(articles, "id").groupBy("id").agg(
+            F.min_by(corpus.extractive_summary(F.col("article")), "Doc Id").alias("summary"))
+
+    maintenance.news_cycle(store, raw, batch, B.AS_OF, vector_plans.encode_articles, summarise, "Doc Id", tile_size=512)
+
+
+@register("q_stream_cycle")
+def q_stream_cycle(spark, sf):
+    """G1 + R16: landed news stream, every micro-batch one whole cycle
+    (preprocess, insert, summaries, retention, near-duplicates, index, dead
+    letters) committed as one unit; the three tables after the last one."""
+    root = jobs.stream_root(spark, "cycle")
+    store = VersionedStore(spark, f"{root}/tables")
+    maintenance.create_tables(store)
+    docs = _landed(spark, sf, "documents", "doc_id", root)
+    jobs.news_cycle_stream(spark, docs, store, lambda df, batch: news_cycle(store, df, batch), root)
+    index = store.read("index").select("id", F.octet_length("ivect").cast("long").alias("ivect_bytes"))
+    kept = store.read("articles").join(index, "id", "left")
+    cols = ["id", "ticker", "headline", "ivect_bytes"]
+    dead = store.read("dead").select(F.col("src_order").cast("string").alias("id"), "ticker", "headline", F.lit(None).cast("long").alias("ivect_bytes"))
+    return kept.select(*cols, F.lit("kept").alias("status")).unionByName(dead.select(*cols, F.lit("dead").alias("status")))

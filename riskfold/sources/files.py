@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from riskfold import schemas
 from riskfold.functions.numbers import extract_number
+from riskfold.sources.versioned import VersionedStore
 
 
 def _fs(spark: SparkSession, path: str):
@@ -98,16 +99,14 @@ def load_ticker_cache(spark: SparkSession, path: str, as_of: str, max_age_days:
     return fresh.select(F.explode("tickers").alias("ticker"))
 
 
-def snapshot_then_overwrite(df: DataFrame, path: str, snapshot_ts: str) -> None:
-    """K8 + K10 + K13: refuse an empty result; keep a time-stamped copy of
-    the current table, then overwrite it (table created when missing)."""
-    spark = df.sparkSession
-    if df.isEmpty():
-        raise ValueError("refusing to overwrite with an empty result")
-    if exists(spark, f"{path}/current"):
-        spark.read.parquet(f"{path}/current").write.mode("overwrite").parquet(f"{path}/snapshots/snapshot_ts={snapshot_ts}")
-    df.write.mode("overwrite").parquet(f"{path}/staging")
-    spark.read.parquet(f"{path}/staging").write.mode("overwrite").parquet(f"{path}/current")
+def snapshot_then_overwrite(df: DataFrame, path: str, name: str = "current") -> VersionedStore:
+    """K8 + K10 + K13: refuse an empty result; else write ``df`` as the new
+    version of the table (created when missing).  The version before stays
+    readable, and a job stopped at any point leaves it the current one."""
+    store = VersionedStore(df.sparkSession, path)
+    store.create(name, df.schema, [df.columns[0]])
+    store.commit({name: df}, allow_empty=False)
+    return store
 
 
 def tickers_from_csv(spark: SparkSession, path: str, col: str = "Ticker") -> DataFrame:
