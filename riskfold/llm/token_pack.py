@@ -90,9 +90,9 @@ def unpack(payload: bytes, width: int, start: int, count: int) -> np.ndarray:
 class _Pieces(dict):
     """Piece -> ids, in two generations."""
 
-    def __init__(self, encoder: Encoder):
+    def __init__(self, encoder: Encoder, entries: int):
         super().__init__()
-        self.encoder, self.old = encoder, {}
+        self.encoder, self.entries, self.old = encoder, entries, {}
 
     def __missing__(self, key: str) -> bytes:
         ids = self.old.get(key)
@@ -102,7 +102,7 @@ class _Pieces(dict):
         return ids
 
     def age(self) -> None:
-        if len(self) > CACHE_ENTRIES:
+        if len(self) > self.entries:
             self.old = self.copy()
             self.clear()
 
@@ -131,7 +131,7 @@ class Encoder:
     LATIN = re.compile(f"[{LETTERS}]+")
     MARKS = frozenset(".,;:!?|")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         import json
         import os
 
@@ -151,14 +151,15 @@ class Encoder:
             self.space = self.pre_cut(" a")[0][0][:-1]
             letters = re.findall(f"[{self.LETTERS}]", "".join(map(chr, range(0x250))))
             self.bytes_as_text = str.maketrans({c: self.pre_cut(c)[0][0] for c in letters})
-        self.cache = _Pieces(self)
+        self.cache = _Pieces(self, cache_entries)
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
+    def of(cls, path: str, cache_entries: int = CACHE_ENTRIES) -> Encoder:
         """One per worker process, so later tasks find a warm cache."""
         encoders = worker_cache(OWNER)
         if path not in encoders:
             encoders[path] = cls(path)
+        encoders[path].cache.entries = cache_entries
         return encoders[path]
 
     def _ids(self, text: str) -> np.ndarray:
@@ -202,12 +203,13 @@ class Encoder:
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocab_size: int, end_id: int = 0,
-                 doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS) -> None:
+                 doc_id: str = "doc_id", text: str = "text", block_tokens: int = BLOCK_TOKENS,
+                 cache_entries: int = CACHE_ENTRIES) -> None:
     """Encode every text, append ``end_id``, write blocks in doc_id order."""
     width = width_of(vocab_size)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path, cache_entries)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         size = np.dtype(encoder.dtype).itemsize
@@ -271,12 +273,14 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         "doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, vocab_size: int, path: str | None = None) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer_path: str, vocab_size: int, path: str | None = None,
+             cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Write the files (below the shared folder unless ``path`` is given) and
-    return the per-document digest read back from them."""
+    return the per-document digest read back from them.  A smaller cache takes
+    less memory and more time; results are the same."""
     spark = docs.sparkSession
     path = path or f"{checkpoint_dir(spark)}/token_blocks-{uuid.uuid4().hex}"
-    write_blocks(docs, path, tokenizer_path, vocab_size)
+    write_blocks(docs, path, tokenizer_path, vocab_size, cache_entries=cache_entries)
     return read_documents(spark, path)
 
 
