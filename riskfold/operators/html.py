@@ -7,6 +7,8 @@ work partitions with the rows; nothing is fetched or parsed on the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,65 @@ def list_symbols(pages: DataFrame, html: str = "html", key: str = "page_id") ->
     return x.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+# Header cells that name the symbol column, and the ordered selectors of
+# an article's headline and date (the first that finds text wins).
+SYMBOL_HEADERS = ("ticker", "ticker symbol")
+HEADLINE_SELECTORS = (("", "cover-headline", ""), ("header", "caas-title-wrapper", "h1"), ("h1", "@data-testid=Heading", ""))
+DATE_SELECTORS = (("", "byline-attr-meta-time", ""), ("time", "caas-attr-meta-time", ""))
+
+
+def selector_pattern(tag: str, name: str, inner: str = "") -> str:
+    """Pattern of an element by tag ("" for any), class or ``@attribute=value``,
+    and an element inside it: group 2 holds its attributes, group 3 its content."""
+    attribute, value = name[1:].split("=") if name.startswith("@") else ("class", name)
+    inside = re.escape(value) if attribute != "class" else rf"(?:[^\"']*\s)?{re.escape(value)}(?:\s[^\"']*)?"
+    start = rf"<({tag or '[a-zA-Z][a-zA-Z0-9]*'})\b([^>]*\b{re.escape(attribute)}\s*=\s*[\"']{inside}[\"'][^>]*)>"
+    return rf"(?s){start}(.*?)</\1\s*>" if not inner else rf"(?s){start}.*?<{inner}\b[^>]*>(.*?)</{inner}\s*>"
+
+
+def select_first(html: Column, selectors, attribute: str | None = None) -> Column:
+    """Cleaned text of the first selector that finds any; with ``attribute`` its
+    value goes before the text."""
+    found = []
+    for selector in selectors:
+        pattern = selector_pattern(*selector)
+        if attribute:
+            found.append(X.clean_html(F.regexp_extract(F.regexp_extract(html, pattern, 2), rf"\b{attribute}\s*=\s*[\"']([^\"']*)[\"']", 1)))
+        found.append(X.clean_html(F.regexp_extract(html, pattern, 3)))
+    return X.first_non_blank(*found)
+
+
+def article_fields(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Headline and date by ordered selectors (a date element's ``datetime``
+    before its text), and the article's distinct paragraphs."""
+    h = F.col(html)
+    chunks = F.transform(F.regexp_extract_all(h, F.lit(r"(?s)<p\b[^>]*>(.*?)</p\s*>"), 1), lambda c: X.clean_html(c))
+    article = F.array_join(F.array_distinct(F.filter(chunks, lambda c: c != "")), "\n")
+    return pages.select("*", select_first(h, HEADLINE_SELECTORS).alias("headline"),
+                        select_first(h, DATE_SELECTORS, "datetime").alias("pubdate"), F.nullif(article, F.lit("")).alias("article"))
+
+
+def table_symbols(pages: DataFrame, html: str = "html", key: str = "page_id", headers=SYMBOL_HEADERS) -> DataFrame:
+    """The symbols of a page's first table that has a header cell of
+    ``headers``: that column's cells, normalised, empty ones and repeats
+    dropped.  Pages without such a table give no rows."""
+    def cells(row: Column, tags: str) -> Column:
+        return F.transform(F.regexp_extract_all(row, F.lit(rf"(?s)<(?:{tags})\b[^>]*>(.*?)</(?:{tags})\s*>"), 1), lambda c: X.clean_html(c))
+
+    def described(table: Column) -> Column:
+        heads = F.transform(cells(table, "th"), lambda c: F.lower(c))
+        places = F.filter(F.transform(heads, lambda h, i: F.when(h.isin(*headers), i)), lambda i: i.isNotNull())
+        return F.struct(F.get(places, 0).alias("place"), table.alias("body"))
+
+    tables = F.transform(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<table\b[^>]*>(.*?)</table\s*>"), 1), described)
+    chosen = F.get(F.filter(tables, lambda t: t["place"].isNotNull()), 0)
+    rows = F.filter(F.regexp_extract_all(F.col("t.body"), F.lit(r"(?s)<tr\b[^>]*>(.*?)</tr\s*>"), 1), lambda r: F.rlike(r, F.lit(r"<td\b")))
+    x = pages.select(key, chosen.alias("t")).select(key, "t.place", F.posexplode(rows).alias("pos", "row"))
+    x = x.select(key, "pos", X.symbol_norm(F.get(cells(F.col("row"), "td|th"), F.col("place"))).alias("symbol"))
+    x = x.where(F.col("symbol").isNotNull() & (F.col("symbol") != ""))
+    return x.groupBy(key, "symbol").agg(F.min("pos").alias("pos"))
+
+
 def xml_escape(c: Column) -> Column:
     c = F.replace(c, F.lit("&"), F.lit("&amp;"))
     return F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))

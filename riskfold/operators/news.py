@@ -204,3 +204,24 @@ def sample_for_key(df: DataFrame, key_col: str, key_value: str, n: int, order: s
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """Deterministic pseudo-random n rows (hash of key and seed)."""
     return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)
+
+
+def metadata_lines(**columns: str) -> Column:
+    """``Label: value`` lines of the columns that have a value."""
+    return F.array_join(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(label.replace("_", " ") + ": "), F.col(c).cast("string")))
+                                           for label, c in columns.items()]), lambda x: x.isNotNull()), "\n")
+
+
+def best_texts(sources: list[DataFrame], order: str = "src_order") -> DataFrame:
+    """One row per (headline, ticker) over ordered sources (headline, ticker,
+    article, lines, ``order``): of the first source that knows the pair its
+    first article, or its first row's metadata lines when none has one.  The
+    sources are reduced before anything is joined to them."""
+    pairs = None
+    for rank, source in enumerate(sources):
+        one = (source.groupBy("headline", "ticker")
+               .agg(F.min_by("article", F.when(F.col("article").isNotNull(), F.col(order))).alias("article"), F.min_by("lines", order).alias("lines"))
+               .withColumn("_rank", F.lit(rank)))
+        pairs = one if pairs is None else pairs.unionByName(one)
+    first = pairs.groupBy("headline", "ticker").agg(F.min_by(F.struct("article", "lines"), "_rank").alias("t"))
+    return first.select("headline", "ticker", "t.article", F.when(F.col("t.article").isNull(), F.col("t.lines")).alias("lines"))

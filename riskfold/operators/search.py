@@ -48,3 +48,10 @@ def rank_matches(queries: DataFrame, options: DataFrame, qid: str = "query_id",
     top = (q.select("sub").distinct().join(idx, "sub")
            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     return q.join(top, "sub").select(qid, text, "ticker", "sector", "score", "rank")
+
+
+def resolve(queries: DataFrame, options: DataFrame, qid: str = "query_id", text: str = "query") -> DataFrame:
+    """The symbol each typed text stands for: the exact match, else the
+    best-ranked one, else none."""
+    best = rank_matches(queries, options, qid, text, k=1).select(qid, F.col("ticker").alias("resolved"), (F.col("score") == 0).alias("exact"))
+    return queries.select(qid, text).join(best, qid, "left").withColumn("exact", F.coalesce("exact", F.lit(False)))

@@ -294,33 +294,44 @@ _EXTRACT_SQL = """list_max(list_transform(list_filter(list_transform(string_spli
 
 @register("q_summary_queue", sql=f"""
 WITH {S.PREP},
-store AS (SELECT id, headline, ticker, CASE WHEN lang = 'es' THEN NULL ELSE summary END AS summary, src_order
+store AS (SELECT id, headline, ticker, CASE WHEN lang = 'es' THEN NULL ELSE summary END AS summary
           FROM prep QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_order) = 1),
-src AS (SELECT headline, ticker, summary AS article, src_order FROM prep),
-queue AS (SELECT s.id, s.headline, s.ticker FROM store s WHERE s.summary IS NULL OR length(trim(s.summary)) = 0),
-look AS (SELECT q.id, q.ticker, src.article FROM queue q JOIN src ON src.headline = q.headline AND src.ticker = q.ticker
-         WHERE src.article IS NOT NULL
-         QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY src.src_order) = 1),
-new AS (SELECT id, {_EXTRACT_SQL.format(t='article')} AS summary,
-               length(printf('{C.SUMMARY_PROMPT.replace("'", "''")}', ticker, article)) AS prompt_chars FROM look)
-SELECT s.id, coalesce(n.summary, s.summary) AS summary, n.prompt_chars
+landed AS (SELECT p.headline, p.ticker, p.summary, p.src_order, r.pubdate AS day, NULLIF(trim(r.link), '') AS link, r.final_url
+           FROM prep p JOIN raw r ON r.doc_id = p.src_order),
+src AS (SELECT 0 AS k, headline, ticker, CASE WHEN day IS NOT NULL THEN summary END AS article, day, final_url AS url, src_order FROM landed WHERE final_url IS NOT NULL
+        UNION ALL SELECT 1, headline, ticker, CASE WHEN day IS NOT NULL THEN summary END, day, link, src_order FROM landed WHERE link IS NOT NULL),
+one AS (SELECT k, headline, ticker, arg_min(article, src_order) FILTER (article IS NOT NULL) AS article,
+               arg_min(concat_ws(chr(10), 'Title: ' || headline, 'Published at: ' || day, 'URL: ' || url), src_order) AS lines FROM src GROUP BY 1, 2, 3),
+look AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY headline, ticker ORDER BY k) = 1),
+queue AS (SELECT s.id, s.ticker, coalesce(l.article, l.lines, s.headline) AS text,
+                 CASE WHEN l.article IS NOT NULL THEN 'article' WHEN l.lines IS NOT NULL THEN 'metadata' ELSE 'headline' END AS text_from
+          FROM store s LEFT JOIN look l ON l.headline = s.headline AND l.ticker = s.ticker WHERE s.summary IS NULL OR length(trim(s.summary)) = 0),
+new AS (SELECT id, text_from, {_EXTRACT_SQL.format(t='text')} AS summary,
+               length(printf('{C.SUMMARY_PROMPT.replace("'", "''")}', ticker, text)) AS prompt_chars FROM queue WHERE text <> '')
+SELECT s.id, coalesce(n.summary, s.summary) AS summary, n.prompt_chars, n.text_from
 FROM store s LEFT JOIN new n USING (id)""")
 def q_summary_queue(spark, sf):
-    """R10 + J9 + P23 + K5: articles without a summary get their best text
-    (first matching source row by headline and ticker), a prompt and an
-    extractive summary, written back by key."""
+    """R10 + J9 + K5: articles without a summary get their best text (the
+    article of the first of two crawl tables that knows headline and ticker,
+    its metadata lines, else the headline), a prompt and an extractive summary,
+    written back by key."""
     raw = B.raw_news(spark, sf)
-    p = news.preprocess(raw, order="Doc Id").join(
-        raw.select(F.col("Doc Id").alias("src_order"), F.col("Lang").alias("lang")), "src_order")
-    store = news.keep_first(p, "id", "src_order").withColumn(
-        "summary", F.when(F.col("lang") == "es", F.lit(None).cast("string")).otherwise(F.col("summary")))
-    src = p.select("headline", "ticker", F.col("summary").alias("article"), F.col("src_order").alias("_o"))
-    queue = store.where(F.col("summary").isNull() | (F.length(F.trim("summary")) == 0)).select("id", "headline", "ticker")
-    look = news.keep_first(queue.join(src.where(F.col("article").isNotNull()), ["headline", "ticker"]), "id", "_o")
-    new = look.select("id", C.extractive_summary(F.col("article")).alias("summary"),
-                      F.length(C.summary_prompt(F.col("ticker"), F.col("article"))).alias("prompt_chars"))
-    upd = news.update_column(store.select("id", "summary"), new.select("id", "summary"), "summary")
-    return upd.join(new.select("id", "prompt_chars"), "id", "left").select("id", "summary", "prompt_chars")
+    extra = raw.select(F.col("Doc Id").alias("src_order"), F.col("Lang").alias("lang"), F.col("PubDate").alias("day"),
+                       F.nullif(F.trim("Link"), F.lit("")).alias("link"), F.col("Final URL").alias("final_url"))
+    p = cut_lineage(news.preprocess(raw, order="Doc Id").join(extra, "src_order"))
+    lang = F.when(F.col("lang") == "es", F.lit(None).cast("string")).otherwise(F.col("summary"))
+    store = cut_lineage(news.keep_first(p.select("id", "headline", "ticker", lang.alias("summary"), "src_order"), "id", "src_order"))
+    sources = [p.where(F.col(url).isNotNull()).select(
+        "headline", "ticker", F.when(F.col("day").isNotNull(), F.col("summary")).alias("article"), "src_order",
+        news.metadata_lines(Title="headline", Published_at="day", URL=url).alias("lines")) for url in ("final_url", "link")]
+    queue = store.where(F.trim(F.coalesce("summary", F.lit(""))) == "").select("id", "headline", "ticker")
+    wanted = queue.select("headline", "ticker").distinct()
+    texts = news.best_texts([s.join(wanted, ["headline", "ticker"], "left_semi") for s in sources])
+    look = queue.join(texts, ["headline", "ticker"], "left").withColumn("text", F.coalesce("article", "lines", "headline")).where("text != ''")
+    origin = F.when(F.col("article").isNotNull(), "article").when(F.col("lines").isNotNull(), "metadata").otherwise("headline")
+    new = look.select("id", C.extractive_summary(F.col("text")).alias("new"), origin.alias("text_from"),
+                      F.length(C.summary_prompt(F.col("ticker"), F.col("text"))).alias("prompt_chars"))
+    return store.join(new, "id", "left").select("id", F.coalesce("new", "summary").alias("summary"), "prompt_chars", "text_from")
 
 
 # Report texts (Korean, as in the reference).

@@ -242,23 +242,27 @@ def q_top_sigma(spark, sf):
 
 
 @register("q_ticker_options", sql=f"""
-WITH {S.UNIVERSE}
-SELECT DISTINCT {S.SYMBOL.format('ticker')} AS symbol, sector FROM universe""")
+WITH {S.FULL_UNIVERSE}
+SELECT {S.SYMBOL.format('ticker')} AS symbol, sector FROM universe
+UNION SELECT {S.SYMBOL.format('s_suppkey')}, coalesce(n_name, 'Unknown') FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""")
 def q_ticker_options(spark, sf):
-    """T5 + A19 + U1: distinct (symbol, sector) options, sorted."""
-    u = B.universe(spark, sf)
-    return u.select(B.symbol("ticker").alias("symbol"), "sector").distinct().orderBy("symbol")
+    """T5 + A19 + U1: options of two universes (securities with a complete
+    price history, securities with fundamentals), distinct, sorted."""
+    u = B.universe(spark, sf, min_obs=B.FULL_OBS)
+    other = B.sectors(spark, sf).select("ticker", F.coalesce("sector", F.lit("Unknown")).alias("sector"))
+    both = u.select("ticker", "sector").unionByName(other).select(B.symbol("ticker").alias("symbol"), "sector")
+    return both.distinct().orderBy("symbol")
 
 
 _SEARCH_LOG = f"""
 qs AS (SELECT event_id AS query_id,
               lower({S.SYMBOL.format("CAST(json_extract_string(props, '$.k') AS BIGINT)")}) AS query
-       FROM events WHERE event_type = 'view')"""
+       FROM events)"""
 
 
 def search_log(spark, sf):
-    """Search log binding: every 'view' event searched the symbol of its k."""
-    e = read_table(spark, sf, "events").where(F.col("event_type") == "view")
+    """Search log binding: every event searched the symbol of its k."""
+    e = read_table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     return e.select(F.col("event_id").alias("query_id"), F.lower(B.symbol(k)).alias("query"))
 
@@ -283,6 +287,20 @@ def q_ticker_search(spark, sf):
     return search.rank_matches(search_log(spark, sf), opts).withColumn("rank", F.col("rank").cast("int"))
 
 
+@register("q_resolve_symbol", sql=f"""
+WITH {S.UNIVERSE}, {_SEARCH_LOG},
+opt AS (SELECT DISTINCT {S.SYMBOL.format('ticker')} AS ticker, sector FROM universe),
+t AS (SELECT DISTINCT query FROM qs),
+sc AS (SELECT t.query, opt.ticker, CASE WHEN lower(opt.ticker) = t.query THEN 0 WHEN starts_with(lower(opt.ticker), t.query) THEN 1
+              WHEN contains(lower(opt.ticker), t.query) THEN 2 WHEN contains(lower(opt.sector), t.query) THEN 3 ELSE 99 END AS score FROM t, opt),
+r AS (SELECT query, arg_min(ticker, printf('%02d', score) || ticker) AS resolved, min(score) = 0 AS exact FROM sc WHERE score < 99 GROUP BY 1)
+SELECT qs.query_id, qs.query, r.resolved, coalesce(r.exact, false) AS exact FROM qs LEFT JOIN r USING (query)""")
+def q_resolve_symbol(spark, sf):
+    """What every typed text of the search log stands for."""
+    opts = B.universe(spark, sf).select(B.symbol("ticker").alias("ticker"), "sector").distinct()
+    return search.resolve(search_log(spark, sf), opts)
+
+
 _TEXT_FIXTURE = f"""
 tx AS (SELECT portfolio_id,
               string_agg(printf('%s %.2f', {S.SYMBOL.format('ticker')}, quantity), ', '
