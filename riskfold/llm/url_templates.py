@@ -3,8 +3,9 @@
 Rules (host suffix and path prefix, the longest wins) decide what they fit.
 The other pages are judged by templates learned per host:
 
-1. Runs of digits in a segment become {n}, long hexadecimal ones {h}; pages are
-   counted by (host, shape) first, so the tree works on counts.
+1. Runs of digits in a segment become {n}, long hexadecimal ones {h} (a literal
+   \\ * { or | gets a \\ before it); pages are counted by (host, shape) first, so
+   the tree works on counts.
 2. Level by level from the root, a node with more than MOST_BRANCHES children
    keeps the frequent ones (COMMON of the node's pages or more) and turns the
    others into the wildcard *.
@@ -22,7 +23,9 @@ Labels are the pages that rules decide, or a table (page_id, bad) if given.
 Scale: pages are pre-aggregated to shapes, all tables of the tree are counts
 keyed by (host, prefix); a host with a third of all pages is many prefixes, and
 joins back to pages are plain equi-joins that AQE splits or broadcasts by
-measured size.  One round per path level, each written to the checkpoint folder.
+measured size.  A round takes every node over all segments that its shapes
+share and then over one level with a choice, and is written to the checkpoint
+folder: rounds are as many as the branching nodes on a path, not as its segments.
 
 Defined results: a null url or one without :// has empty host and path, fits no
 rule and is allowed; repeated rows are judged each; an empty table gives no
@@ -74,7 +77,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 def shape_of(path: Column) -> Column:
     """Array of the path's segments with their variable parts as marks."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    hexed = F.transform(parts, lambda s: F.regexp_replace(s, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "{h}"))
+    plain = F.transform(parts, lambda s: F.regexp_replace(s, r"([\\*{|])", r"\\$1"))
+    hexed = F.transform(plain, lambda s: F.regexp_replace(s, r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "{h}"))
     return F.transform(hexed, lambda s: F.regexp_replace(s, "[0-9]+", "{n}"))
 
 
@@ -96,25 +100,45 @@ def _merged(children: DataFrame) -> DataFrame:
             .select("host", "prefix", "branch", F.array_join("names", "|").alias("joint")))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Number of leading elements that two arrays share."""
+    n = F.least(F.size(a), F.size(b))
+    apart = F.array_position(F.transform(F.sequence(F.lit(0), n), lambda i: F.coalesce(F.get(a, i) == F.get(b, i), F.lit(False))), False)
+    return (apart - 1).cast("int")
+
+
+def _onward(tree: DataFrame) -> DataFrame:
+    """Every row taken as far as all open shapes of its node share their
+    segments: where a node has one child there is nothing to keep or to merge.
+    The least and the greatest shape share what all of them share."""
+    rest = F.slice("shape", F.col("at") + 1, F.size("shape") - F.col("at"))
+    still = tree.where(F.size("shape") > F.col("at"))
+    ends = still.groupBy("host", "prefix").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    step = still.join(ends.select("host", "prefix", _common(F.col("lo"), F.col("hi")).alias("step")), ["host", "prefix"])
+    walked = F.transform(F.slice("shape", F.col("at") + 1, F.col("step")), lambda s: F.concat(F.lit("/"), s))
+    step = step.withColumn("prefix", F.concat("prefix", F.array_join(walked, ""))).withColumn("at", F.col("at") + F.col("step"))
+    return step.select(tree.columns).unionByName(tree.where(F.size("shape") <= F.col("at")))
+
+
 def templates(shapes: DataFrame) -> DataFrame:
     """``shapes`` (host, shape, pages, labelled, bad) plus template."""
-    tree = cut_lineage(shapes.withColumn("prefix", F.lit("")))
-    depth = tree.agg(F.max(F.size("shape"))).first()[0] or 0
-    at = ["host", "prefix"]
-    for level in range(depth):
-        here = tree.where(F.size("shape") > level).withColumn("seg", F.col("shape")[level])
-        rest = tree.where(F.size("shape") <= level)
-        children = here.groupBy(*at, "seg").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
-        nodes = children.groupBy(*at).agg(F.count("*").alias("branches"), F.sum("pages").alias("total"))
+    tree = shapes.withColumn("prefix", F.lit("")).withColumn("at", F.lit(0))
+    node = ["host", "prefix"]
+    while True:
+        tree = cut_lineage(_onward(tree))
+        here = tree.where(F.size("shape") > F.col("at")).withColumn("seg", F.get("shape", F.col("at")))
+        if here.isEmpty():
+            return tree.drop("at").withColumnRenamed("prefix", "template")
+        children = here.groupBy(*node, "seg").agg(*(F.sum(c).alias(c) for c in ("pages", "labelled", "bad")))
+        nodes = children.groupBy(*node).agg(F.count("*").alias("branches"), F.sum("pages").alias("total"))
         rare = (F.col("branches") > MOST_BRANCHES) & (F.col("pages") < COMMON * F.col("total"))
-        named = cut_lineage(children.join(nodes, at).withColumn("branch", F.when(rare, F.lit("*")).otherwise(F.col("seg"))))
-        branches = named.groupBy(*at, "branch").agg(*(F.sum(c).alias(c) for c in ("labelled", "bad")))
-        names = (named.select(*at, "seg", "branch").join(_merged(branches), [*at, "branch"], "left")
-                 .select(*at, "seg", F.coalesce("joint", "branch").alias("name")))
-        moved = (here.join(names, [*at, "seg"])
-                 .withColumn("prefix", F.concat("prefix", F.lit("/"), "name")).select(*tree.columns))
-        tree = cut_lineage(moved.unionByName(rest))
-    return tree.withColumnRenamed("prefix", "template")
+        named = cut_lineage(children.join(nodes, node).withColumn("branch", F.when(rare, F.lit("*")).otherwise(F.col("seg"))))
+        branches = named.groupBy(*node, "branch").agg(*(F.sum(c).alias(c) for c in ("labelled", "bad")))
+        names = (named.select(*node, "seg", "branch").join(_merged(branches), [*node, "branch"], "left")
+                 .select(*node, "seg", F.coalesce("joint", "branch").alias("name")))
+        moved = (here.join(names, [*node, "seg"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "name"))
+                 .withColumn("at", F.col("at") + 1).select(tree.columns))
+        tree = moved.unionByName(tree.where(F.size("shape") <= F.col("at")))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labels: DataFrame | None = None) -> DataFrame:

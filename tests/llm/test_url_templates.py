@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 from collections import defaultdict
 
 from riskfold.llm import url_templates as U
@@ -28,6 +30,7 @@ def shape(path):
     out = []
     for s in path.split("/"):
         if s:
+            s = re.sub(r"([\\*{|])", r"\\\1", s)
             s = re.sub(r"(?i)\b(?=[0-9a-f]*[0-9])[0-9a-f]{8,}\b", "{h}", s, flags=re.A)
             out.append(re.sub("[0-9]+", "{n}", s))
     return tuple(out)
@@ -128,3 +131,24 @@ def test_given_labels(spark):
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(30)], "page_id long, bad int")
     out = {r.page_id: r.verdict for r in U.judge(df, (), labels).collect()}
     assert out == {i: "allow" if i % 2 else "block" for i in range(100)}
+
+
+def test_deep_paths_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = U.cut_lineage
+    monkeypatch.setattr(U, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    deep = "http://deep.x/" + "/".join(f"s{chr(97 + i % 26)}" for i in range(1000))
+    rows = list(enumerate([deep, deep + "/left/a", deep + "/right/b", "http://deep.x/other", "http://net/" + "q/" * 500]))
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    start = time.time()
+    got = run(df)
+    assert time.time() - start < 30 and len(rounds) < 10
+    assert got == brute(rows)
+
+
+def test_random_trees_equal_brute_force(spark):
+    rng = random.Random(6)
+    rows = [(i, f"http://h{rng.randrange(3)}.net/" + "/".join(rng.choice(["a", "b", "c", "*", "a|b", "{n}", "7", "x\\\\y", f"u{rng.randrange(60)}z"])
+                                                         for _ in range(rng.randrange(7)))) for i in range(1500)]
+    rules = (("block", "h0.net/a"), ("allow", "h0.net/b"), ("block", "h1.net/"), ("block", "h2.net/c"), ("allow", "h2.net/a/b"))
+    assert run(spark.createDataFrame(rows, "page_id long, url string"), rules) == brute(rows, rules)
