@@ -91,6 +91,15 @@ def sector_map(supplier: DataFrame, nation: DataFrame) -> DataFrame:
             .select("ticker", "sector"))
 
 
+def attach_sectors(securities: DataFrame, sectors: DataFrame, ticker: str = "ticker", missing: str = "Unknown") -> DataFrame:
+    """J14 + Q29: sector of each security by its normalised symbol (upper case,
+    '.' as '-'), so ``brk.b`` finds ``BRK-B``; one row per symbol of the map."""
+    from riskfold.functions.text import symbol_norm
+    m = sectors.select(symbol_norm("ticker").alias("_s"), "sector").groupBy("_s").agg(F.min("sector").alias("sector"))
+    return (securities.drop("sector").withColumn("_s", symbol_norm(ticker)).join(m, "_s", "left").drop("_s")
+            .withColumn("sector", F.coalesce("sector", F.lit(missing))))
+
+
 def ticker_metrics_a(prices: DataFrame, sectors: DataFrame | None = None,
                      min_obs: int = 200, periods_per_year: int = 252,
                      digits: int = 6, key: str = "ticker", ts: str = "ts",

@@ -74,9 +74,9 @@ def preprocess(raw: DataFrame, order: str | None = None) -> DataFrame:
 def upsert_ignore(target: DataFrame, batch: DataFrame, key: str = "id", order: str = "src_order") -> DataFrame:
     """K3: insert-or-ignore: the first batch row per key (in batch order) is
     inserted unless the key is already stored; stored rows never change."""
-    cols = [c for c in target.columns]
-    first = keep_first(batch, key, order).select(*cols)
-    return target.unionByName(first.join(target.select(key), key, "left_anti"))
+    first = keep_first(schemas.intersect_columns(batch, [*target.columns, order]), key, order)  # P12: what the table has
+    first = schemas.intersect_columns(first.join(target.select(key), key, "left_anti"), target.columns)
+    return target.unionByName(first, allowMissingColumns=True).select(*target.columns)
 
 
 def upsert_overwrite(target: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -85,8 +85,8 @@ def upsert_overwrite(target: DataFrame, batch: DataFrame, key: str = "id", order
     b = batch
     if order is not None:
         b = keep_first(batch, key, order, last=True)
-    b = b.select(*target.columns)
-    return target.join(b.select(key), key, "left_anti").unionByName(b)
+    b = schemas.intersect_columns(b, target.columns)
+    return target.join(b.select(key), key, "left_anti").unionByName(b, allowMissingColumns=True).select(*target.columns)
 
 
 def update_column(target: DataFrame, updates: DataFrame, col: str, key: str = "id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskfold.functions import dates as D
 from riskfold.functions import text as X
 from riskfold.operators import html, news
 from riskfold.plans import bindings as B
@@ -56,22 +57,50 @@ def q_upsert_ignore(spark, sf):
     return news.upsert_ignore(target, batch).drop("src_order")
 
 
-@register("q_upsert_overwrite", sql=_STORE + """,
+@register("q_upsert_overwrite", sql=_STORE + f""",
 upd AS (SELECT id, headline, ticker, pubdate, '[rev] ' || summary AS summary, src_order FROM prep
-        WHERE lang IN ('en', 'fr')
-        QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_order DESC) = 1)
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY src_order DESC) = 1),
+{S.ARTICLES}
 SELECT id, headline, ticker, pubdate, summary FROM tgt WHERE id NOT IN (SELECT id FROM upd)
 UNION ALL
+SELECT id, headline, ticker, pubdate, summary FROM arts
+UNION ALL
 SELECT id, headline, ticker, pubdate, summary FROM upd""")
 def q_upsert_overwrite(spark, sf):
-    """K4: insert-or-overwrite a revised batch (last row per id wins)."""
+    """K4 + P12: insert-or-overwrite a revised batch of every language (last row
+    per id wins) into a store that also holds articles of another feed, whose
+    ids the batch does not know; the batch brings columns the store has not."""
     target, _ = _store(spark, sf)
-    p = _with_lang(spark, sf)
-    upd = (p.where(F.col("lang").isin("en", "fr")).drop("lang")
-           .withColumn("summary", F.concat(F.lit("[rev] "), F.col("summary"))))
+    target = target.unionByName(B.articles(spark, sf).withColumn("src_order", F.lit(None).cast("long")))
+    upd = _with_lang(spark, sf).withColumn("summary", F.concat(F.lit("[rev] "), F.col("summary")))
     return news.upsert_overwrite(target, upd, order="src_order").drop("src_order")
 
 
+_DAY = "DATE '2024-12-31' - CAST(doc_id % 366 AS INTEGER)"
+
+
+@register("q_date_columns", sql=f"""
+SELECT doc_id, strftime({_DAY}, '%Y-%m-%d') AS pub_day, strftime({_DAY}, '%Y-%m-%d') || ' 06:30:00' AS update_time,
+       CASE WHEN lang <> 'es' THEN strftime({_DAY}, '%Y-%m-%d') || ' 00:00:00' END AS fetched_at, source AS origin
+FROM documents""")
+def q_date_columns(spark, sf):
+    """X1 + X2: dates of a whole year in five formats, and every further
+    date-like column (by its name) cast; other columns stay as they are."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", "source")
+    day = F.date_sub(F.lit("2024-12-31").cast("date"), F.pmod("doc_id", F.lit(366)).cast("int"))
+    text = {0: F.date_format(day, "MMMM d, yyyy"), 1: F.date_format(day, "d-MMM-yy"), 2: F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"),
+            3: F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss '+0000'"), 4: F.date_format(day, "M/d/yyyy")}
+    kind = F.pmod("doc_id", F.lit(5))
+    pub = F.coalesce(*[F.when(kind == k, t) for k, t in text.items()])
+    raw = d.select("doc_id", pub.alias("pub_text"), F.date_format(day, "yyyy-MM-dd 06:30:00").alias("update_time"),
+                   F.when(F.col("lang") == "es", F.lit("not a date")).otherwise(F.date_format(day, "d MMM yyyy")).alias("fetched_at"),
+                   F.col("source").alias("origin"))
+    out = D.parse_date_columns(raw)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("doc_id", F.date_format(D.normalize_pubdate("pub_text"), "yyyy-MM-dd").alias("pub_day"), stamp("update_time"),
+                      stamp("fetched_at"), "origin")
+
+
 @register("q_retention", sql=f"""
 WITH {S.ARTICLES}
 SELECT id, pubdate FROM arts WHERE NOT (pubdate IS NOT NULL AND pubdate < TIMESTAMP '{B.AS_OF}' - INTERVAL 14 DAYS)""")

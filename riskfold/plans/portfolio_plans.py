@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskfold.functions.numbers import round_money
-from riskfold.operators import portfolio, risk, search
+from riskfold.operators import market, portfolio, risk, search
 from riskfold.plans import bindings as B
 from riskfold.plans import sql_fragments as S
 from riskfold.plans.catalog import register
@@ -210,6 +210,40 @@ def q_latest_price(spark, sf):
                     F.date_format("price_ts", "yyyy-MM-dd").alias("price_ts"), "price_ok")
 
 
+@register("q_demo_prices", sql=f"""
+WITH {S.FULL_UNIVERSE}, {S.POSITIONS}, {S.LATEST},
+j AS (SELECT p.portfolio_id, p.ticker, CASE WHEN u.ticker IS NOT NULL THEN lp.price END AS live, s.s_acctbal AS demo
+      FROM pos p LEFT JOIN universe u ON u.ticker = p.ticker LEFT JOIN lp ON lp.ticker = p.ticker LEFT JOIN supplier s ON s.s_suppkey = p.ticker)
+SELECT portfolio_id, ticker, round(CASE WHEN live > 0 THEN live ELSE demo END, 4) AS price, coalesce(live > 0, false) = false AND demo IS NOT NULL AS used_demo,
+       coalesce(CASE WHEN live > 0 THEN live ELSE demo END > 0, false) AS price_ok
+FROM j""")
+def q_demo_prices(spark, sf):
+    """E3 + P21: live prices of the securities with a complete history; the others
+    fall back to a demo price (the supplier's balance, not positive for some:
+    those positions are flagged)."""
+    table = B.price_table(spark, sf)
+    live = B.latest_prices(spark, sf, table).join(B.universe(spark, sf, table, min_obs=B.FULL_OBS).select("ticker"), "ticker", "left_semi")
+    demo = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_acctbal").cast("double").alias("price"))
+    j = portfolio.attach_prices(B.positions(spark, sf), live, demo)
+    return j.select("portfolio_id", "ticker", F.round("price", 4).alias("price"), "used_demo", "price_ok")
+
+
+@register("q_symbol_sectors", sql=f"""
+WITH {S.POSITIONS},
+held AS (SELECT DISTINCT {S.SYMBOL.format('ticker')} || CASE WHEN ticker % 3 = 0 THEN '.b' ELSE '' END AS symbol, ticker FROM pos)
+SELECT symbol, CASE WHEN s.s_acctbal >= 0 THEN n.n_name ELSE 'Unknown' END AS sector
+FROM held LEFT JOIN supplier s ON s.s_suppkey = held.ticker LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey""")
+def q_symbol_sectors(spark, sf):
+    """J14 + F3: sectors of the held symbols, spelled with '.' and in lower case
+    here and with '-' in the map; suppliers in debt are not in the map."""
+    held = B.positions(spark, sf).select("ticker").distinct()
+    spelled = lambda mark: F.concat(B.symbol("ticker"), F.when(F.col("ticker") % 3 == 0, F.lit(mark)).otherwise(F.lit("")))
+    mapped = (B.sectors(spark, sf).join(read_table(spark, sf, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("ticker")), "ticker")
+              .select(spelled("-B").alias("ticker"), "sector"))
+    out = market.attach_sectors(held.select(spelled(".b").alias("symbol")), mapped, "symbol")
+    return out.select("symbol", "sector")
+
+
 @register("q_missing_tickers", sql=f"""
 WITH {S.FULL_UNIVERSE}, {S.POSITIONS}
 SELECT portfolio_id, ticker FROM pos WHERE ticker NOT IN (SELECT ticker FROM universe)""")
