@@ -52,8 +52,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    # the workers still hold memory of the stages before: half the usual cache
-    return token_pack.tokenize(docs, *token_pack.default_tokenizer(), cache_entries=token_pack.CACHE_ENTRIES // 2)
+    # the workers still hold memory of the stages before: a third of the usual cache
+    return token_pack.tokenize(docs, *token_pack.default_tokenizer(), cache_entries=token_pack.CACHE_ENTRIES // 3)
 
 
 STAGES = [("language", language), ("near_copies", near_copies), ("decontaminate", decontaminated),

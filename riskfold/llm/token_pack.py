@@ -35,7 +35,7 @@ from riskfold.session import checkpoint_dir
 
 BLOCK_TOKENS = 1 << 16
 BATCH_ROWS = 1000
-CACHE_ENTRIES = 600_000  # of each generation; some 200 bytes an entry
+CACHE_ENTRIES = 900_000  # of each generation; some 200 bytes an entry
 OWNER = "token_pack"
 
 BLOCK_SCHEMA = ("shard int, block int, first long, width int, tokens long, "
