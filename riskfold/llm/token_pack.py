@@ -22,6 +22,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ from riskfold.session import checkpoint_dir
 
 BLOCK_TOKENS = 1 << 16
 BATCH_ROWS = 1000
-CACHE_ENTRIES = 900_000  # of each generation; some 200 bytes an entry
+CACHE_ENTRIES = 600_000  # of each generation; some 200 bytes an entry
 OWNER = "token_pack"
+_ID = attrgetter("id")
 
 BLOCK_SCHEMA = ("shard int, block int, first long, width int, tokens long, "
                 "doc_ids array<long>, n_tokens array<int>, payload binary")
@@ -175,7 +177,7 @@ class Encoder:
             return self.cache[key[:-1]] + self.cache["\0" + piece[-1]]
         if piece.isalpha() and (piece.isascii() or self.LATIN.fullmatch(piece)):
             text = piece if piece.isascii() else piece.translate(self.bytes_as_text)
-            return array(self.code, [t.id for t in self.model(text if glued else self.space + text)]).tobytes()
+            return array(self.code, map(_ID, self.model(text if glued else self.space + text))).tobytes()
         cut = self.pre_cut(piece if glued else " " + piece) if piece or not glued else []
         return array(self.code, [t.id for text, _ in cut for t in self.model(text)]).tobytes()
 
