@@ -253,7 +253,32 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, **optio
     return ranked(score(docs, target, **options), percent=percent).where("rank is not null").drop("n_words", "row_hash")
 
 
-@register("op13_importance_resample")
+# The same in SQL: CRC-32 by its byte table, folded over the bytes of each distinct word.
+_ORACLE = r"""
+WITH RECURSIVE step(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+tab AS (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM step WHERE k = 8),
+w AS (SELECT kind, id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+      FROM (SELECT 's' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark)),
+d AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+b AS (SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                                   lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM d, tab),
+f AS (SELECT w.kind, w.id, b.bucket FROM w JOIN b USING (word)),
+n AS (SELECT bucket, count(*) FILTER (kind = 's') AS s, count(*) FILTER (kind = 't') AS t FROM f GROUP BY 1),
+a AS (SELECT CAST(sum(s) + 10000 AS DOUBLE) AS s_all, CAST(sum(t) + 10000 AS DOUBLE) AS t_all FROM n),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * s_all / ((s + 1) * t_all))) AS BIGINT) AS gain FROM n, a),
+m AS (SELECT id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE kind = 's' GROUP BY 1),
+o AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+      FROM documents LEFT JOIN m ON m.id = doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 20)
+SELECT o.doc_id, n_features, weight, score, CASE WHEN r.rank <= (SELECT count(*) FROM r) * 10 // 100 THEN r.rank END AS rank
+FROM o LEFT JOIN r USING (doc_id)"""
+
+
+@register("op13_importance_resample", _ORACLE)
 def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     return ranked(scored).select("doc_id", "n_features", "weight", "score", "rank")
