@@ -8,6 +8,13 @@ Every line is judged by itself, in this order; a failing line is removed:
 * repeated     equal to an earlier line of the document
 * punctuation  no mark that ends a sentence at its end
 
+Menu and boilerplate phrases are English, German, French and Spanish (composed
+accents); the marks are those of Latin, Arabic, Armenian, Indic, Ethiopic,
+Khmer, Burmese and CJK texts, and a line that ends in Thai, Lao or Tibetan
+script needs none.  A line without a mark that is wrapped prose stays: it has
+WRAPPED word characters or more, passes the first three rules, and so do the
+lines directly below it down to one with a mark.
+
 Only then the document is judged: it is rejected when the base checks fail or
 the removed lines hold more than MOST_LOST per cent of its word characters, so
 a good article keeps its place after losing a menu and a footer.  A removed
@@ -40,56 +47,91 @@ MOST_REPEATED = 50   # per cent of words in 3-word windows found twice
 MOST_LOST = 50       # per cent of word characters in removed lines
 MENU_WORDS = 8
 
-# written so that Python's re and SQL engines with RE2 read them alike
-MENU_SEPARATORS = "[|»›•·]"
-MENU = ("(?i)^[^a-z]*(home|menu|login|log in|logout|sign in|sign up|register|search|next|previous|back to top|skip to|share|"
-        "tweet|print|read more|click here|contact us|about us|site map|sitemap|follow us)($|[^a-z])")
-BOILERPLATE = ("(?i)(all rights reserved|copyright|©|cookie|privacy policy|terms of (use|service)|subscribe to|newsletter|"
-               "unsubscribe|enable javascript|powered by|licensed under|released under the|lorem ipsum)")
-SENTENCE_END = "[.!?:;…\"'”’»)\\]]$"
+WRAPPED = 30         # word characters of a line that may go on in the next one
 
-_MENU_SEPARATORS, _MENU, _BOILERPLATE, _END = map(re.compile, (MENU_SEPARATORS, MENU, BOILERPLATE, SENTENCE_END))
+MENU_SEPARATORS = "[|»›•·]"
+# lower-cased openings of menu lines and phrases of boilerplate lines, by language
+MENU = {
+    "en": ("home", "menu", "login", "log in", "logout", "sign in", "sign up", "register", "search", "next", "previous",
+           "back to top", "skip to", "share", "tweet", "print", "read more", "click here", "contact us", "about us",
+           "site map", "sitemap", "follow us"),
+    "de": ("startseite", "menü", "anmelden", "abmelden", "registrieren", "nach oben", "zum inhalt", "teilen", "drucken",
+           "mehr lesen", "weiterlesen", "hier klicken", "kontakt", "impressum", "über uns", "folgen sie uns"),
+    "fr": ("accueil", "connexion", "se connecter", "déconnexion", "s'inscrire", "rechercher", "haut de page",
+           "aller au contenu", "partager", "imprimer", "lire la suite", "cliquez ici", "contactez-nous",
+           "nous contacter", "plan du site", "suivez-nous"),
+    "es": ("inicio", "menú", "iniciar sesión", "cerrar sesión", "registrarse", "buscar", "volver arriba",
+           "ir al contenido", "compartir", "imprimir", "leer más", "haga clic aquí", "contáctenos", "quiénes somos",
+           "mapa del sitio", "síguenos"),
+}
+BOILERPLATE = {
+    "en": ("all rights reserved", "copyright", "©", "cookie", "privacy policy", "terms of use", "terms of service",
+           "subscribe to", "newsletter", "unsubscribe", "enable javascript", "powered by", "licensed under",
+           "released under the", "lorem ipsum"),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "allgemeine geschäftsbedingungen",
+           "jetzt abonnieren", "abonnieren sie", "javascript aktivieren", "javascript zu aktivieren", "lizenziert unter"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d'utilisation",
+           "conditions générales d'utilisation", "mentions légales", "abonnez-vous", "se désabonner", "désinscrivez-vous",
+           "activer javascript", "activez javascript", "propulsé par", "publié sous licence"),
+    "es": ("todos los derechos reservados", "política de privacidad", "condiciones de uso", "términos de uso",
+           "aviso legal", "suscríbete", "suscríbase", "darse de baja", "activar javascript", "active javascript",
+           "con la tecnología de", "publicado bajo licencia"),
+}
+SENTENCE_END = (r"""[.!?:;…"'”’»)\]"""     # Latin
+                "؟۔؛։।॥።፧፨។။"             # Arabic, Armenian, Indic, Ethiopic, Khmer, Burmese
+                "。．｡！？：；」』）】》〉"   # CJK
+                "ก-๛ກ-ໟༀ-࿿]$")             # Thai, Lao, Tibetan: any character of the script
+
+_PHRASES = tuple(p for language in BOILERPLATE.values() for p in language)
+_MENU_SEPARATORS, _END = re.compile(MENU_SEPARATORS), re.compile(SENTENCE_END)
+_MENU = re.compile("[^a-zà-ÿ]*(%s)($|[^a-zà-ÿ])" % "|".join(
+    re.escape(w) for w in dict.fromkeys(w for language in MENU.values() for w in language)))
 RULES = ("symbols", "navigation", "boilerplate", "repeated", "punctuation")
 
 
-def failing_rule(line: str, words: list[str], seen: set[str]) -> str | None:
-    chars = sum(map(len, words))
-    if 10 * sum(map(line.count, SYMBOLS)) > chars:
+_split = re.compile(f"[^{BLANKS}]+").findall
+
+
+def failing_rule(line: str, lower: str, words: list[str], phrases: list[str]) -> str | None:
+    """The first of the three rules on what a line says that it fails."""
+    if 10 * sum(map(line.count, SYMBOLS)) > sum(map(len, words)):
         return "symbols"
-    if (len(words) <= MENU_WORDS and _MENU.search(line)) or len(_MENU_SEPARATORS.findall(line)) >= 2:
+    if (len(words) <= MENU_WORDS and _MENU.match(lower)) or len(_MENU_SEPARATORS.findall(line)) >= 2:
         return "navigation"
-    if _BOILERPLATE.search(line):
+    if any(p in lower for p in phrases):
         return "boilerplate"
-    if line in seen:
-        return "repeated"
-    if not _END.search(line.rstrip(BLANKS)):
-        return "punctuation"
     return None
 
 
-_split = re.compile(f"[^{BLANKS}]+").findall
-
-
 def clean(text: str) -> tuple[str, int, int, int, list[int]]:
     """Kept text, word characters, those removed, duplicate lines, lines removed by rule."""
+    lines, lower = text.split("\n"), text.lower()
+    phrases = [p for p in _PHRASES if p in lower]
+    words = [_split(line) for line in lines]
+    sizes = [sum(map(len, w)) for w in words]
+    rules = [failing_rule(line, low, w, phrases) if w else None for line, low, w in zip(lines, lower.split("\n"), words)]
+    # from the last line up: whether a sentence ends here or in the lines directly below
+    ends, below = [False] * len(lines), False
+    for i in range(len(lines) - 1, -1, -1):
+        below = bool(words[i]) and rules[i] is None and (
+            _END.search(lines[i].rstrip(BLANKS)) is not None or (below and sizes[i] >= WRAPPED))
+        ends[i] = below
     seen: set[str] = set()
-    kept, chars, lost, repeats, by_rule = [], 0, 0, 0, [0] * len(RULES)
-    for line in text.split("\n"):
-        words = _split(line)
-        if not words:
+    kept, lost, repeats, by_rule = [], 0, 0, [0] * len(RULES)
+    for line, n, rule, end in zip(lines, sizes, rules, ends):
+        if not n:
             kept.append(line)
             continue
-        n = sum(map(len, words))
-        chars += n
-        rule = failing_rule(line, words, seen)
-        repeats += line in seen
+        again = line in seen
         seen.add(line)
+        repeats += again
+        rule = rule or ("repeated" if again else None if end else "punctuation")
         if rule is None:
             kept.append(line)
         else:
             lost += n if rule != "repeated" else 0  # its text still stands once
             by_rule[RULES.index(rule)] += 1
-    return "\n".join(kept), chars, lost, repeats, by_rule
+    return "\n".join(kept), sum(sizes), lost, repeats, by_rule
 
 
 def repeated_words(words: Words) -> np.ndarray:
@@ -145,21 +187,42 @@ def judge(docs: DataFrame) -> DataFrame:
     return out.select(*(F.col(i).alias(c) for i, c in zip(inner, columns)), *result.names)
 
 
-def _sql(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
+# the rules once more, written for SQL
 _ORACLE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (SELECT doc_id, i, string_split(t, chr(10))[i] AS line FROM d, unnest(range(1, len(string_split(t, chr(10))) + 1)) u(i)),
-m AS (
-  SELECT *, len(array_to_string(lw, '')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup
-  FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM l) WHERE len(lw) > 0),
+w AS (
+  SELECT *, len(array_to_string(lw, '')) AS chars, lower(line) AS low
+  FROM (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM l)),
+f AS (
+  SELECT *, 10 * len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > chars
+      OR len(regexp_extract_all(line, '[|»›•·]')) >= 2
+      OR (len(lw) <= {MENU_WORDS} AND regexp_matches(low, '^[^a-zà-ÿ]*('
+        || 'home|menu|login|log in|logout|sign in|sign up|register|search|next|previous|back to top|skip to|share|tweet|print|'
+        || 'read more|click here|contact us|about us|site map|sitemap|follow us|'
+        || 'startseite|menü|anmelden|abmelden|registrieren|nach oben|zum inhalt|teilen|drucken|mehr lesen|weiterlesen|'
+        || 'hier klicken|kontakt|impressum|über uns|folgen sie uns|'
+        || 'accueil|connexion|se connecter|déconnexion|s''inscrire|rechercher|haut de page|aller au contenu|partager|imprimer|'
+        || 'lire la suite|cliquez ici|contactez-nous|nous contacter|plan du site|suivez-nous|'
+        || 'inicio|menú|iniciar sesión|cerrar sesión|registrarse|buscar|volver arriba|ir al contenido|compartir|leer más|'
+        || 'haga clic aquí|contáctenos|quiénes somos|mapa del sitio|síguenos)($|[^a-zà-ÿ])'))
+      OR regexp_matches(low, 'all rights reserved|copyright|©|cookie|privacy policy|terms of (use|service)|subscribe to|'
+        || 'newsletter|unsubscribe|enable javascript|powered by|licensed under|released under the|lorem ipsum|'
+        || 'alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|'
+        || 'jetzt abonnieren|abonnieren sie|javascript (zu )?aktivieren|lizenziert unter|'
+        || 'tous droits réservés|politique de confidentialité|conditions (générales )?d''utilisation|mentions légales|'
+        || 'abonnez-vous|se désabonner|désinscrivez-vous|active[rz] javascript|propulsé par|publié sous licence|'
+        || 'todos los derechos reservados|política de privacidad|(condiciones|términos) de uso|aviso legal|'
+        || 'suscr(íbete|íbase)|darse de baja|activ(ar|e) javascript|con la tecnología de|publicado bajo licencia') AS bad,
+    regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''),
+      '[.!?:;…"''”’»)\]؟۔؛։।॥።፧፨។။。．｡！？：；」』）】》〉ก-๛ກ-ໟༀ-࿿]$') AS mark
+  FROM w),
+e AS (  -- the first line from here on that cannot go on in the next: does a sentence end in it?
+  SELECT *, coalesce(min(CASE WHEN len(lw) = 0 OR bad OR mark OR chars < {WRAPPED} THEN 2 * i + CASE WHEN len(lw) > 0 AND NOT bad AND mark THEN 1 ELSE 0 END END)
+    OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) % 2, 0) = 1 AS ends FROM f),
 j AS (
-  SELECT *, (10 * len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > chars
-    OR (len(lw) <= {MENU_WORDS} AND regexp_matches(line, {_sql(MENU)})) OR len(regexp_extract_all(line, {_sql(MENU_SEPARATORS)})) >= 2
-    OR regexp_matches(line, {_sql(BOILERPLATE)}))
-    OR (NOT dup AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), {_sql(SENTENCE_END)})) AS gone FROM m),
+  SELECT *, bad OR (NOT dup AND NOT ends) AS gone
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup FROM e WHERE len(lw) > 0)),
 s AS (SELECT doc_id, sum(chars) AS chars, sum(CASE WHEN gone THEN chars ELSE 0 END) AS lost, count(*) FILTER (dup) AS dups FROM j GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - 1, 1))) u(i)),
 r AS (

@@ -1,6 +1,10 @@
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
+import regex
+
 from riskfold.llm import line_clean as L
 from riskfold.llm.words import documents
 from conftest import SF_SMALL
@@ -60,3 +64,49 @@ def test_every_rule_and_the_document_verdict(spark):
     assert not out[3].kept and not out[3].base_failed and out[3].kept_text == ""
     assert out[None].kept
     assert L.judge(df.limit(0)).count() == 0
+
+
+PROSE = {  # wrapped lines, marks of their own, none where the script has none
+    "en": "The river had risen for several days before\nanyone in the village thought of moving the\ncattle to the higher ground beyond the mill.",
+    "de": "Der Fluss war schon seit einigen Tagen gestiegen,\nbevor jemand im Dorf daran dachte, das Vieh auf die\nhöher gelegene Weide hinter der Mühle zu bringen.",
+    "zh": "河水已经上涨了好几天。\n村里没有人想到要把牛群赶到高处去。\n后来大家都走了！",
+    "hi": "नदी कई दिनों से बढ़ रही थी।\nगाँव में किसी ने नहीं सोचा था।",
+    "ar": "ارتفع النهر منذ عدة أيام.\nهل فكر أحد في القرية؟",
+    "th": "แม่น้ำเพิ่มขึ้นหลายวันแล้ว\nไม่มีใครในหมู่บ้านคิด",
+    "am": "ወንዙ ለብዙ ቀናት ከፍ ብሏል።",
+}
+BOILER = ["Tous droits réservés.", "Abonnez-vous à notre lettre.", "Alle Rechte vorbehalten.", "JETZT ABONNIEREN!",
+          "Todos los derechos reservados.", "Consulte nuestra política de privacidad.", "We use COOKIES.", "Mentions légales."]
+MENUS = ["Startseite :", "Über uns!", "Accueil »", "Plan du site.", "Quiénes somos?", "Síguenos: a b c.", "Sign in…", "MENÜ:"]
+PLAIN = ["Homely houses stood there.", "Kontaktlos zahlte er.", "Menús del día había muchos.", "Partagerons-nous le pain ?", "Énext stood there."]
+
+
+def test_scripts_wrapped_prose_and_four_languages():
+    for name, text in PROSE.items():
+        assert L.clean(text)[0] == text and L.clean(text)[2] == 0, name
+    for line in BOILER:
+        assert L.clean(line)[4][2] == 1, line
+    for line in MENUS:
+        assert L.clean(line)[4][1] == 1, line
+    for line in PLAIN:
+        assert L.clean(line)[0] == line, line
+    open_line = "this line has enough characters to be a wrapped one"
+    for text, left in ((f"{open_line}\nand ends here.", 2), (f"{open_line}\n\nand ends here.", 1), (f"{open_line}\nshort one\nand ends here.", 1),
+                       (f"{open_line}\nAll rights reserved.", 0), (f"{open_line}\n{open_line}", 0), (f"{open_line}\n{open_line} too\nend.\n", 3)):
+        assert sum(map(bool, L.clean(text)[0].split("\n"))) == left, text
+    # every mark of the list ends a sentence, closes a quotation or a part of one
+    assert all(regex.match(r"[\p{STerm}\p{Pe}\p{Pf}\p{Po}]", c) for c in L.SENTENCE_END[1:L.SENTENCE_END.index("ก")] if c != "\\")
+
+
+def test_oracle_on_odd_lines(spark):
+    """The oracle holds the rules in its own words."""
+    words = " ".join(f"w{i}" for i in range(60)) + "."
+    lines = [*PROSE.values(), *BOILER, *MENUS, *PLAIN, "a | b | c", "### *** $$$", "open line of more than thirty characters", "short", "", " \t", words]
+    docs = [(i, "\n".join(lines[(i * 7 + k * (1 + i % 5)) % len(lines)] for k in range(i % 11))) for i in range(300)]
+    docs += [(1000, None), (1001, ""), (1002, words + "\n" + "\n".join(lines) * 3)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars"]
+    expected = con.sql(f"SELECT {', '.join(names)} FROM ({L._ORACLE})").fetchall()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, L.judge(df).select(*names).collect())) == sorted(expected)
