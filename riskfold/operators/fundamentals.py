@@ -123,6 +123,17 @@ def backfill(refreshed: DataFrame, stored: DataFrame, key: str = "Ticker") -> Da
     return keep_first(u, key, ["_src", "_o"]).drop("_src", "_o")
 
 
+def override_stored(live: DataFrame, stored: DataFrame, key: str = "Ticker") -> DataFrame:
+    """Per key and column the newer value, else the stored one; keys of
+    either side stay.  Each side has a key at most once, so one union and one
+    aggregation (the key's single non-null value of each side) do the join."""
+    columns = [c for c in live.columns if c != key]
+    both = live.select(key, F.struct(*columns).alias("_live")).unionByName(
+        stored.select(key, F.struct(*columns).alias("_stored")), allowMissingColumns=True)
+    one = both.groupBy(key).agg(F.any_value("_live", F.lit(True)).alias("_live"), F.any_value("_stored", F.lit(True)).alias("_stored"))
+    return one.select(key, *[F.coalesce(F.col("_live").getField(c), F.col("_stored").getField(c)).alias(c) for c in columns])
+
+
 def field_map(snapshot: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """P13 + P14: rename-map projection of a snapshot record; nested
     (object / list) values become null."""

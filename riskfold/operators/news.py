@@ -123,6 +123,17 @@ def recent_per_ticker(articles: DataFrame, n: int = 3, ticker: str = "ticker") -
     return a.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def live_or_stored(live: DataFrame, stored: DataFrame, order: str, n: int = 3, ticker: str = "ticker") -> DataFrame:
+    """Per ticker the first ``n`` live items with a headline, in feed
+    order; tickers without any get their latest ``n`` stored articles."""
+    w = Window.partitionBy(ticker).orderBy(order)
+    now = (live.where(~X.is_blank("headline")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+           .withColumn("origin", F.lit("live")))
+    rest = recent_per_ticker(stored, n, ticker).join(now.select(ticker).distinct(), ticker, "left_anti").withColumn("origin", F.lit("stored"))
+    columns = [ticker, "headline", "origin", "rank"]
+    return now.select(*columns).unionByName(rest.select(*columns))
+
+
 def index_candidates(articles: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """P5 + P6: summarised and (undated or recent) articles."""
     return articles.where(~X.is_blank("summary") &

@@ -151,6 +151,23 @@ def remove_positions(current: DataFrame, removals: DataFrame, pid: str = "portfo
     return current.join(removals.select(pid, "ticker"), [pid, "ticker"], "left_anti")
 
 
+def edit_positions(current: DataFrame, changes: DataFrame, removals: DataFrame, pid: str = "portfolio_id") -> DataFrame:
+    """N4 + N5 in one pass: changes replace or add, removals drop (a position
+    in both goes).  Each of the three holds a position at most once; one
+    aggregation by (portfolio, ticker) takes the place of two anti-joins."""
+    rows = (current.select(pid, "ticker", "quantity", F.lit(0).alias("_edit"))
+            .unionByName(changes.select(pid, "ticker", "quantity", F.lit(1).alias("_edit")))
+            .unionByName(removals.select(pid, "ticker", F.lit(None).cast("double").alias("quantity"), F.lit(2).alias("_edit"))))
+
+    def of(edit):
+        return F.max(F.when(F.col("_edit") == edit, F.col("quantity")))
+
+    last = rows.groupBy(pid, "ticker").agg(of(0).alias("_old"), of(1).alias("_new"), F.max("_edit").alias("_edit"))
+    return last.where(F.col("_edit") < 2).select(
+        pid, "ticker", F.when(F.col("_edit") == 1, F.col("_new")).otherwise(F.col("_old"))
+        .cast(current.schema["quantity"].dataType).alias("quantity"))
+
+
 def named_portfolios(docs: DataFrame, col: str = "doc", pid: str = "investor") -> DataFrame:
     """``{"<investor>": {"<ticker>": weight, ...}, ...}`` documents ->
     long rows (investor, ticker, weight) with two explodes."""

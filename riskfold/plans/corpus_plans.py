@@ -484,3 +484,76 @@ def q_dashboard(spark, sf):
     return score.select(u.select(F.count("*")).scalar().alias("ticker_count"),
                         u.select(F.countDistinct("sector")).scalar().alias("n_sectors"), tops.alias("top_volatile"),
                         F.col("portfolio_id").alias("default_portfolio"), F.col("srisk").alias("default_srisk"))
+
+
+@register("q_start_page", sql=PP._SCORE_CTES + f""",
+opt AS (SELECT {S.SYMBOL.format('ticker')} AS name, sector AS label FROM universe
+        UNION SELECT {S.SYMBOL.format('s_suppkey')}, coalesce(n_name, 'Unknown') FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey),
+t AS (SELECT ticker, sector, sigma FROM universe ORDER BY sigma DESC, ticker LIMIT 12)
+SELECT 'option' AS part, name, label, CAST(NULL AS DOUBLE) AS value FROM opt
+UNION ALL SELECT 'count', 'tickers', NULL, CAST((SELECT count(*) FROM universe) AS DOUBLE)
+UNION ALL SELECT 'top', {S.SYMBOL.format('ticker')}, sector, round(sigma, 4) FROM t
+UNION ALL SELECT 'default', CAST(portfolio_id AS VARCHAR),
+       CASE WHEN nm > 0 THEN CASE WHEN score < 0.33 THEN 'SAFE' WHEN score < 0.66 THEN 'NEUTRAL' ELSE 'AGGRESSIVE' END END,
+       CASE WHEN nm > 0 THEN round(score, 4) + 0.0 END FROM s WHERE portfolio_id = (SELECT min(portfolio_id) FROM s)
+UNION ALL SELECT 'investor', c.c_name,
+       CASE WHEN nm > 0 THEN CASE WHEN score < 0.33 THEN 'SAFE' WHEN score < 0.66 THEN 'NEUTRAL' ELSE 'AGGRESSIVE' END END,
+       CASE WHEN nm > 0 THEN round(score, 4) + 0.0 END FROM s JOIN customer c ON c.c_custkey = s.portfolio_id""")
+def q_start_page(spark, sf):
+    """R14 (T1 T5 A18 R8 S4): rows of the start page: options of both universes,
+    ticker count, the 12 most volatile securities, the result of the default
+    portfolio, and the investor scores that an earlier scoring run stored as
+    CSV."""
+    import uuid
+    from riskfold.session import checkpoint_dir
+    from riskfold.sources import files
+    w, u = PP.weights_and_universe(spark, sf)
+    u = cut_lineage(u)
+    scores = cut_lineage(risk.score_portfolios(w, u).select("portfolio_id", "category", "srisk"))
+    path = f"{checkpoint_dir(spark)}/tables/scores-{uuid.uuid4().hex[:12]}"
+    names = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("portfolio_id"), F.col("c_name").alias("investor"))
+    files.write_csv(scores.join(names, "portfolio_id").select("investor", "category", "srisk"), path)
+
+    def part(df, name, key, label, value):
+        return df.select(F.lit(name).alias("part"), key.cast("string").alias("name"), label.cast("string").alias("label"),
+                         value.cast("double").alias("value"))
+
+    none = F.lit(None)
+    symbol = B.symbol(F.col("ticker"))
+    options = (u.select("ticker", "sector").unionByName(
+        B.sectors(spark, sf).select("ticker", F.coalesce("sector", F.lit("Unknown")).alias("sector"))).distinct())
+    first = scores.select(F.min("portfolio_id")).scalar()
+    parts = [part(options, "option", symbol, F.col("sector"), none),
+             part(u.agg(F.count("*").alias("n")), "count", F.lit("tickers"), none, F.col("n")),
+             part(risk.top_by(u, "sigma", 12), "top", symbol, F.col("sector"), F.col("sigma")),
+             part(scores.where(F.col("portfolio_id") == first), "default", F.col("portfolio_id"), F.col("category"), F.col("srisk")),
+             part(files.load_scores(spark, path), "investor", F.col("investor"), F.col("category"), F.col("srisk"))]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@register("q_report_fundamentals", sql=f"""
+WITH {FP._AGG}
+SELECT coalesce(f."Ticker", translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ')) AS "Ticker",
+       coalesce(f."Sector", CASE WHEN s_suppkey IS NOT NULL THEN 'stored' END) AS "Sector",
+       coalesce(f."Industry", CASE WHEN s_suppkey IS NOT NULL THEN 'stored' END) AS "Industry",
+       round(coalesce(f."Revenue (ttm)", s_acctbal), 6) AS revenue
+FROM (SELECT * FROM fund WHERE NOT neg) f
+FULL JOIN supplier ON translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') = f."Ticker"
+""")
+def q_report_fundamentals(spark, sf):
+    """J11 (S3 M4): fundamentals of the reports: the records of this run over
+    the stored CSV of an earlier one, column by column; tickers of either."""
+    import uuid
+    from riskfold.session import checkpoint_dir
+    from riskfold.sources import files
+    earlier = read_table(spark, sf, "supplier").select(
+        F.lower(B.symbol("s_suppkey")).alias("Ticker"), F.lit("stored").alias("Sector"), F.lit("stored").alias("Industry"),
+        F.col("s_acctbal").alias("Revenue (ttm)"))
+    path = f"{checkpoint_dir(spark)}/tables/earlier-{uuid.uuid4().hex[:12]}"
+    files.write_csv(schemas.conform(earlier, schemas.FUNDAMENTALS_SCHEMA), path)
+    stored = schemas.conform(files.load_fundamentals(spark, path), schemas.FUNDAMENTALS_SCHEMA)
+    both = FU.override_stored(fundamentals(spark, sf, small_side=False), stored)
+    return both.select("Ticker", "Sector", "Industry", F.round(F.col("`Revenue (ttm)`"), 6).alias("revenue"))

@@ -141,12 +141,16 @@ def q_index_candidates(spark, sf):
     return news.index_candidates(B.articles(spark, sf), B.AS_OF, 30).select("id", "ticker")
 
 
+LIVE_DAYS = 2
+
+
 @register("q_news_fallback", sql=f"""
 WITH {S.ARTICLES}, {S.PREP},
-live AS (SELECT ticker, headline, 'live' AS origin FROM (
+live AS (SELECT ticker, headline, 'live' AS origin, k AS rank FROM (
            SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY src_order) AS k FROM prep
-           WHERE lang = 'fr' AND length(trim(headline)) > 0) WHERE k <= 3),
-stored AS (SELECT ticker, headline, 'stored' AS origin FROM (
+           WHERE pubdate >= TIMESTAMP '{B.AS_OF}' - INTERVAL {LIVE_DAYS} DAY AND pubdate <= TIMESTAMP '{B.AS_OF}'
+             AND length(trim(headline)) > 0) WHERE k <= 3),
+stored AS (SELECT ticker, headline, 'stored' AS origin, k AS rank FROM (
            SELECT *, row_number() OVER (PARTITION BY ticker
                 ORDER BY coalesce(strftime(pubdate, '%Y-%m-%d %H:%M:%S'), id) DESC, id DESC) AS k
            FROM arts WHERE summary IS NOT NULL AND length(trim(summary)) > 0) WHERE k <= 3)
@@ -154,18 +158,11 @@ SELECT * FROM live
 UNION ALL
 SELECT * FROM stored WHERE ticker NOT IN (SELECT ticker FROM live)""")
 def q_news_fallback(spark, sf):
-    """Per ticker, the live feed items when there are any, else the
-    stored articles."""
-    p = _with_lang(spark, sf)
-    lw = news.Window.partitionBy("ticker").orderBy("src_order")
-    live = (p.where((F.col("lang") == "fr") & ~X.is_blank("headline"))
-            .withColumn("k", F.row_number().over(lw)).where("k <= 3")
-            .select("ticker", "headline", F.lit("live").alias("origin")))
-    a = B.articles(spark, sf)
-    w = news.Window.partitionBy("ticker").orderBy(news.sort_key_recent().desc(), F.col("id").desc())
-    stored = (a.where(~X.is_blank("summary")).withColumn("k", F.row_number().over(w)).where("k <= 3")
-              .select("ticker", "headline", F.lit("stored").alias("origin")))
-    return live.unionByName(stored.join(live.select("ticker").distinct(), "ticker", "left_anti"))
+    """Per ticker, the live items (landed news of every language published
+    in the last LIVE_DAYS days) when there are any, else the stored articles."""
+    landed = news.preprocess(B.raw_news(spark, sf), order="Doc Id")
+    live = landed.where(F.col("pubdate").between(D.cutoff(B.AS_OF, LIVE_DAYS), F.lit(B.AS_OF).cast("timestamp_ntz")))
+    return news.live_or_stored(live, B.articles(spark, sf), "src_order")
 
 
 @register("q_preview", sql=f"""

@@ -375,12 +375,12 @@ WHERE (portfolio_id, ticker) NOT IN (SELECT (portfolio_id, ticker) FROM rm)""")
 def q_position_upsert(spark, sf):
     """N4 + N5: double each portfolio's highest-key position (upsert) and
     remove its lowest-key one."""
-    pos = cut_lineage(B.positions(spark, sf))   # one row per (portfolio, security), read three times
-    ends = pos.groupBy("portfolio_id").agg(F.max_by(F.struct("ticker", "quantity"), "ticker").alias("hi"),
+    pos = cut_lineage(B.positions(spark, sf))   # one row per (portfolio, security), read twice
+    ends = pos.groupBy("portfolio_id").agg(F.max("ticker").alias("hi"), F.max_by("quantity", "ticker").alias("q"),
                                            F.min("ticker").alias("lo"))
-    ch = ends.select("portfolio_id", F.col("hi.ticker").alias("ticker"), (F.col("hi.quantity") * 2).alias("quantity"))
+    ch = ends.select("portfolio_id", F.col("hi").alias("ticker"), (F.col("q") * 2).alias("quantity"))
     rm = ends.select("portfolio_id", F.col("lo").alias("ticker"))
-    return portfolio.remove_positions(portfolio.upsert_positions(pos, ch), rm)
+    return portfolio.edit_positions(pos, ch, rm)
 
 
 @register("q_named_portfolios", sql=_SCORE_CTES + """

@@ -16,6 +16,7 @@ S = T.StringType()
 UNIVERSE_SCHEMA = T.StructType([T.StructField("ticker", S), T.StructField("sector", S),
                                 T.StructField("sigma", D), T.StructField("mdd", D), T.StructField("beta", D)])
 
+SCORE_SCHEMA = T.StructType([T.StructField("investor", S), T.StructField("category", S), T.StructField("srisk", T.DoubleType())])
 ARTICLE_SCHEMA = T.StructType([T.StructField("id", S), T.StructField("headline", S), T.StructField("ticker", S),
                                T.StructField("pubdate", T.TimestampNTZType()), T.StructField("summary", S)])
 

@@ -68,6 +68,13 @@ def load_fundamentals(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("Ticker", F.upper("Ticker"))
 
 
+def load_scores(spark: SparkSession, path: str) -> DataFrame:
+    """Optional CSV of stored investor scores (empty typed frame when
+    absent); a score that is no number is null."""
+    df = read_csv(spark, path, schemas.SCORE_SCHEMA)
+    return df.select("investor", "category", F.col("srisk").try_cast("double").alias("srisk"))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """K7: JSON lines, non-ASCII kept as is."""
     df.write.mode("overwrite").json(path)
