@@ -55,7 +55,7 @@ LOOSE = {
                         r"|[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{2,63}){1,4}", re.I),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{4}[ .-]){3}[0-9]{2,7}(?![0-9])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:00 ?[1-9][0-9]{0,2}|\(?0?[1-9][0-9]{1,3}\)?)[ ./-]?[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
+    "phone": re.compile(r"(?<![0-9A-Za-z.+-])(?:00 ?[1-9][0-9]{0,2}(?:[ ./-][0-9](?=[ ./-]))?|\(?0?[1-9][0-9]{1,3}\)?)[ ./-]?[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
 }
 TOP_DOMAINS = frozenset("com org net edu gov info io de fr es it uk eu us ca ch at nl be pl ru jp cn in br au".split())
 COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "90", "91")
@@ -140,7 +140,10 @@ def votes(kind: str, text: str, start: int, end: int, strict: bool) -> tuple[int
         checksum = YES if 14 <= len(digits) <= 19 and luhn(digits) else NO
     else:
         code = digits[2:] if span.startswith("00") else digits if span.startswith("+") else None
-        gazetteer = NOTHING if code is None else YES if code.startswith(COUNTRY_CODES) else NO
+        if code is not None:
+            gazetteer = YES if code.startswith(COUNTRY_CODES) else NO
+        else:  # a number of the same country opens with a trunk 0 or an area code in brackets
+            gazetteer = NOTHING if span.startswith(("0", "(")) else NO
         checksum = YES if 10 <= len(digits) <= 15 else NO
     context = NO if AGAINST.search(before) else YES if FOR[kind].search(before) else NOTHING
     return YES if strict else NOTHING, gazetteer, context, checksum
