@@ -26,11 +26,6 @@ def round_money(c, digits: int = 2) -> Column:
     return F.round(_c(c).cast("decimal(38,6)"), digits).cast("double")
 
 
-def nan_to_null(c) -> Column:
-    c = _c(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
 def ratio_scale(c, limit: float = 3.0) -> Column:
     """M2: a ratio whose magnitude exceeds ``limit`` is taken as a percent."""
     c = _c(c).cast("double")

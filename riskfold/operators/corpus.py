@@ -90,6 +90,7 @@ SHAREHOLDER_WORDS = ("dividend", "buyback", "shareholder")
 GREEN_WORDS = ("climate", "sustainability", "green", "esg")
 
 
+# The sentences below.
 def financial_paragraph() -> Column:
     """Up to 14 conditional sentences, newline-joined."""
     g, d, cr = c("Quarterly Earnings Growth (yoy)"), c("Total Debt/Equity (mrq)"), c("Current Ratio (mrq)")
@@ -155,6 +156,7 @@ def news_paragraph(text: Column, lowered: Column | None = None) -> Column:
     return F.when(X.is_blank(text), F.lit("No major news reported recently.")).otherwise(F.array_join(body, " "))
 
 
+# The sentences below.
 def outlook_paragraph() -> Column:
     """R3 + N2: positives / negatives lists -> sentences + closing sentence."""
     pos = F.array_compact(F.array(
@@ -317,6 +319,7 @@ def user_prompt(style: Column, company: Column, news: Column) -> Column:
 
 
 # ------------------------------------------------------- summary queue --
+# Fixed value: the prompt of the summary model.
 SUMMARY_PROMPT = """You are an expert financial analyst focused on %s.
 News:
 %s

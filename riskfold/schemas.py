@@ -20,8 +20,6 @@ SCORE_SCHEMA = T.StructType([T.StructField("investor", S), T.StructField("catego
 ARTICLE_SCHEMA = T.StructType([T.StructField("id", S), T.StructField("headline", S), T.StructField("ticker", S),
                                T.StructField("pubdate", T.TimestampNTZType()), T.StructField("summary", S)])
 
-INDEX_SCHEMA = T.StructType([T.StructField("id", S), T.StructField("ivect", T.ArrayType(T.FloatType()))])
-
 LINK_SCHEMA = T.StructType([T.StructField(c, S) for c in
                             ("ticker", "link", "headline", "pubdate", "related_tickers", "article")])
 
@@ -93,10 +91,6 @@ def intersect_columns(df: DataFrame, target_cols) -> DataFrame:
     return df.select(*[c for c in df.columns if c in set(target_cols)])
 
 
-def empty_like(spark, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
-
-
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
     """Raise when a result is empty (one cheap ``isEmpty`` probe)."""
     if df.isEmpty():

@@ -12,12 +12,11 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Joins against these tables are always safe to broadcast: their row count is
+# Explicit broadcasts are for tables whose row count is
 # fixed by the domain (calendar months, nations, regions, parameter lists), not
 # by the volume of the fact tables.  Everything else is left to AQE, which
 # switches a sort-merge join to a broadcast join only after it has *measured*
 # the real shuffle size of the small side (spark.sql.adaptive.autoBroadcastJoinThreshold).
-BOUNDED_TABLES = ("region", "nation")
 
 
 def build_session(master: str | None = None, app: str = "riskfold",

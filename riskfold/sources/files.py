@@ -32,12 +32,13 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """CSV with a default schema when missing; a BOM on the first column
-    name is tolerated; quoted multi-line fields are supported."""
+    name is tolerated.  ``multi_line``: fields may hold quoted line breaks; a
+    file is then one task, else large files are split."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    raw = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
            .option("escape", '"').option("encoding", "UTF-8").csv(path))
     raw = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
     return schemas.conform(raw, T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]))

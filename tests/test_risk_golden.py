@@ -1,8 +1,10 @@
 """Golden values recorded by the reference (typed in as literals)."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from riskfold.operators import risk
+from riskfold.operators import portfolio, risk
 
 # Universe quartiles (q1, median, q3) of the reference's 515-row universe.
 Q_SIGMA = (0.2329415, 0.282703, 0.349729)
@@ -44,6 +46,51 @@ def test_recorded_single_result(spark):
     assert row.cat == "AGGRESSIVE"
 
 
+# Further rows of that universe, named portfolios and the results recorded for them.
+MORE = [("CMG", "Consumer Discretionary", 0.323219, -0.586803, 0.914716),
+        ("COIN", "Financials", 0.837425, -0.615873, 2.610449),
+        ("GOOG", "Communication Services", 0.303522, -0.301735, 1.201491),
+        ("HLT", "Consumer Discretionary", 0.226291, -0.270296, 0.943766),
+        ("KO", "Consumer Staples", 0.148469, -0.176091, 0.190839),
+        ("LMT", "Industrials", 0.210673, -0.341258, 0.191596),
+        ("LOW", "Consumer Discretionary", 0.23996, -0.262921, 0.830639),
+        ("META", "Communication Services", 0.385677, -0.360499, 1.542003),
+        ("OXY", "Energy", 0.303491, -0.547737, 0.847956),
+        ("PLTR", "Information Technology", 0.653981, -0.439165, 2.248157),
+        ("SHOP", "Unknown", 0.576112, -0.463223, 2.275902),
+        ("XOM", "Energy", 0.23144, -0.202968, 0.505209)]
+INVESTORS = {
+    "Cathie Wood": {"TSLA": 0.10, "NVDA": 0.06, "ROKU": 0.05, "PATH": 0.05, "CRSP": 0.05, "SQ": 0.04, "SHOP": 0.04, "COIN": 0.05,
+                    "TDOC": 0.04, "PLTR": 0.03},
+    "George Soros": {"SPY": 0.15, "TLT": 0.10, "AAPL": 0.08, "MSFT": 0.07, "NVDA": 0.05, "GOOG": 0.05, "AMZN": 0.05, "GLD": 0.10,
+                     "META": 0.05, "BABA": 0.10},
+    "Michael Burry": {"XLE": 0.15, "XLF": 0.10, "TSLA": 0.05, "SPY": 0.20, "GLD": 0.10, "XLB": 0.10, "TLT": 0.10, "XLP": 0.10, "OXY": 0.10},
+    "Bill Ackman": {"CMG": 0.15, "HLT": 0.15, "QSR": 0.15, "LMT": 0.10, "LOW": 0.10, "SPY": 0.10, "GOOG": 0.10, "HHC": 0.15},
+    "Ray Dalio": {"SPY": 0.20, "GLD": 0.10, "XOM": 0.10, "BABA": 0.05, "TLT": 0.10, "KO": 0.05, "VWO": 0.10, "FXI": 0.05, "IVV": 0.10,
+                  "XLK": 0.15},
+}
+RECORDED = [("Cathie Wood", 1.3073, "AGGRESSIVE", 0.6314, -0.5171, 2.2991, 0.0935),
+            ("George Soros", 0.3457, "NEUTRAL", 0.3276, -0.3296, 1.4153, 0.255),
+            ("Michael Burry", 0.2751, "SAFE", 0.4078, -0.5572, 1.3128, 0.735),
+            ("Bill Ackman", -0.0756, "SAFE", 0.2631, -0.3653, 0.8352, 0.34),
+            ("Ray Dalio", -0.1819, "SAFE", 0.2038, -0.194, 0.4004, 0.735)]
+
+
+def test_recorded_investors(spark):
+    """S15 -> A14: five of the named portfolios, from their JSON document to the
+    recorded results; most tickers of some are not in the universe."""
+    u = spark.createDataFrame(UNIVERSE + MORE, "ticker string, sector string, sigma double, mdd double, beta double")
+    docs = spark.createDataFrame([(json.dumps(INVESTORS),)], "doc string")
+    scored = risk.score_portfolios(portfolio.named_portfolios(docs), u, pid="investor", quartiles=_quartiles())
+    rows = {r.investor: r for r in scored.collect()}
+    assert set(rows) == set(INVESTORS)
+    for name, srisk, category, sigma, mdd, beta, hhi in RECORDED:
+        r = rows[name]
+        assert r.category == category
+        for got, want in ((r.srisk, srisk), (r.sigma_p, sigma), (r.mdd_p, mdd), (r.beta_p, beta), (r.hhi, hhi)):
+            assert abs(got - want) < 1.01e-4, (name, got, want)
+
+
 def test_unmatched_tickers_count_in_hhi_and_error_row(spark):
     u = spark.createDataFrame(UNIVERSE, "ticker string, sector string, sigma double, mdd double, beta double")
     w = spark.createDataFrame([(1, "AAPL", 0.5), (1, "ZZZZ", 0.5), (2, "NOPE", 1.0)],
