@@ -73,6 +73,55 @@ def test_planted_secrets_equal_plain_regexes(spark):
     assert S.find_secrets(df.limit(0)).count() == 0
 
 
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def fresh_secret(rng):
+    """(kind, secret) of the rules beside the base ones."""
+    def some(n):
+        return "".join(rng.choice(B62) for _ in range(n))
+    return rng.choice([
+        lambda: ("private_key", f"-----BEGIN {rng.choice(['', 'RSA ', 'EC ', 'OPENSSH '])}PRIVATE KEY-----"),
+        lambda: ("forge_token", f"gh{rng.choice('pousr')}_{some(rng.randrange(36, 60))}"),
+        lambda: ("chat_token", f"xox{rng.choice('abprs')}-{some(12)}-{some(20)}"),
+        lambda: ("signed_token", f"eyJ{some(20)}.{some(60)}.{some(43)}"),
+        lambda: ("payment_key", f"{rng.choice('rs')}k_live_{some(24)}"),
+        lambda: ("map_key", f"AIza{some(35)}"),
+        lambda: ("url_login", f"{rng.choice(['https', 'postgres', 'ftp'])}://user{some(3)}:{some(9)}@")])()
+
+
+def test_added_spans_against_planted_truth(spark):
+    """Every planted secret of the further rules is found where it stands, and
+    look-alikes (too short, cut off, of another family) are left alone."""
+    rng, rows, truth = random.Random(11), [], set()
+    alike = ["ghp_short", "xoxz-1234567890", "eyJonly.one", "sk_test_0123456789abcdefXYZ", "AIzaTooShort", "https://host/path@x", "PRIVATE KEY", "ghx_" + "a" * 40]
+    for i in range(400):
+        text = ""
+        for _ in range(rng.randrange(1, 12)):
+            text += " ".join(rng.choice(["some", "plain", "words", "é語"]) for _ in range(rng.randrange(1, 30))) + " "
+            if rng.random() < 0.4:
+                kind, secret = fresh_secret(rng)
+                truth.add((i, kind, len(text), len(text) + len(secret)))
+                text += secret + " "
+            else:
+                text += rng.choice(alike) + " "
+        rows.append((i, text))
+    out = S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    more = {r.kind for r in S.MORE_RULES}
+    assert {(r.doc_id, *s) for r in out for s in r.spans if s.kind in more} == truth
+    assert {t[1] for t in truth} == more
+
+
+def test_index_prunes_texts(spark):
+    """Rules with mandatory trigrams verify the few texts that hold them all."""
+    texts = [d.text or "" for d in documents(spark, SF_SMALL).collect()]
+    wanted = sorted(set().union(*(S.trigrams(S.trigram_query(r.pattern, r.flags)) for r in S.RULES)))
+    segment = S.Segment(wanted, S.trigram_codes(wanted), [t.encode() for t in texts])
+    share = {r.kind: segment.matching(S.trigram_query(r.pattern, r.flags)).mean() for r in S.RULES}
+    assert share["hex"] == 1.0                     # no mandatory trigram
+    assert all(v < 0.2 for kind, v in share.items() if kind != "hex")
+
+
 def test_query_equals_brute_force(spark):
     got = {r.doc_id: r for r in S.op10_secret_scan(spark, SF_SMALL).collect()}
     total = 0
