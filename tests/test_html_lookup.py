@@ -47,3 +47,12 @@ def test_resolver_prefers_the_exact_symbol(spark):
     typed = spark.createDataFrame([(1, " ab "), (2, "abc"), (3, "bc"), (4, "ener"), (5, "zzz"), (6, ""), (7, None)], "query_id long, query string")
     got = {r.query_id: (r.resolved, r.exact) for r in search.resolve(typed, options).collect()}
     assert got == {1: ("AB", True), 2: ("ABC", True), 3: ("ABC", False), 4: ("ABC", False), 5: (None, False), 6: (None, False), 7: (None, False)}
+
+
+def test_index_keeps_asked_substrings_and_ids_may_repeat(spark):
+    options = spark.createDataFrame([("ABC", "Energy"), ("AB", "Food")], "ticker string, sector string")
+    asked = spark.createDataFrame([("ab",), ("zz",)], "sub string")
+    assert {(r.ticker, r["sub"], r.score) for r in search.substring_index(options, asked=asked).collect()} == {("ABC", "ab", 1), ("AB", "ab", 0)}
+    typed = spark.createDataFrame([(1, "ab"), (2, " "), (3, "bc"), (3, "bc"), (None, "ab")], "query_id long, query string")
+    got = sorted(((r.query_id or 0, r.query, r.resolved, r.exact) for r in search.resolve(typed, options).collect()), key=str)
+    assert got == [(0, "ab", None, False), (1, "ab", "AB", True), (2, " ", None, False)] + [(3, "bc", "ABC", False)] * 4
