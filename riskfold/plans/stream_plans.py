@@ -1,6 +1,6 @@
 """Streaming queries: each lands its table as several files,
-runs a Structured Streaming job over them to completion (availableNow, one
-file a micro-batch) and returns the table it maintains."""
+runs a Structured Streaming job over them to completion (availableNow,
+LANDED_FILES micro-batches) and returns the table it maintains."""
 
 from __future__ import annotations
 
@@ -23,7 +23,8 @@ MIN_VALUE = 1.0
 
 def _landed(spark, sf, table, key, root):
     df = read_table(spark, sf, table)
-    return jobs.file_stream(spark, jobs.land(df, key, LANDED_FILES, f"{root}/landed"), df.schema)
+    each = jobs.files_per_batch(df, LANDED_FILES)
+    return jobs.file_stream(spark, jobs.land(df, key, LANDED_FILES * each, f"{root}/landed"), df.schema, each)
 
 
 @register("q_stream_dedup", sql="""

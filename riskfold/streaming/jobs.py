@@ -99,6 +99,12 @@ def land(df: DataFrame, key: str, files: int, folder: str) -> str:
     return folder
 
 
+def files_per_batch(df: DataFrame, batches: int) -> int:
+    """Files of a micro-batch, for ``batches`` of them: as many files in all as
+    ``df`` has splits, so none is larger than what a task reads anyway."""
+    return -(-df.rdd.getNumPartitions() // batches)
+
+
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 

@@ -202,3 +202,13 @@ def test_link_refresh_changes_both_tables_once(spark, tmp_path):
         {("t", "old", "h"), ("u", "keep", "h"), ("t", "new", "h2"), ("t", "empty", "now")}
     assert {(r.ticker, r.link) for r in store.read("blocked").collect()} == {("t", "bad"), ("t", "prem")}
     assert store.read("links").count() == 4 and store.read("blocked").count() == 2
+
+
+def test_landed_files_are_no_larger_than_splits(spark):
+    df = spark.range(600).repartition(10)
+    each = jobs.files_per_batch(df, 4)
+    root = jobs.stream_root(spark, "t-splits")
+    stream = jobs.file_stream(spark, jobs.land(df, "id", 4 * each, f"{root}/landed"), df.schema, each)
+    seen = {}
+    jobs.run_available(stream.writeStream.foreachBatch(lambda b, n: seen.update({n: b.count()})), f"{root}/checkpoint")
+    assert each == 3 and len(seen) == 4 and sum(seen.values()) == 600
