@@ -30,6 +30,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,9 @@ MAX_CELLS = 1024
 SAMPLE_PER_PIVOT = 16
 PART_ROWS = 8192
 QUERY_BLOCK = 2048
+TILE_ROWS = 16384       # rows of the largest tile of similar pairs
+TILES_PER_GROUP = 8     # a group is cut into about this many tiles, more only beyond TILES_PER_GROUP * TILE_ROWS rows
+SCORE_ROWS = 512        # rows of a tile that are compared at once
 PROBE_ROWS = 8          # the first probes hold at least this many rows a wanted hit
 SLACK = 1e-6            # distances and dot products are compared with this margin
 DIGITS = 6              # scores are rounded before they are ranked: ties do not hang on summation order
@@ -76,14 +80,22 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def fit_pivots(vectors: DataFrame, key: str, vec: str, cells: int, unit: bool = True, steps: int = 4) -> np.ndarray:
     """At most ``cells`` pivots from a sample of SAMPLE_PER_PIVOT rows a cell."""
+    return _fit(_sample(vectors, key, vec, cells, unit), cells, steps)
+
+
+def _sample(vectors: DataFrame, key: str, vec: str, cells: int, unit: bool) -> np.ndarray:
+    """SAMPLE_PER_PIVOT rows a cell, the ones of least key hash."""
     cells = max(1, min(cells, MAX_CELLS))
     rows = (vectors.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v"), F.xxhash64(key).alias("h"))
             .orderBy("h").limit(cells * SAMPLE_PER_PIVOT).select("v").toPandas())
     if not len(rows):
         return np.zeros((1, 1))
     x = stacked(rows["v"])
-    x = unit_rows(x) if unit else x
-    pivots = x[:cells]
+    return unit_rows(x) if unit else x
+
+
+def _fit(x: np.ndarray, cells: int, steps: int = 4) -> np.ndarray:
+    pivots = x[:max(1, min(cells, MAX_CELLS))]
     for _ in range(steps):
         at = distances(x, pivots).argmin(1)
         pivots = np.stack([x[at == c].mean(0) if (at == c).any() else pivots[c] for c in range(len(pivots))])
@@ -309,8 +321,32 @@ def _visits(assigned: DataFrame, pivots: np.ndarray, stats: pd.DataFrame, thresh
     return assigned.mapInArrow(reach, schema)
 
 
-def _pivots_for(largest: int, tile_size: int) -> int:
-    return min(MAX_CELLS, 4 * -(-largest // tile_size))
+def _tile_rows(largest: int, tile_size: int) -> int:
+    return max(tile_size, min(TILE_ROWS, -(-largest // TILES_PER_GROUP)))
+
+
+def _reach_share(x: np.ndarray, pivots: np.ndarray, threshold: float) -> float:
+    """Share of the cells that the bound leaves to a row, over a sample."""
+    d, norm = distances(x, pivots), np.linalg.norm(x, axis=1)
+    at = d.argmin(1)
+    rmax, nmax = np.zeros(len(pivots)), np.zeros(len(pivots))
+    np.maximum.at(rmax, at, d[np.arange(len(x)), at])
+    np.maximum.at(nmax, at, norm)
+    room = norm[:, None] ** 2 + nmax[None, :] ** 2 - 2 * threshold
+    return float(((d <= np.sqrt(np.maximum(room, 0)) + rmax) & (room >= 0)).mean())
+
+
+def _pair_layout(vectors: DataFrame, key: str, vec: str, largest: int, tile_size: int, threshold: float) -> tuple[np.ndarray, int]:
+    """Pivots and rows of a tile: four cells a tile of ``tile_size`` rows where
+    the bounds leave few of them; else larger tiles, one cell each (smaller ones
+    would only mean more copies of a row)."""
+    cells = 4 * -(-largest // tile_size)
+    x = _sample(vectors, key, vec, cells, False)
+    pivots = _fit(x, cells)
+    if _reach_share(x, pivots, threshold) * len(pivots) <= 2 * TILES_PER_GROUP:
+        return pivots, tile_size
+    grown = _tile_rows(largest, tile_size)
+    return _fit(x, -(-largest // grown)), grown
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", group: str = "ticker", vec: str = "vec",
@@ -321,7 +357,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, key: str = "id", group:
     A group of at most ``tile_size`` rows is one tile.  Larger groups are cut
     into cells; a row meets the rows of its own cell and, as a visitor, those of
     the later cells that its bound leaves.  Members and visitors of a cell are
-    dealt into tiles of about ``tile_size`` rows, so a task holds two tiles."""
+    dealt into tiles of about ``tile_size`` rows, so a task holds two tiles.
+
+    A row is copied once per tile that it meets.  Where the bounds leave many
+    cells the tiles grow with the largest group, to an eighth of it (at most
+    TILE_ROWS rows), so a row's copies stay few while the group grows."""
     return _pairs(*_tiles(vectors, threshold, key, group, vec, order or key, tile_size), threshold)
 
 
@@ -353,7 +393,8 @@ def _tiles(vectors: DataFrame, threshold: float, key: str, group: str, vec: str,
     else:
         v = v.join(sizes, "_g")
         large = v.where(F.col("_n") > tile_size)
-        pivots = fit_pivots(large, "_k", "_v", _pivots_for(largest, tile_size), unit=False)
+        small = v.where(F.col("_n") <= tile_size).select("_g", F.lit(-1).alias("_cell"), "_k", "_o", "_v", *whole)
+        pivots, tile_size = _pair_layout(large, "_k", "_v", largest, tile_size, threshold)
         assigned = cut_lineage(assign(large, pivots, "_v", unit=False))
         placed = _visits(assigned, pivots, cell_statistics(assigned), threshold)
         guests = placed.select("_g", F.explode("_visit").alias("_cell"), "_k", "_o", "_v")
@@ -362,7 +403,6 @@ def _tiles(vectors: DataFrame, threshold: float, key: str, group: str, vec: str,
                   .select("_g", "_cell", F.ceil(F.col("_m") / tile_size).cast("int").alias("_parts"),
                           F.ceil(F.coalesce("_s", F.lit(0)) / tile_size).cast("int").alias("_blocks")))
         counts = cut_lineage(counts)
-        small = v.where(F.col("_n") <= tile_size).select("_g", F.lit(-1).alias("_cell"), "_k", "_o", "_v", *whole)
         members = small.unionByName(assigned.join(counts, ["_g", "_cell"]).select(small.columns))
         visitors = guests.join(counts, ["_g", "_cell"])
     deal = lambda n: F.pmod(F.xxhash64("_k"), n).cast("int")
@@ -385,23 +425,28 @@ def _pairs(tiles: DataFrame, key_type: T.DataType, order_type: T.DataType, thres
     schema = T.StructType([T.StructField("group", T.StringType()), T.StructField("a", key_type), T.StructField("b", key_type),
                            T.StructField("a_order", order_type), T.StructField("b_order", order_type), T.StructField("sim", T.DoubleType())])
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        same = rows["_kind"].iloc[0] == 0 and rows["_u"].iloc[0] == rows["_w"].iloc[0]
-        left = rows if same else rows[rows["_side"] == 0]
-        right = rows if same else rows[rows["_side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in schema.names})
-        x = stacked(left["_v"])
-        s = x @ (x if same else stacked(right["_v"])).T
-        i, j = np.nonzero(s >= threshold)  # few: only these are compared by order
-        oa, ob = left["_o"].to_numpy()[i], right["_o"].to_numpy()[j]
-        keep = oa < ob if same else oa != ob
-        i, j, oa, ob = i[keep], j[keep], oa[keep], ob[keep]
-        ka, kb, swap = left["_k"].to_numpy()[i], right["_k"].to_numpy()[j], oa > ob
-        return _frame({"group": [rows["_g"].iloc[0]] * len(i), "a": np.where(swap, kb, ka), "b": np.where(swap, ka, kb),
-                             "a_order": np.where(swap, ob, oa), "b_order": np.where(swap, oa, ob), "sim": s[i, j]})
-
-    return tiles.groupBy("_g", "_cell", "_kind", "_u", "_w").applyInPandas(block, schema)
+    names = [f"{a}{b}" for a in ("_k", "_o") for b in ("a", "b")]
+
+    def block(rows: pa.Table) -> pa.Table:
+        same = rows["_kind"][0].as_py() == 0 and rows["_u"][0].as_py() == rows["_w"][0].as_py()
+        left = rows if same else rows.filter(pc.equal(rows["_side"], 0))
+        right = rows if same else rows.filter(pc.equal(rows["_side"], 1))
+        x, y = matrix(left["_v"]), matrix(right["_v"])
+        found = []
+        if len(left) and len(right):
+            for start in range(0, len(x), SCORE_ROWS):  # no more scores at once
+                s = x[start:start + SCORE_ROWS] @ y.T
+                i, j = np.nonzero(s >= threshold)  # few: only these are compared by order
+                found.append((i + start, j, s[i, j]))
+        i, j, sim = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, t) for n, t in enumerate((int, int, float)))
+        pairs = pa.table([side[c].take(pa.array(at)) for c in ("_k", "_o") for side, at in ((left, i), (right, j))]
+                         + [pa.array(sim)], names=[*names, "sim"])
+        pairs = pairs.filter((pc.less if same else pc.not_equal)(pairs["_oa"], pairs["_ob"]))
+        swap = pc.greater(pairs["_oa"], pairs["_ob"])
+        ends = [pc.if_else(swap, pairs[u], pairs[w]) for u, w in (("_kb", "_ka"), ("_ka", "_kb"), ("_ob", "_oa"), ("_oa", "_ob"))]
+        return pa.table([pa.repeat(rows["_g"][0], len(pairs)), *ends, pairs["sim"]], names=schema.names)
+
+    return tiles.groupBy("_g", "_cell", "_kind", "_u", "_w").applyInArrow(block, schema)
 
 
 def score_of(a: Column, b: Column) -> Column:
