@@ -27,6 +27,14 @@ def items(spark, sf):
                                           F.col("text").alias("summary"))
 
 
+def rated(spark, sf):
+    """Vectors with the quality of their article: its texts are measured where they
+    are read and do not travel to the join."""
+    d = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), B.headline_of("text").alias("headline"), F.col("text").alias("summary"))
+    return B.vectors(spark, sf).join(d.select("id", vectors.quality().alias("quality")), "id", "left")
+
+
 _V = """v AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS ticker, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"""
 
 
@@ -74,7 +82,7 @@ WITH RECURSIVE {_V}, {_ITEMS}, rows_ AS (SELECT * FROM items), {_GREEDY}
 SELECT id, anchor FROM gone""")
 def q_dedupe_similar(spark, sf):
     """V11 + A22 + A23: ids removed by greedy near-duplicate clustering."""
-    return vectors.dedupe_similar(items(spark, sf), SIM_THRESHOLD, tile_size=128)
+    return vectors.dedupe_similar(rated(spark, sf), SIM_THRESHOLD, tile_size=128)
 
 
 def centroid_queries(spark, sf):
