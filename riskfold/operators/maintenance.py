@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from riskfold import schemas
 from riskfold.operators import news, vectors
-from riskfold.session import cut_lineage
+from riskfold.session import broadcast_if_small, cut_lineage
 from riskfold.sources.versioned import VersionedStore
 
 INDEX_TABLE = T.StructType([T.StructField("id", T.StringType()), T.StructField("ivect", T.BinaryType())])
@@ -30,8 +30,10 @@ def create_tables(store: VersionedStore, buckets: int = 0) -> None:
 
 
 def delete_ids(store: VersionedStore, ids: DataFrame) -> None:
-    """K6: delete the ids from articles and index in one commit."""
+    """K6: delete the ids from articles and index in one commit.  Few ids are
+    sent to the rows; the rows do not move."""
     names = ("articles", "index")
+    ids = broadcast_if_small(ids.select("id").distinct())
     store.commit(dict(zip(names, news.delete_keys([store.read(n) for n in names], ids))))
 
 
@@ -43,20 +45,26 @@ def cleanup(store: VersionedStore, as_of: str, days_keep: int, threshold: float,
     _, purged = news.retention_split(store.read("articles"), as_of, days_keep)
     purged = cut_lineage(purged)
     delete_ids(store, purged)
-    arts = store.read("articles")
-    if encode is not None:
-        arts = arts.join(encode(arts).select("id", "vec"), "id")
-    arts = arts.withColumn("ticker", F.coalesce("ticker", F.lit("UNK")))
-    gone = cut_lineage(vectors.dedupe_similar(arts, threshold, tile_size=tile_size))
+    once = None if encode is None else lambda arts: cut_lineage(encode(arts).select("id", "vec"))
+    gone = cut_lineage(vectors.dedupe_similar(_rated(store.read("articles"), once), threshold, tile_size=tile_size))
     delete_ids(store, gone)
     return purged, gone
 
 
+def _rated(arts: DataFrame, encode: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """id, ticker, vec and quality of articles: all that clustering needs of them,
+    so their texts are not sent to a join."""
+    rows = arts.withColumn("ticker", F.coalesce("ticker", F.lit("UNK"))).withColumn("quality", vectors.quality())
+    if encode is None:
+        return rows.select("id", "ticker", "vec", "quality")
+    return rows.select("id", "ticker", "quality").join(encode(arts).select("id", "vec"), "id")
+
+
 def refresh_index(store: VersionedStore, encode: Callable[[DataFrame], DataFrame], as_of: str, days: int) -> None:
     """V9: insert-or-overwrite the vectors of the recent, summarised articles
     into the index; entries of other articles stay as they are."""
     fresh = vectors.build_index(encode(news.index_candidates(store.read("articles"), as_of, days)), as_of)
-    fresh = fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect"))
+    fresh = cut_lineage(fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect")))
     store.commit({"index": news.upsert_overwrite(store.read("index"), fresh)})
 
 
@@ -74,17 +82,16 @@ def news_cycle(store: VersionedStore, raw: DataFrame, batch: str, as_of: str, en
         return
     prep = news.preprocess(raw, order=order)
     stored = store.read("articles")
-    new = cut_lineage(news.keep_first(prep, "id", "src_order").drop("src_order").join(stored.select("id"), "id", "left_anti"))
-    blank = new.where(F.trim(F.coalesce("summary", F.lit(""))) == "")
-    new = news.update_column(new, summarise(blank), "summary")
+    empty = F.trim(F.coalesce("summary", F.lit(""))) == ""
+    # read twice: among rows of one place in the feed ``empty`` decides which both see
+    new = news.keep_first(prep, "id", ["src_order", empty]).drop("src_order").join(stored.select("id"), "id", "left_anti")
+    new = cut_lineage(news.update_column(new, summarise(new.where(empty)), "summary"))
     live, _ = news.retention_split(stored.unionByName(new.select(stored.columns)), as_of, days_keep)
     vectors_of = cut_lineage(encode(live))
-    live = cut_lineage(live)
-    rows = live.join(vectors_of.select("id", "vec"), "id").withColumn("ticker", F.coalesce("ticker", F.lit("UNK")))
-    gone = cut_lineage(vectors.dedupe_similar(rows, threshold, tile_size=tile_size))
-    kept = live.join(gone.select("id"), "id", "left_anti")
+    gone = cut_lineage(vectors.dedupe_similar(_rated(live, lambda _: vectors_of), threshold, tile_size=tile_size))
+    kept = live.join(broadcast_if_small(gone.select("id")), "id", "left_anti")
     fresh = vectors.build_index(vectors_of.join(news.index_candidates(kept, as_of, index_days).select("id"), "id", "left_semi"), as_of)
-    fresh = fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect"))
+    fresh = cut_lineage(fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect")))
     index = news.upsert_overwrite(store.read("index").join(kept.select("id"), "id", "left_semi"), fresh)
     named = schemas.apply_news_aliases(schemas.snake_columns(raw))
     dead = named.where(F.col("ticker").isNull() | F.col("headline").isNull())

@@ -46,11 +46,12 @@ def article_id(ticker: Column, key: Column, pub_text: Column) -> Column:
     return F.sha1(F.concat_ws("|", F.coalesce(ticker.cast("string"), F.lit("")), key, pub_text))
 
 
-def preprocess(raw: DataFrame, order: str | None = None) -> DataFrame:
+def preprocess(raw: DataFrame, order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Snake names -> aliases -> primary URL -> required ticker and
     headline -> publish date normalisation -> date-like columns -> id ->
     conform to the article schema.  ``order`` (a source column, kept as
-    ``src_order``) records the input order for keep-first decisions."""
+    ``src_order``) records the input order for keep-first decisions; further
+    columns ``keep`` (by their snake names) are carried along."""
     df = schemas.apply_news_aliases(schemas.snake_columns(raw))
     urls = schemas.url_columns(df)
     df = df.withColumn("primary_url", X.first_non_blank(*urls) if urls else F.lit(None).cast("string"))
@@ -65,10 +66,11 @@ def preprocess(raw: DataFrame, order: str | None = None) -> DataFrame:
     key = F.coalesce(*chain, F.lit(""))
     pub_text = D.pubdate_text(F.col(pub)) if pub else F.lit("")
     df = df.withColumn("id", article_id(F.col("ticker"), key, pub_text))
-    if order is None:
-        return schemas.conform(df, schemas.ARTICLE_SCHEMA)
-    df = df.withColumn("src_order", F.col(X.snake_name(order)).cast("long"))
-    return schemas.conform(df, T.StructType(schemas.ARTICLE_SCHEMA.fields + [T.StructField("src_order", T.LongType())]))
+    fields = schemas.ARTICLE_SCHEMA.fields + [df.schema[c] for c in keep]
+    if order is not None:
+        df = df.withColumn("src_order", F.col(X.snake_name(order)).cast("long"))
+        fields = fields + [T.StructField("src_order", T.LongType())]
+    return schemas.conform(df, T.StructType(fields))
 
 
 def upsert_ignore(target: DataFrame, batch: DataFrame, key: str = "id", order: str = "src_order") -> DataFrame:

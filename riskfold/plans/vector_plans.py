@@ -11,7 +11,7 @@ from riskfold.operators import maintenance, news, vector_index, vectors
 from riskfold.plans import bindings as B
 from riskfold.plans import sql_fragments as S
 from riskfold.plans.catalog import register
-from riskfold.session import checkpoint_dir, cut_lineage
+from riskfold.session import checkpoint_dir
 from riskfold.sources.tables import read_table
 from riskfold.sources.versioned import VersionedStore
 
@@ -295,16 +295,16 @@ def q_cleanup_preview(spark, sf):
 def _news_batch(spark, sf):
     from riskfold.operators import corpus as C
     raw = B.raw_news(spark, sf)
-    prep = news.preprocess(raw, order="Doc Id").join(
-        raw.select(F.col("Doc Id").alias("src_order"), F.col("Lang").alias("lang")), "src_order")
-    first = cut_lineage(news.keep_first(prep, "id", "src_order"))
+    prep = news.preprocess(raw, order="Doc Id", keep=("lang",)).where("src_order is not null")
+    # read twice below: among rows of one Doc Id the language decides which both see
+    first = news.keep_first(prep, "id", ["src_order", "lang"])
     # articles in Spanish arrive without a summary: it is drawn from the whole article
     blank = F.when(F.col("lang") != "es", F.col("summary"))
     queue = first.where(F.col("lang") == "es").select("id", C.extractive_summary(F.col("summary")).alias("summary"))
-    store = news.update_column(first.withColumn("summary", blank).drop("lang"), queue, "summary")
+    updated = news.update_column(first.withColumn("summary", blank).drop("lang", "src_order"), queue, "summary")
     tables = _new_store(spark)
     maintenance.create_tables(tables)
-    tables.commit({"articles": store.drop("src_order")})
+    store = tables.read("articles", tables.commit({"articles": updated}))
     encode = lambda arts: encode_articles(arts).select("id", "vec")
     purged, gone = maintenance.cleanup(tables, B.AS_OF, 14, 0.9, tile_size=512, encode=encode)
     maintenance.refresh_index(tables, encode_articles, B.AS_OF, 30)

@@ -121,3 +121,17 @@ def test_index_and_articles_change_together(spark, tmp_path):
     # at every version the index holds no id that the articles lack
     for v in store.history()[3:]:
         assert not {r.id for r in store.read("index", v).collect()} - {r.id for r in store.read("articles", v).collect()}
+
+
+def test_copies_of_a_row_stay_few_where_bounds_leave_every_cell(spark):
+    x = clustered(1200, 64, 1200, 1, 11)
+    tiles, _, _ = V._tiles(frame(spark, x, tickers=1), 0.3, "id", "ticker", "vec", "id", 16)
+    assert tiles.count() <= 20 * 1200
+    got = {(r.a, r.b) for r in V.similar_pairs(frame(spark, x, tickers=1), 0.3, tile_size=16).collect()}
+    assert got == {(i, j) for j in range(1200) for i in np.flatnonzero(x[:j] @ x[j] >= 0.3)} and got
+
+
+def test_clustering_gets_no_texts(spark):
+    arts = spark.createDataFrame([("a", None, "head", "long summary")], "id string, ticker string, headline string, summary string")
+    rows = maintenance._rated(arts, lambda a: a.select("id", F.array(F.lit(1.0)).alias("vec")))
+    assert {c: rows.first()[c] for c in rows.columns} == {"id": "a", "ticker": "UNK", "quality": 14.0, "vec": [1.0]}

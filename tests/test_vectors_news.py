@@ -156,3 +156,9 @@ def test_cleanup_and_news_batch_return_every_row(spark):
     assert len(indexed) > 10
     preview = P.q_news_batch_preview(spark, SF_SMALL).collect()
     assert len(preview) == 10 and {r.id for r in preview} <= indexed
+
+
+def test_preprocess_carries_kept_columns(spark):
+    raw = spark.createDataFrame([(1, "t", "head", "en"), (2, "t", "other", None)], "`Doc Id` long, Ticker string, Title string, Lang string")
+    got = {r.src_order: (r.headline, r.lang) for r in news.preprocess(raw, order="Doc Id", keep=("lang",)).collect()}
+    assert got == {1: ("head", "en"), 2: ("other", None)}
