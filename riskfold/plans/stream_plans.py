@@ -6,7 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskfold.operators import corpus, maintenance
+from riskfold.functions import text as X
+from riskfold.operators import corpus, maintenance, news
 from riskfold.plans import bindings as B
 from riskfold.plans import vector_plans
 from riskfold.plans import sql_fragments as S
@@ -15,7 +16,7 @@ from riskfold.sources.tables import read_table
 from riskfold.sources.versioned import VersionedStore
 from riskfold.streaming import jobs
 
-LANDED_FILES = 4
+LANDED_FILES = 4  # micro-batches; a large table lands as several files each
 # Fixed parameters: freshness of cached quotes, and the smallest valid reading.
 TTL_SHORT_SECONDS, TTL_LONG_SECONDS = 60, 900
 MIN_VALUE = 1.0
@@ -90,13 +91,14 @@ def news_cycle(store, documents, batch):
     """One cycle over landed documents; those in Spanish come without a summary,
     it is drawn from the whole article."""
     raw = B.raw_news_from(documents)
-    text = raw.select(F.col("Doc Id").alias("Doc Id"), F.col("Summary").alias("article"))
-    raw = raw.withColumn("Summary", F.when(F.col("Lang") != "es", F.col("Summary")))
-    articles = B.article_ids(raw).join(text, "Doc Id")
+    given = F.when(F.col("Lang") != "es", F.col("Summary"))
+    # drawn where the article is read: a sentence is sent to the joins, not the article
+    text = raw.withColumn("Drawn", F.when(X.is_blank(given), corpus.extractive_summary(F.col("Summary")))).withColumn("Summary", given)
+    drawn = news.preprocess(text, order="Doc Id", keep=("drawn",)).where(X.is_blank("summary")).select("id", "src_order", "drawn")
+    raw = raw.withColumn("Summary", given)
 
     def summarise(blank):
-        return blank.select("id").join(articles, "id").groupBy("id").agg(
-            F.min_by(corpus.extractive_summary(F.col("article")), "Doc Id").alias("summary"))
+        return blank.select("id").join(drawn, "id").groupBy("id").agg(F.min_by("drawn", "src_order").alias("summary"))
 
     maintenance.news_cycle(store, raw, batch, B.AS_OF, vector_plans.encode_articles, summarise, "Doc Id", tile_size=512)
 
