@@ -148,9 +148,3 @@ def raw_news_from(documents: DataFrame) -> DataFrame:
     return d.select(k.alias("Doc Id"), F.col("source").alias("Query Ticker"),
                     headline_of("text").alias("Title"), link.alias("Link"), final.alias("Final URL"),
                     pub.alias("PubDate"), F.col("text").alias("Summary"), F.col("lang").alias("Lang"))
-
-
-def article_ids(raw: DataFrame) -> DataFrame:
-    """Doc Id and article id of landed news."""
-    from riskfold.operators import news
-    return news.preprocess(raw, order="Doc Id").select(F.col("src_order").alias("Doc Id"), "id")
