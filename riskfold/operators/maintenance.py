@@ -63,8 +63,7 @@ def _rated(arts: DataFrame, encode: Callable[[DataFrame], DataFrame] | None) ->
 def refresh_index(store: VersionedStore, encode: Callable[[DataFrame], DataFrame], as_of: str, days: int) -> None:
     """V9: insert-or-overwrite the vectors of the recent, summarised articles
     into the index; entries of other articles stay as they are."""
-    fresh = vectors.build_index(encode(news.index_candidates(store.read("articles"), as_of, days)), as_of)
-    fresh = cut_lineage(fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect")))
+    fresh = cut_lineage(vectors.stored_index(encode(news.index_candidates(store.read("articles"), as_of, days)), as_of))
     store.commit({"index": news.upsert_overwrite(store.read("index"), fresh)})
 
 
@@ -90,8 +89,8 @@ def news_cycle(store: VersionedStore, raw: DataFrame, batch: str, as_of: str, en
     vectors_of = cut_lineage(encode(live))
     gone = cut_lineage(vectors.dedupe_similar(_rated(live, lambda _: vectors_of), threshold, tile_size=tile_size))
     kept = live.join(broadcast_if_small(gone.select("id")), "id", "left_anti")
-    fresh = vectors.build_index(vectors_of.join(news.index_candidates(kept, as_of, index_days).select("id"), "id", "left_semi"), as_of)
-    fresh = cut_lineage(fresh.select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect")))
+    fresh = vectors_of.join(news.index_candidates(kept, as_of, index_days).select("id"), "id", "left_semi")
+    fresh = cut_lineage(vectors.stored_index(fresh, as_of))
     index = news.upsert_overwrite(store.read("index").join(kept.select("id"), "id", "left_semi"), fresh)
     named = schemas.apply_news_aliases(schemas.snake_columns(raw))
     dead = named.where(F.col("ticker").isNull() | F.col("headline").isNull())

@@ -19,6 +19,11 @@ Search is two joins of (query, cell) probes with the rows of those cells: the
 nearest cells first, whose k-th score then decides which other cells can still
 matter.  Cells are split into parts of at most ``PART_ROWS`` rows and the
 queries of a cell into blocks, so no group grows with the data.
+
+Similar pairs are found tile by tile and leave a tile in slices of ``PAIR_ROWS``:
+a tile that holds one big group of near copies takes no more memory than another.
+``earliest_similar`` compares rows with the anchors of clusters and gives one row
+per row and tile at most, however many anchors are near.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +50,8 @@ QUERY_BLOCK = 2048
 TILE_ROWS = 16384       # rows of the largest tile of similar pairs
 TILES_PER_GROUP = 8     # a group is cut into about this many tiles, more only beyond TILES_PER_GROUP * TILE_ROWS rows
 SCORE_ROWS = 512        # rows of a tile that are compared at once
+PAIR_ROWS = 8192        # pairs of a tile that are scored and sent on at once
+BATCH_ROWS = 1024       # rows whose distances to all pivots are held at once
 PROBE_ROWS = 8          # the first probes hold at least this many rows a wanted hit
 SLACK = 1e-6            # distances and dot products are compared with this margin
 DIGITS = 6              # scores are rounded before they are ranked: ties do not hang on summation order
@@ -59,6 +67,13 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
 
 
+def sliced(batches, rows: int = BATCH_ROWS):
+    """Arrow batches in slices of at most ``rows`` rows, empty ones left out."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, rows):
+            yield whole.slice(start, rows)
+
+
 def stacked(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in series])
 
@@ -97,7 +112,7 @@ def _sample(vectors: DataFrame, key: str, vec: str, cells: int, unit: bool) -> n
 def _fit(x: np.ndarray, cells: int, steps: int = 4) -> np.ndarray:
     pivots = x[:max(1, min(cells, MAX_CELLS))]
     for _ in range(steps):
-        at = distances(x, pivots).argmin(1)
+        at = np.concatenate([distances(x[s:s + BATCH_ROWS], pivots).argmin(1) for s in range(0, len(x), BATCH_ROWS)])
         pivots = np.stack([x[at == c].mean(0) if (at == c).any() else pivots[c] for c in range(len(pivots))])
     return np.unique(pivots, axis=0)
 
@@ -108,15 +123,14 @@ def assign(vectors: DataFrame, pivots: np.ndarray, vec: str, unit: bool = True)
                            T.StructField("_dist", T.DoubleType()), T.StructField("_norm", T.DoubleType())])
 
     def near(batches):
-        for b in batches:
-            if b.num_rows:
-                x = matrix(b.column(vec))
-                x = unit_rows(x) if unit else x
-                d = distances(x, pivots)
-                at = d.argmin(1)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.array(at.astype("int32")), pa.array(d[np.arange(len(x)), at]), pa.array(np.linalg.norm(x, axis=1))],
-                    names=[*b.schema.names, "_cell", "_dist", "_norm"])
+        for b in sliced(batches):
+            x = matrix(b.column(vec))
+            x = unit_rows(x) if unit else x
+            d = distances(x, pivots)
+            at = d.argmin(1)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(at.astype("int32")), pa.array(d[np.arange(len(x)), at]), pa.array(np.linalg.norm(x, axis=1))],
+                names=[*b.schema.names, "_cell", "_dist", "_norm"])
 
     return vectors.where(F.col(vec).isNotNull()).mapInArrow(near, schema)
 
@@ -298,27 +312,31 @@ def visited_share(index: CellIndex, queries: DataFrame, k: int = 10) -> float:
 
 
 # ---------------------------------------------------------- similar pairs --
-def _visits(assigned: DataFrame, pivots: np.ndarray, stats: pd.DataFrame, threshold: float) -> DataFrame:
-    """``assigned`` plus _visit: the later cells that can hold a partner.  With
-    |x - y|^2 = |x|^2 + |y|^2 - 2 x.y a partner y of cell B is at most
-    sqrt(|x|^2 + nmax_B^2 - 2 threshold) away, and B's pivot rmax_B further."""
+def _visits(rows: DataFrame, pivots: np.ndarray, stats: pd.DataFrame, threshold: float) -> DataFrame:
+    """``rows`` plus _visit: the cells of ``stats`` that can hold a partner, of rows
+    with a cell of their own only later ones.  With |x - y|^2 = |x|^2 + |y|^2 - 2 x.y
+    a partner y of cell B is at most sqrt(|x|^2 + nmax_B^2 - 2 threshold) away, and
+    B's pivot rmax_B further."""
     at = np.array(sorted(stats.index), dtype=np.int64)
     rmax, nmax = (stats.loc[at, c].to_numpy() for c in ("rmax", "nmax"))
-    schema = T.StructType([*assigned.schema.fields, T.StructField("_visit", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_visit", T.ArrayType(T.IntegerType()))])
 
     def reach(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in sliced(batches):
             x = matrix(b.column("_v"))
-            norm, own = b.column("_norm").to_numpy(), b.column("_cell").to_numpy()
+            norm = np.linalg.norm(x, axis=1)
             room = norm[:, None] ** 2 + nmax[None, :] ** 2 - 2 * threshold
             near = distances(x, pivots[at]) <= np.sqrt(np.maximum(room, 0)) + rmax[None, :] + SLACK
-            mask = near & (room >= -SLACK) & (at[None, :] > own[:, None])
+            mask = near & (room >= -SLACK)
+            if "_cell" in b.schema.names:
+                mask &= at[None, :] > b.column("_cell").to_numpy()[:, None]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([at[m].tolist() for m in mask], pa.list_(pa.int32()))],
                                              names=[*b.schema.names, "_visit"])
 
-    return assigned.mapInArrow(reach, schema)
+    return rows.mapInArrow(reach, schema)
+
+
+TILE_COLUMNS = ["_g", "_cell", "_kind", "_u", "_w", "_side", "_k", "_o", "_v"]
 
 
 def _tile_rows(largest: int, tile_size: int) -> int:
@@ -327,13 +345,19 @@ def _tile_rows(largest: int, tile_size: int) -> int:
 
 def _reach_share(x: np.ndarray, pivots: np.ndarray, threshold: float) -> float:
     """Share of the cells that the bound leaves to a row, over a sample."""
-    d, norm = distances(x, pivots), np.linalg.norm(x, axis=1)
-    at = d.argmin(1)
+    norm = np.linalg.norm(x, axis=1)
+    parts = [slice(s, s + BATCH_ROWS) for s in range(0, len(x), BATCH_ROWS)]
     rmax, nmax = np.zeros(len(pivots)), np.zeros(len(pivots))
-    np.maximum.at(rmax, at, d[np.arange(len(x)), at])
-    np.maximum.at(nmax, at, norm)
-    room = norm[:, None] ** 2 + nmax[None, :] ** 2 - 2 * threshold
-    return float(((d <= np.sqrt(np.maximum(room, 0)) + rmax) & (room >= 0)).mean())
+    for part in parts:
+        d = distances(x[part], pivots)
+        at = d.argmin(1)
+        np.maximum.at(rmax, at, d[np.arange(len(d)), at])
+        np.maximum.at(nmax, at, norm[part])
+    left = 0
+    for part in parts:
+        room = norm[part, None] ** 2 + nmax[None, :] ** 2 - 2 * threshold
+        left += int(((distances(x[part], pivots) <= np.sqrt(np.maximum(room, 0)) + rmax) & (room >= 0)).sum())
+    return left / (len(x) * len(pivots))
 
 
 def _pair_layout(vectors: DataFrame, key: str, vec: str, largest: int, tile_size: int, threshold: float) -> tuple[np.ndarray, int]:
@@ -381,9 +405,7 @@ def compared_share(vectors: DataFrame, threshold: float, key: str = "id", group:
 def _tiles(vectors: DataFrame, threshold: float, key: str, group: str, vec: str, order: str, tile_size: int):
     """Rows dealt to tile pairs: _g, _cell, _kind (0 members, 1 visitors), _u,
     _w, _side, _k, _o, _v."""
-    v = vectors.where(F.col(vec).isNotNull()).select(
-        F.coalesce(F.col(group).cast("string"), F.lit("UNK")).alias("_g"), F.col(key).alias("_k"), F.col(order).alias("_o"),
-        F.col(vec).alias("_v"))
+    v = _lean(vectors, key, group, vec, order)
     sizes = v.groupBy("_g").agg(F.count("*").alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     whole = [F.lit(1).alias("_parts"), F.lit(0).alias("_blocks")]
@@ -398,57 +420,151 @@ def _tiles(vectors: DataFrame, threshold: float, key: str, group: str, vec: str,
         assigned = cut_lineage(assign(large, pivots, "_v", unit=False))
         placed = _visits(assigned, pivots, cell_statistics(assigned), threshold)
         guests = placed.select("_g", F.explode("_visit").alias("_cell"), "_k", "_o", "_v")
-        counts = (assigned.groupBy("_g", "_cell").agg(F.count("*").alias("_m"))
-                  .join(guests.groupBy("_g", "_cell").agg(F.count("*").alias("_s")), ["_g", "_cell"], "left")
-                  .select("_g", "_cell", F.ceil(F.col("_m") / tile_size).cast("int").alias("_parts"),
-                          F.ceil(F.coalesce("_s", F.lit(0)) / tile_size).cast("int").alias("_blocks")))
-        counts = cut_lineage(counts)
+        counts = _dealt(assigned, guests, tile_size)
         members = small.unionByName(assigned.join(counts, ["_g", "_cell"]).select(small.columns))
         visitors = guests.join(counts, ["_g", "_cell"])
-    deal = lambda n: F.pmod(F.xxhash64("_k"), n).cast("int")
-    columns = ["_g", "_cell", "_kind", "_u", "_w", "_side", "_k", "_o", "_v"]
-    own = members.withColumn("_t", deal(F.col("_parts"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    own = members.withColumn("_t", _deal("_parts")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     own = own.withColumn("_kind", F.lit(0)).withColumn("_u", F.least("_t", "_other")).withColumn("_w", F.greatest("_t", "_other"))
-    tiles = own.withColumn("_side", F.when((F.col("_t") == F.col("_w")) & (F.col("_u") != F.col("_w")), 1).otherwise(0)).select(columns)
+    tiles = own.withColumn("_side", F.when((F.col("_t") == F.col("_w")) & (F.col("_u") != F.col("_w")), 1).otherwise(0)).select(TILE_COLUMNS)
     if visitors is not None:
-        hosts = (members.where("_blocks > 0").withColumn("_u", deal(F.col("_parts")))
-                 .withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_side", F.lit(0)))
-        guests = (visitors.withColumn("_w", deal(F.col("_blocks")))
-                  .withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_side", F.lit(1)))
-        for side in (hosts, guests):
-            tiles = tiles.unionByName(side.withColumn("_kind", F.lit(1)).select(columns))
+        tiles = tiles.unionByName(_hosted(members, visitors))
     key_type, order_type = vectors.schema[key].dataType, vectors.schema[order].dataType
     return tiles, key_type, order_type
 
 
+def _lean(vectors: DataFrame, key: str, group: str, vec: str, order: str) -> DataFrame:
+    return vectors.where(F.col(vec).isNotNull()).select(
+        F.coalesce(F.col(group).cast("string"), F.lit("UNK")).alias("_g"), F.col(key).alias("_k"), F.col(order).alias("_o"),
+        F.col(vec).alias("_v"))
+
+
+def _deal(n: str) -> Column:
+    return F.pmod(F.xxhash64("_k"), F.col(n)).cast("int")
+
+
+def _dealt(assigned: DataFrame, guests: DataFrame, tile_size: int) -> DataFrame:
+    """Tiles of members (_parts) and of visitors (_blocks) per group and cell."""
+    counts = (assigned.groupBy("_g", "_cell").agg(F.count("*").alias("_m"))
+              .join(guests.groupBy("_g", "_cell").agg(F.count("*").alias("_s")), ["_g", "_cell"], "left")
+              .select("_g", "_cell", F.ceil(F.col("_m") / tile_size).cast("int").alias("_parts"),
+                      F.ceil(F.coalesce("_s", F.lit(0)) / tile_size).cast("int").alias("_blocks")))
+    return cut_lineage(counts)
+
+
+def _hosted(members: DataFrame, visitors: DataFrame) -> DataFrame:
+    """Members (side 0) and visitors (side 1) of a cell, each tile of the ones with each of the others."""
+    hosts = (members.where("_blocks > 0").withColumn("_u", _deal("_parts"))
+             .withColumn("_w", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_side", F.lit(0)))
+    guests = (visitors.withColumn("_w", _deal("_blocks"))
+              .withColumn("_u", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("_side", F.lit(1)))
+    hosts, guests = (side.withColumn("_kind", F.lit(1)).select(TILE_COLUMNS) for side in (hosts, guests))
+    return hosts.unionByName(guests)
+
+
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column as ``matrix`` gives them, but floats as they are."""
+    if not len(column) or not pa.types.is_float32(column.type.value_type):
+        return matrix(column)
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of the pairs (i, j) in double precision."""
+    return np.einsum("pd,pd->p", x[i].astype("float64"), y[j].astype("float64"))
+
+
+def _scores(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, float]]:
+    """Scores of SCORE_ROWS rows of x at once with all of y: first row, scores and
+    what they can be off by.  Floats are multiplied as floats: half the time and
+    memory, and only scores this near a threshold need ``_exact``."""
+    off = 0.0
+    if x.dtype == y.dtype == np.float32:
+        norms = [float(np.sqrt(np.einsum("pd,pd->p", z, z, dtype="float64").max(initial=0))) for z in (x, y)]
+        off = (x.shape[1] + 8) * 2.0 ** -23 * norms[0] * norms[1]
+        if not off < 1e30:  # too large for floats, or no numbers
+            x, y, off = x.astype("float64"), y.astype("float64"), 0.0
+    for start in range(0, len(x), SCORE_ROWS):
+        yield start, x[start:start + SCORE_ROWS] @ y.T, off
+
+
 def _pairs(tiles: DataFrame, key_type: T.DataType, order_type: T.DataType, threshold: float) -> DataFrame:
     schema = T.StructType([T.StructField("group", T.StringType()), T.StructField("a", key_type), T.StructField("b", key_type),
                            T.StructField("a_order", order_type), T.StructField("b_order", order_type), T.StructField("sim", T.DoubleType())])
 
     names = [f"{a}{b}" for a in ("_k", "_o") for b in ("a", "b")]
 
-    def block(rows: pa.Table) -> pa.Table:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
         same = rows["_kind"][0].as_py() == 0 and rows["_u"][0].as_py() == rows["_w"][0].as_py()
         left = rows if same else rows.filter(pc.equal(rows["_side"], 0))
         right = rows if same else rows.filter(pc.equal(rows["_side"], 1))
-        x, y = matrix(left["_v"]), matrix(right["_v"])
-        found = []
-        if len(left) and len(right):
-            for start in range(0, len(x), SCORE_ROWS):  # no more scores at once
-                s = x[start:start + SCORE_ROWS] @ y.T
-                i, j = np.nonzero(s >= threshold)  # few: only these are compared by order
-                found.append((i + start, j, s[i, j]))
-        i, j, sim = (np.concatenate([f[n] for f in found]) if found else np.zeros(0, t) for n, t in enumerate((int, int, float)))
-        pairs = pa.table([side[c].take(pa.array(at)) for c in ("_k", "_o") for side, at in ((left, i), (right, j))]
-                         + [pa.array(sim)], names=[*names, "sim"])
-        pairs = pairs.filter((pc.less if same else pc.not_equal)(pairs["_oa"], pairs["_ob"]))
-        swap = pc.greater(pairs["_oa"], pairs["_ob"])
-        ends = [pc.if_else(swap, pairs[u], pairs[w]) for u, w in (("_kb", "_ka"), ("_ka", "_kb"), ("_ob", "_oa"), ("_oa", "_ob"))]
-        return pa.table([pa.repeat(rows["_g"][0], len(pairs)), *ends, pairs["sim"]], names=schema.names)
+        group = rows["_g"][0]
+        x, y = _rows(left["_v"]), _rows(right["_v"])
+        left, right = (side.select(["_k", "_o"]) for side in (left, right))
+        del rows
+        if not len(left) or not len(right):
+            return
+        for start, s, off in _scores(x, y):
+            near = np.nonzero(s >= threshold - off)
+            for at in range(0, len(near[0]), PAIR_ROWS):
+                i, j = (side[at:at + PAIR_ROWS] for side in near)
+                sim = _exact(x, y, i + start, j) if off else s[i, j].astype("float64")
+                i, j, sim = (side[sim >= threshold] for side in (i + start, j, sim))
+                pairs = pa.table([side[c].take(pa.array(at)) for c in ("_k", "_o") for side, at in ((left, i), (right, j))]
+                                 + [pa.array(sim)], names=[*names, "sim"])
+                pairs = pairs.filter((pc.less if same else pc.not_equal)(pairs["_oa"], pairs["_ob"]))
+                swap = pc.greater(pairs["_oa"], pairs["_ob"])
+                ends = [pc.if_else(swap, pairs[u], pairs[w]) for u, w in (("_kb", "_ka"), ("_ka", "_kb"), ("_ob", "_oa"), ("_oa", "_ob"))]
+                yield from pa.table([pa.repeat(group, len(pairs)), *ends, pairs["sim"]], names=schema.names).to_batches()
 
     return tiles.groupBy("_g", "_cell", "_kind", "_u", "_w").applyInArrow(block, schema)
 
 
+def earliest_similar(rows: DataFrame, anchors: DataFrame, threshold: float, key: str = "id", group: str = "ticker", vec: str = "vec",
+                     order: str | None = None, tile_size: int = 2048) -> DataFrame:
+    """J12 between two tables: of every row with anchors of its group at dot(row,
+    anchor) >= threshold the earliest of them (key, anchor).  Exact, by the cells
+    and bounds of ``similar_pairs``: the anchors are members, the rows visitors."""
+    order = order or key
+    members, visitors = (_lean(side, key, group, vec, order) for side in (anchors, rows))
+    largest = members.groupBy("_g").count().agg(F.max("count")).first()[0]
+    if not largest:
+        none = T.StructType([rows.schema[key], T.StructField("anchor", anchors.schema[key].dataType)])
+        return rows.sparkSession.createDataFrame([], none)
+    pivots, tile_size = _pair_layout(members, "_k", "_v", largest, tile_size, threshold)
+    assigned = cut_lineage(assign(members, pivots, "_v", unit=False))
+    placed = _visits(visitors, pivots, cell_statistics(assigned), threshold)
+    guests = placed.select("_g", F.explode("_visit").alias("_cell"), "_k", "_o", "_v")
+    counts = _dealt(assigned, guests, tile_size)
+    tiles = _hosted(assigned.join(counts, ["_g", "_cell"]), guests.join(counts, ["_g", "_cell"]))
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("anchor", anchors.schema[key].dataType),
+                           T.StructField("_o", anchors.schema[order].dataType)])
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches)
+        left, right = (whole.filter(pc.equal(whole["_side"], side)) for side in (1, 0))
+        right = right.take(pc.sort_indices(right["_o"]))  # the first similar one is the earliest
+        x, y = _rows(left["_v"]), _rows(right["_v"])
+        left, right = (side.select(["_k", "_o"]) for side in (left, right))
+        del whole
+        if not len(left) or not len(right):
+            return
+        for start, s, off in _scores(x, y):
+            near = s >= threshold + off
+            if off:
+                unsure = np.nonzero((s >= threshold - off) & ~near)
+                for at in range(0, len(unsure[0]), PAIR_ROWS):
+                    i, j = (side[at:at + PAIR_ROWS] for side in unsure)
+                    near[i, j] = _exact(x, y, i + start, j) >= threshold
+            i = np.flatnonzero(near.any(1))
+            if len(i):
+                first = right.take(pa.array(near[i].argmax(1)))
+                yield from pa.table([left["_k"].take(pa.array(i + start)), first["_k"], first["_o"]], names=schema.names).to_batches()
+
+    hits = tiles.groupBy("_g", "_cell", "_u", "_w").applyInArrow(block, schema)
+    return hits.groupBy(key).agg(F.min_by("anchor", "_o").alias("anchor"))
+
+
 def score_of(a: Column, b: Column) -> Column:
     """Rounded dot product of two array columns, as ``search`` ranks it."""
     return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x), DIGITS)
