@@ -199,14 +199,13 @@ def drop_all_null(df: DataFrame, cols) -> DataFrame:
 
 
 def preview(articles: DataFrame, index: DataFrame | None = None, limit: int = 10) -> DataFrame:
-    """Newest rows with short text columns and vector byte length."""
-    a = articles
+    """Newest rows with short text columns and vector byte length.  The texts
+    are cut where they are read: whole ones travel to no join."""
+    a = articles.select("id", "ticker", F.substring("headline", 1, 60).alias("headline"),
+                        F.substring("summary", 1, 80).alias("summary_head"), "pubdate")
     if index is not None:
         a = a.join(index.select("id", (F.size("ivect") * 4).cast("long").alias("ivect_bytes")), "id")
-    return (a.orderBy(sort_key_recent().desc(), F.col("id").desc()).limit(limit)
-            .select("id", "ticker", F.substring("headline", 1, 60).alias("headline"),
-                    F.substring("summary", 1, 80).alias("summary_head"), "pubdate",
-                    *(["ivect_bytes"] if index is not None else [])))
+    return a.orderBy(sort_key_recent().desc(), F.col("id").desc()).limit(limit)
 
 
 def sample_for_key(df: DataFrame, key_col: str, key_value: str, n: int, order: str) -> DataFrame:

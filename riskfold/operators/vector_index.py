@@ -100,9 +100,11 @@ def fit_pivots(vectors: DataFrame, key: str, vec: str, cells: int, unit: bool =
 
 def _sample(vectors: DataFrame, key: str, vec: str, cells: int, unit: bool) -> np.ndarray:
     """SAMPLE_PER_PIVOT rows a cell, the ones of least key hash."""
-    cells = max(1, min(cells, MAX_CELLS))
-    rows = (vectors.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v"), F.xxhash64(key).alias("h"))
-            .orderBy("h").limit(cells * SAMPLE_PER_PIVOT).select("v").toPandas())
+    n = max(1, min(cells, MAX_CELLS)) * SAMPLE_PER_PIVOT
+    there = vectors.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v"), F.xxhash64(key).alias("h"))
+    # each task sends n rows where an order is cut off: hashes first, then the vectors of the least ones only
+    last = there.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    rows = there.where(F.col("h") <= F.lit(last)).orderBy("h").limit(n).select("v").toPandas()
     if not len(rows):
         return np.zeros((1, 1))
     x = stacked(rows["v"])

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from riskfold.operators import vector_index, vectors
+from riskfold.operators import news, vector_index, vectors
 from test_vectors_news import QUALITY, _sequential_greedy
 
 
@@ -94,3 +94,22 @@ def test_stored_index_is_the_bytes_of_the_index(spark):
     want = vectors.build_index(encoded, "2024-03-02 00:00:00").select("id", vectors.vector_to_bytes(F.col("ivect")).alias("ivect"))
     got = vectors.stored_index(encoded, "2024-03-02 00:00:00")
     assert got.schema == want.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_preview_cuts_texts_before_the_join(spark):
+    arts = spark.createDataFrame([(f"k{i}", "t", "h" * 90, "s" * 300, f"2024-02-{10 + i}") for i in range(12)],
+                                 "id string, ticker string, headline string, summary string, day string")
+    arts = arts.select("id", "ticker", "headline", "summary", F.col("day").cast("timestamp_ntz").alias("pubdate"))
+    index = arts.where("id <> 'k11'").select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("ivect"))
+    got = news.preview(arts, index, limit=3)
+    assert [tuple(r)[:4] + (r.ivect_bytes,) for r in got.collect()] == [(f"k{i}", "t", "h" * 60, "s" * 80, 8) for i in (10, 9, 8)]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.index("Join") < plan.index("substring(summary")
+
+
+def test_sample_holds_the_rows_of_least_hash(spark):
+    df = spark.range(500).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+    df = df.withColumn("vec", F.when(F.col("id") % 5 > 0, F.col("vec")))
+    want = [r.id for r in df.where("vec is not null").orderBy(F.xxhash64("id")).limit(3 * vector_index.SAMPLE_PER_PIVOT).collect()]
+    assert vector_index._sample(df, "id", "vec", 3, False)[:, 0].tolist() == want
+    assert vector_index._sample(df.where("false"), "id", "vec", 3, False).tolist() == [[0.0]]
